@@ -79,6 +79,10 @@ def _powers_of(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return up[:n], down[:n]
 
 
+def powers(base: int, n: int) -> np.ndarray:
+    return _powers_of(base, n)[0]
+
+
 class Rolling:
     """Rabin-Karp hashes (modulo 2**64) of any ranges of one sequence."""
 
