@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .links import components
-from .storage import written
+from .storage import extended, written
 from .textbuf import WORD_BASES, Rolling, chunks, mixed, powers, ranges
 
 EDITS = 1
@@ -272,7 +272,7 @@ def removed_lines(docs: DataFrame, min_chars: int = MIN_CHARS, crowd: int = CROW
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts, n_lines, n_removed = [], [], []
-        for text, found in zip(batch.column(1), batch.column(2), strict=True):
+        for text, found in zip(batch.column(batch.schema.get_field_index("text")), batch.column(batch.num_columns - 1), strict=True):
             text = text.as_py()
             lines = [] if text is None else text.split("\n")
             gone = set()
@@ -286,27 +286,28 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n_lines.append(len(lines))
             n_removed.append(len(gone))
             texts.append(None if text is None else "\n".join(x for k, x in enumerate(lines) if k not in gone))
-        yield pa.record_batch(
-            [
-                batch.column(0),
-                pa.array(n_lines, pa.int64()),
-                pa.array(n_removed, pa.int64()),
-                pa.array([None if t is None else hashlib.sha256(t.encode()).hexdigest() for t in texts], pa.string()),
-                pa.array(texts, pa.string()),
-            ],
-            names=["doc_id", "n_lines", "n_removed", "kept_sha256", "kept_text"],
-        )
+        more = [
+            pa.array(n_lines, pa.int64()),
+            pa.array(n_removed, pa.int64()),
+            pa.array([None if t is None else hashlib.sha256(t.encode()).hexdigest() for t in texts], pa.string()),
+            pa.array(texts, pa.string()),
+        ]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *more], names=[*batch.schema.names[:-1], *_MORE])
+
+
+_MORE = {"n_lines": "long", "n_removed": "long", "kept_sha256": "string", "kept_text": "string"}
 
 
 def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, crowd: int = CROWD) -> DataFrame:
-    """One row per document: doc_id, n_lines, n_removed, kept_sha256, kept_text.
+    """docs with n_lines, n_removed, kept_sha256 and kept_text, which replace columns of that name.
 
     Lines end at "\\n". Lines that are equal, or of `min_chars` characters or more and one edit (a character added,
     dropped or replaced) apart, form a class, with all that such links reach. Of each class only the line of the
     smallest doc_id, and there of the smallest number, stays. Blank lines always stay. A null text stays null and has
     no lines, an empty one has one blank line; rows without doc_id are kept whole and are no other's first. doc_id is
-    taken to be unique but for rows repeated whole, which all get the same result. Other columns are ignored.
+    taken to be unique but for rows repeated whole, which all get the same result.
     """
-    gone = removed_lines(docs, min_chars, crowd)
-    joined = docs.select("doc_id", "text").join(gone, F.col("doc_id") == gone["doc"], "left").select("doc_id", "text", "found")
-    return joined.mapInArrow(_kept, "doc_id long, n_lines long, n_removed long, kept_sha256 string, kept_text string")
+    docs = docs.drop(*_MORE)
+    gone = removed_lines(docs, min_chars, crowd).toDF("_doc", "_found")
+    joined = docs.join(gone, F.col("doc_id") == F.col("_doc"), "left").drop("_doc")
+    return joined.mapInArrow(_kept, extended(docs.schema, **_MORE))

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import language_id, quality_rank
+from .impact_search import top_inner_products
+from .lattice_dedup import embedding_dedup
 from .line_dedup import line_dedup
+from .mixing import mix
+from .pieces import decode, encode, load_vocabulary
 from .simhash_dedup import simhash_groups
 from .substring_dedup import substring_dedup
 from .url_filter import Rule, url_filter
@@ -36,7 +43,7 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup(_table(spark, sf_dir, "documents")).drop("kept_text")
+    return line_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text", "kept_text")
 
 
 URL_RULES = [Rule("block", "com", "/en/"), Rule("allow", "example.com", "/en/7"), Rule("allow", "net", "/de/"), Rule("block", "example.net", "/de/8"), Rule("block", "org", "/es/")]
@@ -58,3 +65,80 @@ fits as (select page_id, max_by(h || p, length(h || p)) as rule, max_by(verdict,
 select page_id, host, path, rule, coalesce(verdict, 'allow') as verdict, coalesce(verdict = 'block', false) as listed
 from parsed left join fits using (page_id)
 """
+
+
+def _fold(folds: int):
+    return language_id.fold("doc_id", folds)
+
+
+@_query
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model, languages = language_id.fit(docs.where(_fold(4) != 2))
+    found = language_id.identify_language(docs.select("doc_id", "text"), model, languages)
+    return found.select("doc_id", F.coalesce(_fold(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+@_query
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    ranker = quality_rank.fit(docs, _table(spark, sf_dir, "labels").where(_fold(5) != 0))
+    found = quality_rank.score_quality(docs, ranker)
+    return found.select("doc_id", F.coalesce(_fold(5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+@_query
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup(_table(spark, sf_dir, "embeddings"))
+
+
+@_query
+def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings")
+    return top_inner_products(rows, rows.where("vec_id % 50 = 0"))
+
+
+ORACLES["op2_embedding_near_dedup"] = """
+with recursive v as (select vec_id, list_transform(embedding, lambda x: x::double) as e from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+n as (select vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) as norm from v),
+u as (select vec_id, list_transform(e, lambda x: x / norm) as e from n where norm > 0),
+links as (select a.vec_id as a, b.vec_id as b from u a join u b on a.vec_id <> b.vec_id and list_inner_product(a.e, b.e) >= 0.9),
+reach(a, b) as (select a, b from links union select r.a, l.b from reach r join links l on r.b = l.a),
+least as (select a, min(b) as m from reach group by a), degree as (select a, count(*) as n_links from links group by a)
+select vec_id, coalesce(n_links, 0) as n_links, least(vec_id, coalesce(m, vec_id)) as component_id,
+  vec_id = least(vec_id, coalesce(m, vec_id)) as kept
+from embeddings left join degree on degree.a = vec_id left join least on least.a = vec_id
+"""
+
+ORACLES["op4_exact_top_k"] = """
+with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as e from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select q.vec_id as query_id, c.vec_id, list_inner_product(q.e, c.e)::bigint as score
+  from v q join v c on q.vec_id % 50 = 0 and c.vec_id <> q.vec_id),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from s)
+select query_id, rank, vec_id, score from r where rank <= 5
+"""
+
+
+@_query
+def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")).drop("text")
+
+
+#: A model file of a public tokenizer; any SentencePiece model with byte pieces will do.
+PIECES = os.environ.get("RUNLENS_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
+
+
+@_query
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = load_vocabulary(PIECES)
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("text_sha256"), "text")
+    back = decode(encode(docs, vocabulary), vocabulary)
+    return back.select(
+        "doc_id",
+        F.when(F.col("ids").isNull(), 0).otherwise(F.size("ids")).cast("long").alias("n_ids"),
+        F.xxhash64("ids").alias("ids_hash"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+        F.sha2("decoded", 256).eqNullSafe(F.col("text_sha256")).alias("round_trip"),
+    )

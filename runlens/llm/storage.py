@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -17,6 +18,12 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def extended(schema: StructType, **more: str) -> StructType:
+    """A new schema with more fields, name=type."""
+    added = StructType.fromDDL(", ".join(f"{name} {kind}" for name, kind in more.items()))
+    return StructType([*schema.fields, *added.fields])
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The same rows, read back from a Parquet table in the shared folder: computed once, and lost executors cost nothing."""
     spark = df.sparkSession
