@@ -123,6 +123,7 @@ def removal_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -
         "windows",
     )
     seen = windows.groupBy("win1", "win2").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last")
+    seen = written(seen.select("win1", "win2", "first"), "windows_seen")  # so that a join by a common window can be split
     single = windows.join(seen, ["win1", "win2"]).where("first < doc").select("doc", "start", (F.col("start") + window).alias("end"))
     return whole.unionByName(single).groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
