@@ -28,6 +28,8 @@ CROWD = 64
 #: Up to so many line hashes (8 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 NEWLINE = 10
+#: Characters that a step of the verification holds at once.
+_CELLS = 1 << 20
 _BLANK = np.array([9, 10, 11, 12, 13, 32, 0x85, 0xA0], np.uint32)
 
 
@@ -142,8 +144,10 @@ def within(left: list[np.ndarray], right: list[np.ndarray], edits: int) -> np.nd
     order = todo[np.argsort(-n[todo], kind="stable")]
     width = 2 * edits + 1
     full, one = np.uint64((1 << width) - 1), np.uint64(1)
-    for k in range(0, len(order), 4096):
-        part = order[k : k + 4096]
+    k = 0
+    while k < len(order):
+        part = order[k : k + max(1, _CELLS // max(1, int(n[order[k]])))]
+        k += len(part)
         rows = np.full((len(part), n[part].max(initial=0) + width), 0xFFFFFFFF, np.uint32)
         cols = np.full((len(part), n[part].max(initial=0)), 0xFFFFFFFE, np.uint32)
         for r, p in enumerate(part):
