@@ -32,4 +32,4 @@ def query(sql: str | None = None):
 
 def load() -> None:
     """Imports every module that registers queries."""
-    from . import aggregates, joins, merges, sequences  # noqa: F401
+    from . import aggregates, anomalies, joins, merges, sequences, statistics  # noqa: F401
