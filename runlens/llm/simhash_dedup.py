@@ -145,7 +145,7 @@ def simhash_groups(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) ->
     A row without doc_id has a fingerprint but neither links nor a component. Other columns are ignored.
     """
     fps = written(simhash(docs, shingle), "fingerprints")
-    classes = fps.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"))
+    classes = written(fps.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")), "fingerprint_classes")
     found = components(fingerprint_links(classes, bits))
     named = classes.join(found, classes["rep"] == found["node"], "left").select(F.col("fp").alias("f"), F.coalesce("component", "rep").alias("component_id"))
     return fps.join(named, F.col("fp") == F.col("f"), "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
