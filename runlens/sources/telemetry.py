@@ -16,7 +16,9 @@ STATS = {"count": "c", "mean": "m", "max": "hi", "min": "lo", "stdev": "sd", "su
 
 def epoch(ts: str) -> Column:
     """Seconds since 1970 with fraction, of a timestamp without time zone: the same in every session."""
-    return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {ts})") / 1e6
+    seconds = F.datediff(F.col(ts), F.lit("1970-01-01").cast("date")).cast("long") * 86400 + F.hour(ts) * 3600 + F.minute(ts) * 60
+    micros = (F.extract(F.lit("SECOND"), F.col(ts)) * 1_000_000).cast("long")
+    return (seconds * 1_000_000 + micros) / 1e6
 
 
 def finite(c: Column) -> Column:
