@@ -19,7 +19,7 @@ from runlens.llm.storage import written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Documents whose language is less certain than this are rejected.
-MIN_LANGUAGE_SCORE = 0.4
+MIN_LANGUAGE_SCORE = 0.3
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
