@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -58,3 +58,28 @@ def tag_matches(tag: Column, search: str) -> Column:
         pattern, flags = search[1:].rsplit("/", 1)
         return tag.rlike(("(?i)" if "i" in flags else "") + pattern)
     return F.contains(F.lower(tag), F.lit(search.lower()))
+
+
+def ranked_lookup(names: DataFrame, name: str, rules: DataFrame) -> DataFrame:
+    """name, grp: the result of the first rule by priority that fits. rules (a small config): priority, kind (exact or prefix), pattern, grp."""
+    fits = ((F.col("kind") == "exact") & (F.col(name) == F.col("pattern"))) | ((F.col("kind") == "prefix") & F.startswith(F.col(name), F.col("pattern")))
+    return names.join(F.broadcast(rules), fits).groupBy(name).agg(F.min_by("grp", "priority").alias("grp"))
+
+
+def template_matches(templates: DataFrame, tags: DataFrame) -> DataFrame:
+    """template, tag: * stands for one part of a path, ? for one character. templates is a small config."""
+    pattern = F.concat(F.lit("^"), F.replace(F.replace("template", F.lit("*"), F.lit("[^/]+")), F.lit("?"), F.lit(".")), F.lit("$"))
+    return tags.join(F.broadcast(templates.withColumn("_pattern", pattern)), F.expr("tag rlike _pattern")).select("template", "tag")
+
+
+def covered(names: DataFrame, name: str, patterns: DataFrame) -> DataFrame:
+    """name, covered: whether any pattern (a small config) is found in it."""
+    hit = F.expr(f"{name} rlike pattern")
+    found = names.join(F.broadcast(patterns), hit, "left").groupBy(name).agg(F.max(F.col("pattern").isNotNull()).alias("covered"))
+    return found
+
+
+def mentions(text: Column, reasons: list[tuple[str, str]]) -> list[Column]:
+    """run, step and reason that a note names; the reason is unknown if no pattern is found."""
+    step = F.nullif(F.regexp_extract(text, r"(?i)step\s*([0-9]+)", 1), F.lit("")).cast("int")
+    return [F.regexp_extract(text, "(r[0-9]+)", 1).alias("run"), step.alias("step"), first_match(text, reasons, "unknown").alias("reason")]

@@ -86,3 +86,24 @@ def lag_one(rows: DataFrame, key: tuple[str, ...]) -> DataFrame:
     s = d.groupBy(*key).agg(F.count("*").alias("n"), F.try_divide(F.sum(F.col("d") * F.col("before")), F.sum(F.col("d") * F.col("d"))).alias("rho"))
     r = F.greatest(F.lit(-0.99), F.least(F.lit(0.99), F.col("rho")))
     return s.withColumn("n_effective", F.least(F.col("n").cast("double"), F.col("n") * (1 - r) / (1 + r)))
+
+
+def without_leverage(rows: DataFrame, key: tuple[str, ...]) -> DataFrame:
+    """key, n, slope: the trend without the point whose step is farthest from the mean (ties: the first)."""
+    distance = F.abs(F.col("step") - F.avg("step").over(Window.partitionBy(*key)))
+    ranked = rows.withColumn("_d", distance).withColumn("_far", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("_d"), "step")))
+    return trend(key, ranked.where("_far > 1")).select(*key, "n", "slope")
+
+
+def quadratic(rows: DataFrame, key: list[str], x: str, y: str) -> DataFrame:
+    """key, n, curve: the quadratic coefficient of a least-squares parabola, from moments around the mean of x."""
+    centre = F.avg(x).over(Window.partitionBy(*key))
+    c = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn("_x", F.col(x) - centre).withColumn("_y", F.col(y))
+    p = lambda k: F.pow("_x", F.lit(k))
+    s = c.groupBy(*key).agg(
+        F.count("*").alias("n"), F.sum("_x").alias("s1"), F.sum(p(2)).alias("s2"), F.sum(p(3)).alias("s3"), F.sum(p(4)).alias("s4"), F.sum("_y").alias("t0"), F.sum(F.col("_x") * F.col("_y")).alias("t1"), F.sum(p(2) * F.col("_y")).alias("t2")
+    )
+    n, s1, s2, s3, s4, t0, t1, t2 = (F.col(k) for k in ("n", "s1", "s2", "s3", "s4", "t0", "t1", "t2"))
+    det = n * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s3 * s2) + s2 * (s1 * s3 - s2 * s2)
+    top = n * (s2 * t2 - s3 * t1) - s1 * (s1 * t2 - s2 * t1) + t0 * (s1 * s3 - s2 * s2)
+    return s.select(*key, "n", F.try_divide(top, det).alias("curve"))

@@ -32,4 +32,4 @@ def query(sql: str | None = None):
 
 def load() -> None:
     """Imports every module that registers queries."""
-    from . import aggregates, anomalies, decompositions, joins, merges, sequences, statistics, streams, texts  # noqa: F401
+    from . import aggregates, anomalies, decompositions, joins, merges, more_sequences, sequences, statistics, streams, texts  # noqa: F401
