@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .association import pearson
 from .sequence import SERIES, filled
 
 
@@ -83,3 +84,9 @@ def average_linkage(distances: DataFrame, clusters: int) -> DataFrame:
         return pd.DataFrame({"run": pdf["run"].iloc[0], "tag": names, "cluster": [names[k] for k in label]})
 
     return distances.groupBy("run").applyInPandas(merge, "run string, tag string, cluster string")
+
+
+def distances(z: DataFrame) -> DataFrame:
+    """run, x, y, d: one minus the absolute correlation of each pair of a run's series (x < y)."""
+    a, b = (z.select("run", "step", F.col("tag").alias(t), F.col("z").alias(f"z{t}")) for t in ("x", "y"))
+    return a.join(b, ["run", "step"]).where("x < y").groupBy("run", "x", "y").agg((1 - F.abs(pearson("zx", "zy"))).alias("d"))
