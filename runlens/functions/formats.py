@@ -28,7 +28,7 @@ def compact(value: Column, digits: int = 3) -> Column:
     out = plain_number(significant(value, digits))
     for scale, suffix in reversed(SUFFIXES):
         out = F.when(size >= scale, F.concat(plain_number(significant(value / scale, digits)), F.lit(suffix))).otherwise(out)
-    return F.coalesce(out, F.lit("—"))
+    return F.when(value.isNull(), "—").otherwise(out)
 
 
 def _two(n: Column) -> Column:

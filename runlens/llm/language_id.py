@@ -27,7 +27,7 @@ EPOCHS = 4
 BATCH = 256
 RATE = 0.01
 UNDETERMINED = "und"
-_CHUNK = 4 << 20
+_CHUNK = 2 << 20
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:

@@ -23,7 +23,7 @@ SPACE = 0x2581
 _LITERAL = 0x110000
 UNKNOWN_PENALTY = 10.0
 _BASE = 0xA0761D6478BD642F
-_CHUNK = 4 << 20
+_CHUNK = 2 << 20
 _ROWS = 4096
 _FILTER_BITS = 22
 

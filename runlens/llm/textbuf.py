@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 #: \x20 and \x09-\x0D part words.
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -64,18 +64,23 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+_KEPT_POWERS = 5 << 19
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def _powers_of(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i < n."""
-    if base not in _powers or len(_powers[base][0]) < n:
-        m = 1 << max(10, (n - 1).bit_length())
-        up = np.full(m, base, np.uint64)
-        down = np.full(m, pow(base, -1, 1 << 64), np.uint64)
-        up[0] = down[0] = 1
-        _powers[base] = np.cumprod(up), np.cumprod(down)
-    up, down = _powers[base]
+    if base in _powers and len(_powers[base][0]) >= n:
+        up, down = _powers[base]
+        return up[:n], down[:n]
+    m = min(n + n // 8, _KEPT_POWERS) if n <= _KEPT_POWERS else n
+    up = np.full(m, base, np.uint64)
+    down = np.full(m, pow(base, -1, 1 << 64), np.uint64)
+    up[0] = down[0] = 1
+    np.cumprod(up, out=up)
+    np.cumprod(down, out=down)
+    if n <= _KEPT_POWERS:  # those of an exceptionally long text are not worth a worker's memory
+        _powers[base] = up, down
     return up[:n], down[:n]
 
 
@@ -89,7 +94,11 @@ class Rolling:
     def __init__(self, values: np.ndarray, base: int):
         up, self.down = _powers_of(base, len(values) + 1)
         self.sums = np.zeros(len(values) + 1, np.uint64)
-        np.cumsum((values.astype(np.uint64) + np.uint64(1)) * up[:-1], out=self.sums[1:])
+        terms = self.sums[1:]  # worked on in place: texts are long
+        terms[:] = values
+        terms += np.uint64(1)
+        terms *= up[:-1]
+        np.cumsum(terms, out=terms)
 
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return (self.sums[ends] - self.sums[starts]) * self.down[starts]

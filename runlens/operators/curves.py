@@ -62,7 +62,8 @@ def saturation_fits(rows: DataFrame, key: list[str], x: str = "step", y: str = "
 def segment_rows(matrix: np.ndarray, least: int = 2, weight: float = 1.0) -> list[int]:
     """Starts of the segments of binary segmentation: a cut is taken while it lowers squared error by more than the penalty."""
     n, d = matrix.shape
-    noise = float(np.median((np.diff(matrix, axis=0) ** 2).sum(axis=1)) / 2 / d) if n > 1 else 0.0
+    # The median of a chi-square with d degrees of freedom is about d (1 - 2 / 9d)^3.
+    noise = float(np.median((np.diff(matrix, axis=0) ** 2).sum(axis=1)) / 2 / (d * (1 - 2 / (9 * d)) ** 3)) if n > 1 else 0.0
     penalty = weight * d * np.log(max(n, 2)) * max(noise, 1e-12)
 
     def loss(a: int, b: int) -> float:
