@@ -1,8 +1,9 @@
 """Embedding near-duplicates by lattice hashing.
 
-In each of several tables a unit vector is projected to 8 dimensions and decoded to the nearest point of the E8
-lattice. Vectors whose cosine is high fall into the same cell or into neighbouring ones: every vector is stored under
-its own cell and probes its own and the nearest cells around it. Vectors that meet are verified by their cosine.
+In each of several tables a unit vector is projected twice to 8 dimensions, and each projection is decoded to the
+nearest point of the E8 lattice; the two points are its cell. Vectors whose cosine is high fall into the same cell or
+into neighbouring ones: every vector is stored under its own cell and probes its own and the nearest cells around it.
+Vectors that meet are verified by their cosine.
 """
 
 from __future__ import annotations
@@ -21,10 +22,12 @@ from .storage import written
 from .textbuf import mixed
 
 COSINE = 0.9
-TABLES = 6
-PROBES = 12
+TABLES = 10
+PROBES = 16
+#: Lattice points that make a cell. With one, 2 % of all pairs meet; with two, 0.1 %.
+LATTICES = 2
 #: Lattice units per unit of projected length.
-SCALE = 2.0
+SCALE = 1.45
 
 
 def _decode_d8(x: np.ndarray) -> np.ndarray:
@@ -58,26 +61,30 @@ def _minimal_vectors() -> np.ndarray:
     return np.array(steps)
 
 
-def _projection(table: int, dims: int) -> np.ndarray:
-    """Orthogonal directions, scaled to keep lengths on average."""
+def _projection(table: int, dims: int, lattices: int) -> np.ndarray:
+    """Orthogonal directions, 8 for each lattice, scaled so that each 8 keep lengths on average."""
     r = np.random.default_rng([20, table, dims])
-    basis = np.linalg.qr(r.standard_normal((dims, max(8, dims))))[0] if dims >= 8 else np.eye(dims)
-    out = np.zeros((dims, 8))
-    out[:, : min(8, dims)] = basis[:, : min(8, dims)]
+    wide = 8 * lattices
+    basis = np.linalg.qr(r.standard_normal((dims, dims)))[0] if dims >= 8 else np.eye(dims)
+    out = np.zeros((dims, wide))
+    out[:, : min(wide, dims)] = basis[:, : min(wide, dims)]
     return out * np.sqrt(max(dims, 8) / 8)
 
 
-def lattice_cells(unit: np.ndarray, table: int, probes: int = PROBES, scale: float = SCALE) -> np.ndarray:
-    """Hashes of each unit vector's own cell (column 0) and of the `probes` nearest cells around it."""
-    x = unit @ _projection(table, unit.shape[1]) * scale
-    own = decode_e8(x)
+def lattice_cells(unit: np.ndarray, table: int, probes: int = PROBES, lattices: int = LATTICES, scale: float = SCALE) -> np.ndarray:
+    """Hashes of each unit vector's own cell (column 0) and of the `probes` nearest cells one lattice step away."""
+    x = (unit @ _projection(table, unit.shape[1], lattices) * scale).reshape(-1, lattices, 8)
+    own = decode_e8(x.reshape(-1, 8)).reshape(x.shape)
     steps = _minimal_vectors()
     # A neighbour's distance falls with the step's inner product with the offset from the own point.
-    order = np.argsort(-((x - own) @ steps.T), axis=1, kind="stable")[:, :probes]
-    cells = np.concatenate([own[:, None, :], own[:, None, :] + steps[order]], axis=1)
-    coordinates = np.rint(cells * 2).astype(np.int64).view(np.uint64)
-    weights = mixed(np.arange(1, 9, dtype=np.uint64)) | np.uint64(1)
-    return mixed((coordinates * weights).sum(axis=2, dtype=np.uint64) + np.uint64(1000 * unit.shape[1] + table))
+    gain = np.concatenate([(x[:, k] - own[:, k]) @ steps.T for k in range(lattices)], axis=1)
+    order = np.argsort(-gain, axis=1, kind="stable")[:, :probes]
+    # A cell's hash adds up its coordinates' weights, so a step adds the same whatever the cell.
+    weights = mixed(np.arange(1, 8 * lattices + 1, dtype=np.uint64)).reshape(lattices, 8) | np.uint64(1)
+    whole = lambda cells: np.rint(cells * 2).astype(np.int64).view(np.uint64)
+    home = (whole(own) * weights).sum(axis=(1, 2), dtype=np.uint64)
+    moves = np.concatenate([(whole(steps) * w).sum(axis=1, dtype=np.uint64) for w in weights])
+    return mixed(np.column_stack([home, home[:, None] + moves[order]]) + np.uint64(1000 * unit.shape[1] + table))
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,7 +152,8 @@ def embedding_dedup(embeddings: DataFrame, cosine: float = COSINE, tables: int =
     null or non-finite component link with nothing; nor do vectors of different sizes. Equal vectors are compared with
     others once. component_id is the smallest vec_id that links reach. A row without vec_id has no links and a null
     component; rows repeated whole count once. Other columns are ignored. Vectors that never meet in a cell are not
-    compared: at the default parameters more than 99 % of links at the threshold are found, and more above it.
+    compared: at the default parameters more than 99 % of the links right at the threshold are found, and more than 99.9 % of those
+    at 0.95 and above.
     """
     rows = written(embeddings.select("vec_id", "embedding").mapInArrow(_signatures, "vec_id long, embedding array<float>, sig binary"), "vectors")
     ids = rows.where("sig is not null and vec_id is not null")

@@ -1,7 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from runlens.llm.lattice_dedup import _minimal_vectors, decode_e8, embedding_dedup, lattice_cells
+from runlens.llm.lattice_dedup import TABLES, _minimal_vectors, decode_e8, embedding_dedup, lattice_cells
 
 
 def test_decoder_finds_the_nearest_point():
@@ -25,7 +25,7 @@ def test_recall_at_the_threshold():
     y -= (y * x).sum(axis=1, keepdims=True) * x
     y = 0.9 * x + np.sqrt(1 - 0.81) * y / np.linalg.norm(y, axis=1, keepdims=True)
     met = np.zeros(1500, bool)
-    for t in range(6):
+    for t in range(TABLES):
         a, b = lattice_cells(x, t), lattice_cells(y, t)
         met |= (a[:, :1] == b).any(axis=1) | (a == b[:, :1]).any(axis=1)
     assert met.mean() > 0.99
