@@ -16,6 +16,13 @@ def significant(value: Column, digits: int) -> Column:
     return F.when(value == 0, F.lit(0.0)).otherwise(F.round(value * scale) / scale)
 
 
+def nice_step(raw: Column) -> Column:
+    """The least of 1, 2, 5 or 10 times a power of ten that is not below a positive number: a distance between ticks."""
+    size = F.pow(F.lit(10.0), F.floor(F.log10(raw)))
+    head = raw / size
+    return size * F.when(head <= 1, 1).when(head <= 2, 2).when(head <= 5, 5).otherwise(10)
+
+
 def plain_number(value: Column) -> Column:
     """Without trailing zeros or exponent."""
     text = F.format_string("%.10f", value)
