@@ -14,7 +14,7 @@ from runlens.llm.line_dedup import line_dedup
 from runlens.llm.mixing import mix
 from runlens.llm.pieces import encode, load_vocabulary
 from runlens.llm.registry import PIECES
-from runlens.llm.simhash_dedup import simhash_groups
+from runlens.llm.shingle_join import shingle_groups
 from runlens.llm.storage import written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -37,8 +37,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of smallest doc_id of each group of close fingerprints, and documents without doc_id."""
-    others = simhash_groups(docs).where("doc_id <> component_id").select("doc_id").distinct()
+    """Keeps the document of smallest doc_id of each group that shares four fifths of its five-word shingles, and documents without doc_id."""
+    others = shingle_groups(docs).where("doc_id <> component_id").select("doc_id").distinct()
     return docs.select(COLUMNS).join(others, "doc_id", "left_anti").select(COLUMNS)
 
 

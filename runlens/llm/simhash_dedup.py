@@ -30,21 +30,32 @@ CROWD = 64
 _SLICE = 1 << 15
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE) -> bytes:
-    """The 64-bit fingerprint of a UTF-8 text, most significant byte first."""
+def shingle_hashes(text: bytes, shingle: int = SHINGLE) -> bytes:
+    """The 64-bit hashes of a UTF-8 text's shingles, eight bytes each, most significant first."""
     words = text.lower().split()  # of bytes: A-Z and \x20, \x09-\x0D only
     if not words:
-        return bytes(8)
+        return b""
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     last = max(1, len(words) - shingle + 1)
     starts, ends = starts[:last].tolist(), ends[-last:].tolist()
-    digest, ones = xxhash.xxh64_digest, np.zeros(64, np.int64)
-    for k in range(0, last, _SLICE):
-        hashes = b"".join([digest(joined[s:e], SEED) for s, e in zip(starts[k : k + _SLICE], ends[k : k + _SLICE], strict=True)])
-        ones += np.unpackbits(np.frombuffer(hashes, np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.uint32)
-    return np.packbits(2 * ones > last).tobytes()
+    digest = xxhash.xxh64_digest
+    return b"".join([digest(joined[s:e], SEED) for s, e in zip(starts, ends, strict=True)])
+
+
+def fingerprint_of(hashes: bytes) -> bytes:
+    """The 64-bit fingerprint of shingles by their hashes, most significant byte first."""
+    ones = np.zeros(64, np.int64)
+    for k in range(0, len(hashes), 8 * _SLICE):
+        part = np.frombuffer(hashes[k : k + 8 * _SLICE], np.uint8).reshape(-1, 8)
+        ones += np.unpackbits(part, axis=1).sum(axis=0, dtype=np.uint32)
+    return np.packbits(2 * ones > len(hashes) // 8).tobytes()
+
+
+def fingerprint(text: bytes, shingle: int = SHINGLE) -> bytes:
+    """The 64-bit fingerprint of a UTF-8 text, most significant byte first."""
+    return fingerprint_of(shingle_hashes(text, shingle))
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
