@@ -18,15 +18,14 @@ from runlens.llm.shingle_join import shingle_groups
 from runlens.llm.storage import written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Documents whose language is less certain than this are rejected.
-MIN_LANGUAGE_SCORE = 0.3
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without text or letters, and those whose best language has a mean probability below MIN_LANGUAGE_SCORE."""
+    """Drops documents without text or letters, and those whose best language is less certain than least_score asks."""
     model, languages = language_id.fit(docs)
-    found = language_id.identify_language(docs.select(COLUMNS), model, languages)
-    return found.where((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= MIN_LANGUAGE_SCORE)).select(COLUMNS)
+    found = written(language_id.identify_language(docs.select(COLUMNS), model, languages), "languages")
+    known = found.where(F.col("lang_pred") != language_id.UNDETERMINED)
+    return known.where(F.col("score") >= language_id.least_score(known, len(languages))).select(COLUMNS)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

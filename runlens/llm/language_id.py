@@ -27,6 +27,10 @@ EPOCHS = 4
 BATCH = 256
 RATE = 0.01
 UNDETERMINED = "und"
+#: The share of labelled texts that the calibration of least_score gives up, at most.
+GIVEN_UP = 0.01
+#: Texts of fewer characters are short to least_score.
+SHORT_CHARS = 300
 _CHUNK = 2 << 20
 
 
@@ -228,3 +232,22 @@ def identify_language(docs: DataFrame, model: ByteGRU | None, languages: list[st
     found = docs.mapInArrow(lambda it: _predict(it, model, languages), schema)
     known = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)) & F.lit(bool(languages))
     return found.withColumns({"lang_pred": F.when(known, F.col("lang_pred")).otherwise(UNDETERMINED), "score": F.when(known, F.col("score")).otherwise(0.0)})
+
+
+def least_score(known: DataFrame, n_languages: int) -> Column:
+    """The score below which a text is in none of the languages, from lang, text, lang_pred and score of all known rows.
+
+    It goes from chance (1 / n_languages) towards the low quantile of the scores of long texts whose label is met, as
+    length / (length + half). `half` is the least that leaves the short texts among them in place, all but GIVEN_UP. One
+    language alone always has score 1 and rejects nothing.
+    """
+    if n_languages < 2:
+        return F.lit(0.0)
+    chance, length = 1 / n_languages, F.length("text")
+    met = known.where("lang = lang_pred").select(length.alias("length"), "score")
+    usual = F.percentile_approx("score", GIVEN_UP, 10_000)
+    low = met.where(F.col("length") >= SHORT_CHARS).agg(usual).first()[0] or met.agg(usual).first()[0] or chance
+    short = met.where((F.col("length") < SHORT_CHARS) & (F.col("score") > chance))
+    asked = F.col("length") * (low - F.col("score")) / (F.col("score") - chance)
+    half = max(0.0, short.agg(F.percentile_approx(asked, 1 - GIVEN_UP, 10_000)).first()[0] or 0.0)
+    return chance + (low - chance) * length / (length + half)
