@@ -62,6 +62,15 @@ def _similar(common: Column, n: Column, m: Column, similarity: int) -> Column:
     return common * (100 + similarity) >= (n + m) * similarity
 
 
+def _can_be(c: Column, n: Column, m: Column, similarity: int) -> Column:
+    """Sets of n and m whose prefixes share c members can be similar.
+
+    All shared members up to the end of the prefix that ends first are among the c; the others lie in that set's rest.
+    """
+    rest = F.greatest(*(F.ceil(x * similarity / 100) - 1 for x in (n, m)))
+    return _similar(F.least(c + rest, n, m), n, m, similarity)
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: int) -> DataFrame:
     """The pairs (a, b) of doc_id whose sets of shingles are similar."""
     pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "set_pairs")
@@ -83,21 +92,26 @@ def shingle_groups(docs: DataFrame, shingle: int = SHINGLE, similarity: int = SI
     schema = "doc_id long, fp long, set_id binary, n int, head array<long>"
     heads = written(texts.mapInArrow(lambda it: _heads(it, shingle, similarity), schema), "shingle_heads")
     reps = written(heads.groupBy("set_id").agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("fp", "n", "head"))), "shingle_reps")
-    keys = reps.select("rep", "n", F.posexplode("head").alias("at", "key"))
+    keys = reps.select("rep", "n", F.explode("head").alias("key"))
     sizes = keys.groupBy("key").agg(F.count("*").alias("many"), F.min("rep").alias("least")).where("many > 1")
     keys = written(keys.join(sizes, "key"), "shingle_keys")
     by_print = written(reps.groupBy("fp").agg(F.min("rep").alias("first")), "shingle_prints")
     same = reps.join(by_print, "fp").select(F.col("first").alias("a"), F.col("rep").alias("b"))
     near = fingerprint_links(by_print.select("fp", F.col("first").alias("rep")), crowd=crowd)
-    stars = keys.where(F.col("many") > crowd).select(F.col("least").alias("a"), F.col("rep").alias("b"))
+    # Not all of the members that a least one meets, but those that it shares enough keys with.
+    rest = keys.select(F.col("rep").alias("a"), F.col("n").alias("m")).distinct()
+    stars = keys.where((F.col("many") > crowd) & (F.col("rep") != F.col("least"))).groupBy(F.col("least").alias("a"), F.col("rep").alias("b"), "n").agg(F.count("*").alias("c")).join(rest, "a")
+    stars = stars.where(_can_be(F.col("c"), F.col("n"), F.col("m"), similarity)).select("a", "b")
     links = _verified(same.unionByName(near).unionByName(stars), texts, shingle, similarity)
     found = components(links).toDF("rep", "component")
     parts = written(keys.join(found, "rep", "left").withColumn("component", F.coalesce("component", "rep")), "shingle_parts")
-    shared = F.least("x.at", "y.at") + F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))  # at most
     met = (
         parts.alias("x")
-        .join(parts.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component")) & _similar(shared, F.col("x.n"), F.col("y.n"), similarity))
-        .select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
+        .join(parts.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component")) & _similar(F.least("x.n", "y.n"), F.col("x.n"), F.col("y.n"), similarity))
+        .groupBy(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
+        .agg(F.count("*").alias("c"), F.first("x.n").alias("n"), F.first("y.n").alias("m"))
+        .where(_can_be(F.col("c"), F.col("n"), F.col("m"), similarity))
+        .select("a", "b")
     )
     links = links.unionByName(_verified(met, texts, shingle, similarity))
     found = components(links).toDF("rep", "component")
