@@ -4,6 +4,10 @@ Spaces become U+2581 and one stands before the text. No piece has U+2581 behind
 apart in front of every run of U+2581, and the parts are encoded alone. Different parts of equal length advance
 together: at each place the substrings that end there are looked up by hash among the sorted hashes of all pieces, and
 the best start is kept as a backpointer.
+
+The scores are those of the model file. In a file of merges (BPE) they are minus the merge ranks and no
+log-probabilities: the ids are then a Viterbi reading of that vocabulary, which decodes to the same text, and not the
+ids that the file's own merges give.
 """
 
 from __future__ import annotations
@@ -23,7 +27,9 @@ SPACE = 0x2581
 _LITERAL = 0x110000
 UNKNOWN_PENALTY = 10.0
 _BASE = 0xA0761D6478BD642F
-_CHUNK = 2 << 20
+#: About so many bytes of text are encoded, and so many ids decoded, at once; longer texts go in slices.
+_CHUNK = 1 << 20
+_IDS = 1 << 18
 _ROWS = 4096
 _FILTER_BITS = 22
 
@@ -134,8 +140,8 @@ def _as_bytes(vocabulary: Vocabulary, ids: np.ndarray, counts: np.ndarray) -> tu
     return out, whole[last] - whole[last - counts]
 
 
-def encode_buffer(vocabulary: Vocabulary, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, ids per text) of a buffer of UTF-8 texts."""
+def encode_buffer(vocabulary: Vocabulary, data: np.ndarray, offsets: np.ndarray, begins: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, ids per text) of a buffer of UTF-8 texts; without `begins` they are slices that begin inside a text."""
     head = (data & 0xC0) != 0x80
     at = np.concatenate([[0], np.cumsum(head)])[offsets]
     sizes = np.diff(at)
@@ -144,8 +150,9 @@ def encode_buffer(vocabulary: Vocabulary, data: np.ndarray, offsets: np.ndarray)
     chars[chars == 0x20] = SPACE
     # U+2581 in front of every text that isn't empty.
     filled = np.flatnonzero(sizes > 0)
-    chars = np.insert(chars, at[:-1][filled], SPACE)
-    new_sizes = sizes + (sizes > 0)
+    if begins:
+        chars = np.insert(chars, at[:-1][filled], SPACE)
+    new_sizes = sizes + (sizes > 0) * begins
     begin = np.concatenate([[0], np.cumsum(new_sizes)])
     if not len(chars):
         return np.zeros(0, np.int32), np.zeros(len(sizes), np.int64)
@@ -173,6 +180,29 @@ def encode_buffer(vocabulary: Vocabulary, data: np.ndarray, offsets: np.ndarray)
     return ids, np.diff(per)
 
 
+def _slices(data: np.ndarray, most: int) -> Iterator[np.ndarray]:
+    """A long text in slices of about `most` bytes, each cut in front of a run of spaces, where the search may be cut."""
+    first = 0
+    while len(data) - first > most:
+        at, cut = first + most, 0
+        while not cut and at < len(data):
+            part = data[at - 1 : at + most]
+            here = np.flatnonzero((part[1:] == 0x20) & (part[:-1] != 0x20))
+            cut = at + int(here[0]) if len(here) else 0
+            at += most
+        if not cut:
+            break
+        yield data[first:cut]
+        first = cut
+    yield data[first:]
+
+
+def encode_text(vocabulary: Vocabulary, data: np.ndarray, most: int = _CHUNK) -> np.ndarray:
+    """The ids of one UTF-8 text, however long."""
+    found = [encode_buffer(vocabulary, part, np.array([0, len(part)]), begins=not k)[0] for k, part in enumerate(_slices(data, most))]
+    return np.concatenate(found)
+
+
 def decode_buffer(vocabulary: Vocabulary, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of the texts that runs of ids spell; the space in front of each is left out."""
     size = np.diff(vocabulary.spelling_at)[ids]
@@ -184,34 +214,68 @@ def decode_buffer(vocabulary: Vocabulary, ids: np.ndarray, counts: np.ndarray) -
     return spelled[keep], np.concatenate([[0], np.cumsum(keep)])[ends]
 
 
-def _encode(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary) -> Iterator[pa.RecordBatch]:
+def _spelled(vocabulary: Vocabulary, ids: np.ndarray) -> bytes:
+    """The bytes of one long run of ids, in slices."""
+    size = np.diff(vocabulary.spelling_at)
+    parts = [vocabulary.spelling[ranges(vocabulary.spelling_at[x], size[x])].tobytes() for x in (ids[k : k + _IDS] for k in range(0, len(ids), _IDS))]
+    return b"".join(parts).removeprefix(b" ")
+
+
+def _id_column(vocabulary: Vocabulary, text: pa.Array, first: int, last: int, data: np.ndarray, offsets: np.ndarray) -> pa.ListArray:
+    if last - first == 1:
+        ids, counts = encode_text(vocabulary, data), None
+        counts = np.array([len(ids)])
+    else:
+        ids, counts = encode_buffer(vocabulary, data, offsets)
+    ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(ids), mask=text.slice(first, last - first).is_null() if text.null_count else None)
+
+
+def _decoded(vocabulary: Vocabulary, column: pa.ListArray) -> pa.Array:
+    counts = np.asarray(column.value_lengths().fill_null(0)).astype(np.int64)
+    null, ends = np.asarray(column.is_null()).tolist(), np.cumsum(counts)
+    ids = column.flatten().to_numpy(zero_copy_only=False)
+    texts: list[str | None] = []
+    first = 0
+    while first < len(counts):
+        base = ends[first] - counts[first]
+        last = max(first + 1, int(np.searchsorted(ends, base + _IDS, "right")))
+        part = ids[base : ends[last - 1]]
+        if last - first == 1:
+            found = [_spelled(vocabulary, part)]
+        else:
+            data, offsets = decode_buffer(vocabulary, part, counts[first:last])
+            raw = data.tobytes()
+            found = [raw[a:b] for a, b in zip(offsets.tolist(), offsets[1:].tolist(), strict=False)]
+        texts += [None if gone else x.decode("utf-8", "replace") for x, gone in zip(found, null[first:last], strict=True)]
+        first = last
+    return pa.array(texts, pa.string())
+
+
+def _encode(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, with_text: bool = False) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         text = batch.column(batch.schema.get_field_index("text"))
         rest = [i for i, name in enumerate(batch.schema.names) if name != "text"]
+        names = [*(batch.schema.names[i] for i in rest), "ids", *["decoded"] * with_text]
         for first, last, data, offsets in chunks(text, _CHUNK):
-            ids, counts = encode_buffer(vocabulary, data, offsets)
-            ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-            column = pa.ListArray.from_arrays(pa.array(ends), pa.array(ids), mask=text.slice(first, last - first).is_null() if text.null_count else None)
+            column = _id_column(vocabulary, text, first, last, data, offsets)
             part = batch.slice(first, last - first)
-            yield pa.RecordBatch.from_arrays([*(part.column(i) for i in rest), column], names=[*(batch.schema.names[i] for i in rest), "ids"])
+            more = [column, _decoded(vocabulary, column)] if with_text else [column]
+            yield pa.RecordBatch.from_arrays([*(part.column(i) for i in rest), *more], names=names)
 
 
 def _decode(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        column = batch.column(batch.schema.get_field_index("ids"))
-        counts = np.asarray(column.value_lengths().fill_null(0)).astype(np.int64)
-        ids = column.flatten().to_numpy(zero_copy_only=False)
-        data, offsets = decode_buffer(vocabulary, ids, counts)
-        raw = data.tobytes()
-        null = np.asarray(column.is_null())
-        texts = [None if gone else raw[a:b].decode("utf-8", "replace") for a, b, gone in zip(offsets.tolist(), offsets[1:].tolist(), null.tolist(), strict=False)]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
+        for first in range(0, len(batch), _ROWS // 16):  # so that few decoded texts are held at once
+            part = batch.slice(first, _ROWS // 16)
+            yield pa.RecordBatch.from_arrays([*part.columns, _decoded(vocabulary, part.column(part.schema.get_field_index("ids")))], names=[*part.schema.names, "decoded"])
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """docs with ids (array of piece ids) in place of text; a column named ids is replaced.
 
     A null text has null ids, an empty one none. Characters without a piece, and U+2581, are spelled by byte pieces.
+    Texts of any length are read whole, long ones in slices; rows repeated whole each get the same ids.
     """
     docs = docs.drop("ids")
     return docs.mapInArrow(lambda it: _encode(it, vocabulary), extended(docs.drop("text").schema, ids="array<int>"))
@@ -221,3 +285,9 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """encoded with decoded, the text that column ids spells; encode() and decode() give back every text exactly."""
     encoded = encoded.drop("decoded")
     return encoded.mapInArrow(lambda it: _decode(it, vocabulary), extended(encoded.schema, decoded="string"))
+
+
+def encode_and_decode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """decode(encode(docs)), in one pass: docs with ids and decoded in place of text."""
+    docs = docs.drop("ids", "decoded")
+    return docs.mapInArrow(lambda it: _encode(it, vocabulary, True), extended(docs.drop("text").schema, ids="array<int>", decoded="string"))

@@ -12,7 +12,7 @@ from .impact_search import top_inner_products
 from .lattice_dedup import embedding_dedup
 from .line_dedup import line_dedup
 from .mixing import mix
-from .pieces import decode, encode, load_vocabulary
+from .pieces import encode_and_decode, load_vocabulary
 from .simhash_dedup import simhash_groups
 from .substring_dedup import substring_dedup
 from .url_filter import Rule, url_filter
@@ -134,7 +134,7 @@ PIECES = os.environ.get("RUNLENS_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = load_vocabulary(PIECES)
     docs = _table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("text_sha256"), "text")
-    back = decode(encode(docs, vocabulary), vocabulary)
+    back = encode_and_decode(docs, vocabulary)
     return back.select(
         "doc_id",
         F.when(F.col("ids").isNull(), 0).otherwise(F.size("ids")).cast("long").alias("n_ids"),

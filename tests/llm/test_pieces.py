@@ -8,7 +8,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from runlens.llm.pieces import SPACE, Vocabulary, decode, decode_buffer, encode, encode_buffer, load_vocabulary
+from runlens.llm import registry
+from runlens.llm.pieces import SPACE, Vocabulary, decode, decode_buffer, encode, encode_and_decode, encode_buffer, encode_text, load_vocabulary
 from runlens.llm.textbuf import buffer_of
 
 PATH = "/opt/tokenizers/piece_bpe_32k.model"
@@ -91,3 +92,35 @@ def test_vocabularies_that_cannot_be_cut():
         Vocabulary([0], [f"a{chr(SPACE)}b"], [0.0], list(range(1, 257)))
     with pytest.raises(ValueError):
         Vocabulary([0], ["a"], [0.0], [])
+
+
+def test_long_texts_in_slices(vocabulary):
+    text = ("some words,  and   gaps of spaces \u2581 and 日本語 " * 40)[3:]
+    data = np.frombuffer(text.encode(), np.uint8)
+    whole = ids_of(vocabulary, [text])[0]
+    for most in (1, 7, 100, 4096):
+        assert encode_text(vocabulary, data, most).tolist() == whole
+    spaceless = np.frombuffer(b"x" * 500, np.uint8)
+    assert encode_text(vocabulary, spaceless, 50).tolist() == ids_of(vocabulary, ["x" * 500])[0]
+
+
+def test_one_pass_is_encode_then_decode(spark, vocabulary):
+    rows = [(i, t) for i, t in enumerate([*TEXTS, None, TEXTS[3], "many words here " * 1_300_000])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"ids": F.lit(1), "decoded": F.lit(2)})
+    once = encode_and_decode(docs, vocabulary)
+    twice = decode(encode(docs, vocabulary), vocabulary)
+    digest = lambda d: sorted(map(tuple, d.select("doc_id", F.xxhash64("ids"), F.sha2("decoded", 256)).collect()))
+    assert digest(once) == digest(twice)
+    assert once.columns == twice.columns == ["doc_id", "ids", "decoded"]
+    back = once.join(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id")
+    assert back.where(~F.col("text").eqNullSafe(F.col("decoded"))).count() == 0
+
+
+def test_the_query_against_brute_force(spark, vocabulary):
+    sf = "/root/testdata/sf0.001"
+    short = {x.doc_id: x.text for x in spark.read.parquet(f"{sf}/documents.parquet").collect() if len(x.text or "") < 600}
+    got = {x.doc_id: x for x in registry.op7_sentencepiece(spark, sf).collect()}
+    assert all(x.round_trip for x in got.values())
+    want = spark.createDataFrame([(i, brute(vocabulary, t or "")) for i, t in short.items()], "doc_id long, ids array<int>").select("doc_id", F.size("ids").alias("n"), F.xxhash64("ids").alias("h"))
+    for x in want.collect():
+        assert (got[x.doc_id].n_ids, got[x.doc_id].ids_hash) == (x.n, x.h)
