@@ -9,7 +9,9 @@ enough to be scored exactly; all others are proven out. Blocks' results are then
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -30,40 +32,59 @@ PAUSES = (0.2, 0.35, 0.5, 0.65, 0.8, 1.0)
 MEMBERS = 8
 
 
-def _quantised(batch: pa.RecordBatch) -> tuple[np.ndarray, list[np.ndarray]]:
-    """(ids, whole-number vectors) of the rows that take part."""
-    ids, out = [], []
+def _limit(dims: int) -> int:
+    """Inner products of vectors of components up to this size stay within 62 bits."""
+    return math.isqrt((1 << 62) // max(1, dims))
+
+
+def _quantised(batch: pa.RecordBatch) -> Iterator[tuple[int, bool, int, np.ndarray]]:
+    """(dimensions, wide, id, whole-number vector) of the rows that take part; a wide vector's numbers are Python's."""
     for i, v in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
         if i is None or not v.is_valid:
             continue
         values = v.values
         if not values.null_count and np.isfinite(x := values.to_numpy(zero_copy_only=False).astype(np.float64)).all():
-            ids.append(i)
-            out.append(np.floor(LEVELS * x).astype(np.int64))
-    return np.array(ids, np.int64), out
+            if np.abs(x).max(initial=0) * LEVELS < _limit(len(x)):
+                yield len(x), False, i, np.floor(LEVELS * x).astype(np.int64)
+            else:
+                yield len(x), True, i, np.array([math.floor(Fraction(y) * LEVELS) for y in x.tolist()], object)
+
+
+def _packed(rows: np.ndarray, wide: bool) -> bytes:
+    """Vectors as bytes: the narrowest whole numbers that hold them, or text."""
+    if wide:
+        return " ".join(map(str, rows.ravel().tolist())).encode()
+    kind = next(k for k in (np.int16, np.int32, np.int64) if k is np.int64 or (rows.min(initial=0) >= np.iinfo(k).min and rows.max(initial=0) <= np.iinfo(k).max))
+    return bytes([np.dtype(kind).itemsize]) + rows.astype(kind).tobytes()
+
+
+def _unpacked(packed: bytes, n: int, wide: bool) -> np.ndarray:
+    if wide:
+        return np.array([int(x) for x in packed.split()], object).reshape(n, -1)
+    return np.frombuffer(packed[1:], f"i{packed[0]}").astype(np.int64).reshape(n, -1)
 
 
-def _by_size(ids: np.ndarray, rows: list[np.ndarray], most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    sizes = np.array([len(r) for r in rows])
-    for size in np.unique(sizes):
-        at = np.flatnonzero(sizes == size)
-        for k in range(0, len(at), most):
-            part = at[k : k + most]
-            yield ids[part], np.stack([rows[i] for i in part])
+_BLOCKS = "dims int, wide boolean, spread long, ids binary, vectors binary"
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Blocks of `most` vectors of one size; a task's last ones are smaller."""
+
+    def block(dims: int, wide: bool, rows: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+        ids = np.array([i for i, _ in rows], np.int64)
+        matrix = np.array([x for _, x in rows], object if wide else np.int64).reshape(len(rows), dims)
+        columns = [pa.array([dims], pa.int32()), pa.array([wide]), pa.array([int(ids[0])]), pa.array([ids.tobytes()]), pa.array([_packed(matrix, wide)])]
+        return pa.record_batch(columns, names=["dims", "wide", "spread", "ids", "vectors"])
+
+    held: dict[tuple[int, bool], list] = {}
     for batch in batches:
-        found = list(_by_size(*_quantised(batch), most))
-        # Any block may go to any part: which one only spreads the work.
-        names = ["dims", "spread", "ids", "vectors"]
-        columns = [
-            pa.array([x.shape[1] for _, x in found], pa.int32()),
-            pa.array([int(i[0]) for i, _ in found], pa.int64()),
-            pa.array([i.tobytes() for i, _ in found], pa.binary()),
-            pa.array([x.tobytes() for _, x in found], pa.binary()),
-        ]
-        yield pa.record_batch(columns, names=names)
+        for dims, wide, i, x in _quantised(batch):
+            rows = held.setdefault((dims, wide), [])
+            rows.append((i, x))
+            if len(rows) == most:
+                yield block(dims, wide, held.pop((dims, wide)))
+    for (dims, wide), rows in held.items():
+        yield block(dims, wide, rows)
 
 
 class ImpactIndex:
@@ -112,16 +133,45 @@ class ImpactIndex:
         return self.ids[members][top], scores[top], int(read_by[at - 1]) if at else 0
 
 
+def _plain(ids: np.ndarray, vectors: np.ndarray, query: np.ndarray, k: int, skip: int) -> tuple[list[int], list[int]]:
+    """The k best by plain whole numbers, where they may be too large for the index."""
+    scores = (vectors.astype(object) * query.astype(object)).sum(axis=1) if vectors.shape[1] else np.zeros(len(ids), object)
+    top = sorted((-int(s), int(i)) for s, i in zip(scores, ids.tolist(), strict=True) if i != skip)[:k]
+    return [i for _, i in top], [-s for s, _ in top]
+
+
+def _ordered(score: int) -> bytes:
+    """A score as bytes that sort as the scores do: first its sign and length, then its digits, turned over if negative."""
+    size = (abs(score).bit_length() + 7) // 8
+    digits = abs(score).to_bytes(size, "big")
+    if score >= 0:
+        return (0x8000 + size).to_bytes(2, "big") + digits
+    return (0x7FFF - size).to_bytes(2, "big") + bytes(255 - x for x in digits)
+
+
 def _search(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """For each block of rows (`asked` false) the blocks of queries that follow it."""
+    block = index = None
     for batch in batches:
-        for dims, *packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            ids, vectors, q_ids, queries = (np.frombuffer(x, np.int64) for x in packed)
-            index = ImpactIndex(ids, vectors.reshape(len(ids), dims))
-            out = []
-            for q_id, query in zip(q_ids, queries.reshape(len(q_ids), dims), strict=True):
-                found, scores, _ = index.search(query, k, int(q_id))
-                out.append((np.full(len(found), q_id), found, scores))
-            yield pa.record_batch([pa.array(np.concatenate(x), pa.int64()) for x in zip(*out, strict=True)], names=["query_id", "vec_id", "score"])
+        for asked, dims, wide, ids, packed in zip(*(batch.column(c) for c in ("asked", "dims", "wide", "ids", "vectors")), strict=True):
+            ids = np.frombuffer(ids.as_py(), np.int64)
+            vectors, wide = _unpacked(packed.as_py(), len(ids), wide.as_py()), wide.as_py()
+            vectors = vectors.reshape(len(ids), dims.as_py())
+            if not asked.as_py():
+                block = ids, vectors, wide
+                index = None if wide else ImpactIndex(ids, vectors)
+                continue
+            out: tuple[list, list, list, list] = ([], [], [], [])
+            for q_id, query in zip(ids.tolist(), vectors, strict=True):
+                if wide or index is None:
+                    found, scores = _plain(block[0], block[1], query, k, q_id)
+                else:
+                    near, values, _ = index.search(query, k, q_id)
+                    found, scores = near.tolist(), values.tolist()
+                for column, values in zip(out, ([q_id] * len(found), found, [max(-(1 << 63), min(x, (1 << 63) - 1)) for x in scores], [_ordered(x) for x in scores]), strict=True):
+                    column.extend(values)
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.record_batch([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], names=["query_id", "vec_id", "score", "place"])
 
 
 def top_inner_products(rows: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
@@ -129,18 +179,20 @@ def top_inner_products(rows: DataFrame, queries: DataFrame, k: int = TOP) -> Dat
 
     rows and queries: vec_id and embedding, whose components x count as floor(256 x). A query isn't its own result; with
     fewer than k others it gets all. Rows without vec_id, and vectors that are null or hold a null or non-finite
-    component, take no part; vectors of different sizes do not meet, and empty ones score 0 with each other. vec_id is
-    taken to be unique but for rows repeated whole, which count once. Other columns are ignored.
+    component, take no part; vectors of different sizes do not meet, and empty ones score 0 with each other. Ranks are
+    those of the exact inner products however large; a score beyond 64 bits is given as the nearest long. vec_id is
+    taken to be unique but for rows repeated whole, which count once; of different vectors with one vec_id, any one
+    takes part. Other columns are ignored.
     """
-    schema = "dims int, spread long, ids binary, vectors binary"
     wide = rows.select("vec_id", "embedding").dropDuplicates(["vec_id"])
-    index = written(wide.mapInArrow(lambda it: _blocks(it, BLOCK), schema), "impact_blocks")
-    asked = written(queries.select("vec_id", "embedding").dropDuplicates(["vec_id"]).mapInArrow(lambda it: _blocks(it, QUERY_BLOCK), schema), "query_blocks")
-    # Every block of queries goes to every part, a few blocks of rows: the work of all parts is alike.
-    parts = max(1, index.count())
-    left = index.withColumn("part", F.pmod(F.xxhash64("spread", "ids"), F.lit(parts)).cast("int"))
-    right = asked.select(F.col("dims").alias("q_dims"), F.col("ids").alias("q_ids"), F.col("vectors").alias("queries"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
-    met = left.join(right, (left["part"] == right["part"]) & (F.col("dims") == F.col("q_dims"))).select("dims", "ids", "vectors", "q_ids", "queries")
-    found = met.mapInArrow(lambda it: _search(it, k), "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    index = written(wide.mapInArrow(lambda it: _blocks(it, BLOCK), _BLOCKS), "impact_blocks")
+    asked = written(queries.select("vec_id", "embedding").dropDuplicates(["vec_id"]).mapInArrow(lambda it: _blocks(it, QUERY_BLOCK), _BLOCKS), "query_blocks")
+    # Blocks are numbered, one row a block, so that each is a part of its own; every block of queries goes to every part of its size.
+    numbers = written(index.select("dims", "wide", "spread", F.row_number().over(Window.orderBy("dims", "wide", "spread")).alias("part")), "impact_parts")
+    parts = max(1, numbers.count())
+    left = index.join(numbers, ["dims", "wide", "spread"]).select("part", F.lit(False).alias("asked"), "dims", "wide", "ids", "vectors")
+    right = asked.join(numbers.select("dims", "part"), "dims").select("part", F.lit(True).alias("asked"), "dims", "wide", "ids", "vectors")
+    dealt = left.unionByName(right).repartitionByRange(parts, "part").sortWithinPartitions("part", "asked")
+    found = dealt.select("asked", "dims", "wide", "ids", "vectors").mapInArrow(lambda it: _search(it, k), "query_id long, vec_id long, score long, place binary")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("place"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -1,8 +1,10 @@
-"""Language identification by a bidirectional gated recurrent network over the bytes of words.
+"""Language identification by a bidirectional gated recurrent network over bytes.
 
-A word's bytes run through one network from each side; every byte position gets a probability for each language, and
-a document's probabilities are the mean over all its positions. The network is trained in numpy by backpropagation
-through time. Words that recur in a chunk of texts are run once and counted as often as they occur.
+A text is cut into sequences of a few whole words, and a sequence's bytes run through one network from each side, so
+that its state crosses words; every byte position gets a probability for each language and for none of them, and a
+document's probabilities are the mean over all its positions. "None" is learned from sequences whose letters are
+shuffled or drawn at random. The network is trained in numpy by backpropagation through time. Sequences that
+recur in a chunk of texts are run once and counted as often as they occur.
 """
 
 from __future__ import annotations
@@ -18,11 +20,14 @@ from .storage import extended
 from .textbuf import chunks, ranges, word_hashes, words_of
 
 HIDDEN = 8
-#: A longer run of bytes is cut into sequences of this length.
-LONGEST = 24
-#: The training sample: about so many documents of each language, so many words spread over each one's whole text.
+#: Words of a sequence.
+WORDS = 6
+#: A longer sequence (in bytes) is cut, at the start of a character.
+LONGEST = 64
+#: The training sample, both parameters of fit(): about so many documents of each language, and so many sequences spread
+#: over each one's whole text.
 SAMPLE_DOCS = 400
-SAMPLE_WORDS = 40
+SAMPLE_SEQUENCES = 12
 EPOCHS = 4
 BATCH = 256
 RATE = 0.01
@@ -35,7 +40,7 @@ _CHUNK = 2 << 20
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+    return 0.5 * np.tanh(0.5 * x) + 0.5
 
 
 class ByteGRU:
@@ -137,13 +142,22 @@ def train(words: list[bytes], labels: list[int], n_languages: int, epochs: int =
 
 
 def _sequences(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, ends, first sequence of each text): words, cut where they are longer than LONGEST."""
+    """(starts, ends, first sequence of each text): WORDS words each with what parts them, cut where they are longer than LONGEST."""
     starts, ends, at = words_of(data, offsets)
+    n = np.diff(at)
+    heads = ranges(np.zeros(len(n), np.int64), n) % WORDS == 0
+    last = np.append(heads[1:], True) if len(heads) else heads
+    starts, ends, at = starts[heads], ends[last], np.concatenate([[0], np.cumsum(heads)])[at]
     pieces = -(-(ends - starts) // LONGEST)
     if len(pieces) and pieces.max() > 1:
-        begin = np.repeat(starts, pieces) + LONGEST * ranges(np.zeros(len(pieces), np.int64), pieces)
+        first = np.repeat(starts, pieces)
+        begin = first + LONGEST * ranges(np.zeros(len(pieces), np.int64), pieces)
+        for _ in range(3):  # back to the start of a character, which has up to four bytes
+            begin -= (begin > first) & ((data[begin] & 0xC0) == 0x80)
         at = np.concatenate([[0], np.cumsum(pieces)])[at]
-        starts, ends = begin, np.minimum(begin + LONGEST, np.repeat(ends, pieces))
+        last = np.append(first[1:] != first[:-1], True)
+        ends = np.where(last, np.repeat(ends, pieces), np.append(begin[1:], 0))
+        starts = begin
     return starts, ends, at
 
 
@@ -158,8 +172,8 @@ def document_probabilities(model: ByteGRU, data: np.ndarray, offsets: np.ndarray
     pooled = np.empty((len(first), n_languages))
     for length in np.unique(lengths):
         rows = np.flatnonzero(lengths == length)
-        for k in range(0, len(rows), 8192):
-            part = rows[k : k + 8192]
+        for k in range(0, len(rows), 2048):
+            part = rows[k : k + 2048]
             words = data[starts[first[part]][:, None] + np.arange(length)]
             pooled[part] = model.forward(words)[0].sum(axis=0)
     sums = np.concatenate([np.zeros((1, n_languages)), np.cumsum(pooled[which], axis=0)])
@@ -173,48 +187,58 @@ def fold(doc_id: Column | str, folds: int) -> Column:
 
 
 def balanced_sample(rows: DataFrame, label: str, each: int, by: str = "doc_id") -> DataFrame:
-    """About `each` rows of every label value, picked by a hash of `by`; never more than 4 * each a value on average.
-
-    The rates come from counts over all rows.
-    """
+    """About `each` rows of every label value, picked by a hash of `by`; the rates come from counts over all rows."""
     counts = {x[0]: x[1] for x in rows.groupBy(label).count().collect()}
     rate = F.lit(0.0)
     for value, n in counts.items():
         rate = F.when(F.col(label) == value, F.lit(min(1.0, each / n))).otherwise(rate)
-    return rows.where(F.pmod(F.xxhash64(F.lit("sample"), F.col(by)), F.lit(1 << 30)) < rate * (1 << 30)).limit(4 * each * max(1, len(counts)))
+    return rows.where(F.pmod(F.xxhash64(F.lit("sample"), F.col(by)), F.lit(1 << 30)) < rate * (1 << 30))
 
 
-def _sample_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sampled(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for first, last, data, offsets in chunks(batch.column(0), _CHUNK):
             starts, ends, at = _sequences(data, offsets)
             raw = data.tobytes()
             for i in range(last - first):
-                k = np.unique(np.linspace(at[i], at[i + 1] - 1, min(SAMPLE_WORDS, at[i + 1] - at[i])).astype(int))
-                words = [raw[starts[j] : ends[j]] for j in k]
-                yield pa.record_batch([pa.array(words, pa.binary()), pa.array([batch.column(1)[first + i].as_py()] * len(words))], names=["word", "lang"])
+                k = np.unique(np.linspace(at[i], at[i + 1] - 1, min(most, at[i + 1] - at[i])).astype(int))
+                found = [raw[starts[j] : ends[j]] for j in k]
+                yield pa.record_batch([pa.array(found, pa.binary()), pa.array([batch.column(1)[first + i].as_py()] * len(found), pa.string())], names=["sequence", "lang"])
+
+
+def scrambled(text: bytes, r: np.random.Generator, shuffle: bool) -> bytes:
+    """The text with its characters other than spaces in another order, or random letters in their place."""
+    chars = np.array(list(text.decode("utf-8", "replace")))
+    ink = np.flatnonzero(chars != " ")
+    chars[ink] = r.permutation(chars[ink]) if shuffle else np.array(list("abcdefghijklmnopqrstuvwxyz"))[r.integers(0, 26, len(ink))]
+    return "".join(chars).encode()
 
 
-def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> tuple[ByteGRU | None, list[str]]:
+def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_sequences: int = SAMPLE_SEQUENCES) -> tuple[ByteGRU | None, list[str]]:
     """(network, languages) from documents with doc_id, text and lang; (None, []) if there are none.
 
-    At most about sample_docs documents of a language, SAMPLE_WORDS words each, reach the driver.
+    The network's last output stands for none of the languages.
+    About sample_docs documents of a language, sample_sequences sequences each, reach the driver. Languages are numbered
+    in text order, so that ties of their probabilities go to the first.
     """
     rows = labelled.where("text is not null and lang is not null and doc_id is not null").select("doc_id", "text", "lang")
-    picked = balanced_sample(rows, "lang", sample_docs).select("text", "lang").mapInArrow(_sample_words, "word binary, lang string").toPandas()
-    picked = picked.sort_values(["lang", "word"])  # rows arrive in any order
+    picked = balanced_sample(rows, "lang", sample_docs).select("text", "lang").mapInArrow(lambda it: _sampled(it, sample_sequences), "sequence binary, lang string").toPandas()
+    picked = picked.sort_values(["lang", "sequence"])  # rows arrive in any order
     languages = sorted(picked["lang"].unique())
     if not languages:
         return None, []
     codes = {x: i for i, x in enumerate(languages)}
-    return train([bytes(w) for w in picked["word"]], [codes[x] for x in picked["lang"]], len(languages)), languages
+    known, r = [bytes(w) for w in picked["sequence"]], np.random.default_rng(13)
+    none = [scrambled(w, r, bool(k % 2)) for k, w in enumerate(known[::2])]
+    labels = [codes[x] for x in picked["lang"]] + [len(languages)] * len(none)
+    return train(known + none, labels, len(languages) + 1), languages
 
 
 def _predict(batches: Iterator[pa.RecordBatch], model: ByteGRU | None, languages: list[str]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         best, score = [np.zeros(0, int)], [np.zeros(0)]
         for first, last, data, offsets in chunks(batch.column(batch.schema.get_field_index("text")), _CHUNK):
-            found = document_probabilities(model, data, offsets) if model else np.zeros((last - first, 1))
+            found = document_probabilities(model, data, offsets)[:, : len(languages)] if model else np.zeros((last - first, 1))
             best.append(found.argmax(axis=1))
             score.append(found.max(axis=1))
         names = pa.array([*languages, UNDETERMINED]).take(pa.array(np.concatenate(best)))
@@ -225,7 +249,7 @@ def identify_language(docs: DataFrame, model: ByteGRU | None, languages: list[st
     """docs with two more columns (which replace any of that name): lang_pred, and score, the mean probability of it over all bytes of the words.
 
     lang_pred is a learned language; "und" with score 0 for texts that are null or have no letter, and where nothing
-    could be learned.
+    could be learned. Texts of any length are read whole; repeated rows each get the same answer.
     """
     docs = docs.drop("lang_pred", "score")
     schema = extended(docs.schema, lang_pred="string", score="double")
@@ -237,13 +261,10 @@ def identify_language(docs: DataFrame, model: ByteGRU | None, languages: list[st
 def least_score(known: DataFrame, n_languages: int) -> Column:
     """The score below which a text is in none of the languages, from lang, text, lang_pred and score of all known rows.
 
-    It goes from chance (1 / n_languages) towards the low quantile of the scores of long texts whose label is met, as
-    length / (length + half). `half` is the least that leaves the short texts among them in place, all but GIVEN_UP. One
-    language alone always has score 1 and rejects nothing.
+    It goes from chance (1 / (n_languages + 1), for none is an answer, too) towards the low quantile of the scores of long texts whose label is met, as
+    length / (length + half). `half` is the least that leaves the short texts among them in place, all but GIVEN_UP.
     """
-    if n_languages < 2:
-        return F.lit(0.0)
-    chance, length = 1 / n_languages, F.length("text")
+    chance, length = 1 / (n_languages + 1), F.length("text")
     met = known.where("lang = lang_pred").select(length.alias("length"), "score")
     usual = F.percentile_approx("score", GIVEN_UP, 10_000)
     low = met.where(F.col("length") >= SHORT_CHARS).agg(usual).first()[0] or met.agg(usual).first()[0] or chance

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .links import components
-from .storage import extended, written
+from .storage import extended, unused, written
 from .textbuf import WORD_BASES, Rolling, chunks, mixed, powers, ranges
 
 EDITS = 1
@@ -309,9 +309,11 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, crowd: int = CROWD)
     dropped or replaced) apart, form a class, with all that such links reach. Of each class only the line of the
     smallest doc_id, and there of the smallest number, stays. Blank lines always stay. A null text stays null and has
     no lines, an empty one has one blank line; rows without doc_id are kept whole and are no other's first. doc_id is
-    taken to be unique but for rows repeated whole, which all get the same result.
+    taken to be unique but for rows repeated whole, which all get the same result. Texts and lines of any length are
+    read whole. Other columns stay, whatever their names.
     """
     docs = docs.drop(*_MORE)
-    gone = removed_lines(docs, min_chars, crowd).toDF("_doc", "_found")
-    joined = docs.join(gone, F.col("doc_id") == F.col("_doc"), "left").drop("_doc")
+    doc, found = unused(docs, "doc", "found")
+    gone = removed_lines(docs, min_chars, crowd).toDF(doc, found)
+    joined = docs.join(gone, F.col("doc_id") == F.col(doc), "left").drop(doc)
     return joined.mapInArrow(_kept, extended(docs.schema, **_MORE))

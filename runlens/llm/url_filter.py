@@ -132,16 +132,23 @@ class BloomCascade:
         return asked.withColumn(name, answer & key.isNotNull()).drop("k0", "k1", "k2", "segment", *(f"pass{i}" for i in range(len(self.levels))))
 
 
+def _ruled_keys(listed: DataFrame, rules: list[Rule]) -> DataFrame:
+    """The keys of `listed` but those that an allowing rule wins."""
+    parts = listed.select("key", F.regexp_extract("key", r"^([^/]*)", 1).alias("host"), F.regexp_extract("key", r"^[^/]*(.*)", 1).alias("path"))
+    return parts.withColumn("won", winning_rule(rules)).where(F.coalesce(F.col("won.verdict") == "block", F.lit(True))).select("key")
+
+
 def url_filter(pages: DataFrame, rules: list[Rule], listed: DataFrame | None = None, segment_bits: int = SEGMENT_BITS) -> DataFrame:
     """One row per page: page_id, host, path, rule (null if none fits), verdict (allow or block), listed.
 
-    A key is host + path. Listed are the keys of `listed` (column key) and those that a blocking rule wins, so the
-    cascade over all keys of `pages` alone knows every blocked page. A rule that fits decides; without one, listed
-    pages are blocked and others allowed. A url that is null or has no "://" has the empty key. Other columns are ignored.
+    A key is host + path. The cascade's list holds the keys of `pages` that a blocking rule wins and those of `listed`
+    (column key) that no allowing rule wins; its universe is the keys of all pages. The verdict is the cascade's answer
+    alone; `rule` names the rule that fits and decides nothing. Repeated pages each get a row. A url that is null or
+    has no "://" has the empty key. Other columns are ignored.
     """
     parsed = with_host_and_path(pages.select("page_id", "url")).withColumn("won", winning_rule(rules)).withColumn("key", F.concat("host", "path"))
     blocked = parsed.where("won.verdict = 'block'").select("key")
-    cascade = BloomCascade(parsed.select("key"), blocked if listed is None else blocked.unionByName(listed.select("key")), segment_bits)
-    return cascade.mark(parsed, F.col("key")).select(
-        "page_id", "host", "path", F.col("won.rule").alias("rule"), F.coalesce("won.verdict", F.when(F.col("listed"), "block").otherwise("allow")).alias("verdict"), "listed"
-    )
+    if listed is not None:
+        blocked = blocked.unionByName(_ruled_keys(listed, rules))
+    cascade = BloomCascade(parsed.select("key"), blocked, segment_bits)
+    return cascade.mark(parsed, F.col("key")).select("page_id", "host", "path", F.col("won.rule").alias("rule"), F.when(F.col("listed"), "block").otherwise("allow").alias("verdict"), "listed")

@@ -1,6 +1,8 @@
+import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
+from runlens.llm import impact_search, registry
 from runlens.llm.impact_search import ImpactIndex, top_inner_products
 
 
@@ -42,3 +44,33 @@ def test_fewer_than_k_and_empty(spark):
     table = spark.createDataFrame([(1, [1.0]), (2, [0.5]), (3, [-1.0])], "vec_id long, embedding array<float>")
     assert [tuple(x) for x in top_inner_products(table, table.where("vec_id = 1")).orderBy("rank").collect()] == [(1, 1, 2, 32768), (1, 2, 3, -65536)]
     assert top_inner_products(table.limit(0), table.limit(0)).count() == 0
+
+
+def test_huge_components_rank_exactly(spark):
+    rows = [(1, [1e30, 1.0]), (2, [1e30, 0.0]), (3, [1.0, 1.0]), (4, [-1e30, 5.0]), (5, [3.0e38, -3.0e38]), (6, [1e30, 2.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = top_inner_products(table, table, 5).collect()
+    exact = {i: [int(x * 256) for x in v] for i, v in rows}
+    for q in exact:
+        want = sorted((-sum(a * b for a, b in zip(exact[q], v, strict=True)), i) for i, v in exact.items() if i != q)
+        assert [x.vec_id for x in sorted(got, key=lambda x: x["rank"]) if x.query_id == q] == [i for _, i in want]
+    assert {x.score for x in got if x.query_id == 1 and x.vec_id == 2} == {(1 << 63) - 1}
+
+
+def test_many_blocks(spark, monkeypatch):
+    r = np.random.default_rng(6)
+    rows = [(i, r.standard_normal(6).astype(np.float32).tolist()) for i in range(300)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(2)
+    monkeypatch.setattr(impact_search, "BLOCK", 40)
+    monkeypatch.setattr(impact_search, "QUERY_BLOCK", 7)
+    got = top_inner_products(table, table.where("vec_id % 4 = 0")).collect()
+    assert {tuple(x) for x in got} == brute(rows, [x for x in rows if x[0] % 4 == 0], 5)
+
+
+def test_query_and_sql(spark):
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.sql(f"create view embeddings as select * from '{sf}/embeddings.parquet'")
+    want = con.sql(registry.ORACLES["op4_exact_top_k"])
+    got = registry.op4_exact_top_k(spark, sf).select(*want.columns).collect()
+    assert sorted(map(tuple, got)) == sorted(want.fetchall())

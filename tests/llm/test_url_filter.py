@@ -1,7 +1,9 @@
 import random
 
+import duckdb
 from pyspark.sql import functions as F
 
+from runlens.llm import registry
 from runlens.llm.url_filter import BloomCascade, Rule, url_filter
 
 RULES = [Rule("block", "com", "/a"), Rule("allow", "x.com", "/a/b"), Rule("block", "net", "/")]
@@ -46,3 +48,22 @@ def test_urls(spark):
     got = url_filter(pages, RULES, keys(spark, ["bad.org/x"])).drop("listed").collect()
     assert sorted(map(str, map(tuple, got))) == sorted(str((i, *rest)) for i, _, *rest in rows)
     assert url_filter(pages.limit(0), RULES).count() == 0
+
+
+def test_the_verdict_is_the_cascades(spark, monkeypatch):
+    """A cascade whose levels let everything pass turns the verdicts over: nothing beside it decides."""
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(["http://a.com/a", "http://b.net/", "http://c.org/", "http://x.com/a/b"])], "page_id long, url string")
+    listed = keys(spark, ["c.org/", "x.com/a/b"])
+    got = {x.page_id: (x.verdict, x.rule) for x in url_filter(pages, RULES, listed).collect()}
+    assert got == {0: ("block", "com/a"), 1: ("block", "net/"), 2: ("block", None), 3: ("allow", "x.com/a/b")}
+    monkeypatch.setattr(BloomCascade, "mark", lambda self, rows, key, name="listed": rows.withColumn(name, F.lit(False)))
+    assert {x.verdict for x in url_filter(pages, RULES, listed).collect()} == {"allow"}
+
+
+def test_query_and_sql(spark):
+    sf = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.sql(f"create view pages as select * from '{sf}/pages.parquet'")
+    want = con.sql(registry.ORACLES["op10_url_filters"])
+    got = registry.op10_url_filters(spark, sf).select(*want.columns).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(want.fetchall(), key=str)
