@@ -1,16 +1,18 @@
-"""Line deduplication: of lines that are equal or one edit apart, over the whole corpus, the first stays.
+"""Line deduplication: of lines that are equal or a few edits apart, over the whole corpus, the first stays.
 
 Exact copies meet by a 128-bit hash. For the edit join each distinct line of `min_chars` or more is cut into
 threshold + 1 segments; a line within the threshold of it must contain one of them unchanged, near its old place. So
 the segments, with their number and the line's length, are an index, and every line probes it, for each length within
-the threshold, with its own substrings at the places where a match can begin. Lines that meet are verified by a banded
-bit-parallel edit distance over their characters.
+the threshold, with its own substrings at the places where a match can begin. A segment that many lines share is split:
+its lines are cut into one segment more, of which two must be found unchanged. Lines that meet are verified by a banded
+bit-parallel edit distance over their characters. The threshold grows with the length of the shorter line.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import combinations, product
 
 import numpy as np
 import pyarrow as pa
@@ -21,9 +23,11 @@ from .links import components
 from .storage import extended, unused, written
 from .textbuf import WORD_BASES, Rolling, chunks, mixed, powers, ranges
 
-EDITS = 1
 MIN_CHARS = 16
-#: Segments that more lines share are joined through lines with one character left out instead of pair by pair.
+#: Edits allowed from MIN_CHARS on, and from so many characters on.
+EDITS = 1
+LONGER = ((256, 2),)
+#: Segments that more lines share are split by a second segment.
 CROWD = 64
 #: Up to so many line hashes (8 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
@@ -54,36 +58,72 @@ def _lines(chars: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return text, number, starts, ends
 
 
-def segments(length: np.ndarray, edits: int) -> tuple[np.ndarray, np.ndarray]:
-    """(starts, sizes) of the edits + 1 segments of lines of these lengths, one column a segment; sizes differ by 1 at most."""
-    k = edits + 1
-    starts = (length[:, None] * np.arange(k + 1)) // k
+Thresholds = tuple[tuple[int, int], ...]
+
+
+def allowed(lengths: np.ndarray, thresholds: Thresholds) -> np.ndarray:
+    """The edits allowed between a line of this length and a longer one; 0 for lines too short."""
+    return np.array([0, *(k for _, k in thresholds)])[np.searchsorted([n for n, _ in thresholds], lengths, "right")]
+
+
+def segments(length: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, sizes) of `count` segments of lines of these lengths, one column a segment; sizes differ by 1 at most."""
+    starts = (length[:, None] * np.arange(count + 1)) // count
     return starts[:, :-1], np.diff(starts, axis=1)
 
 
-def _keys(rolling: Rolling, starts: np.ndarray, lengths: np.ndarray, edits: int) -> Iterator[tuple[bool, np.ndarray, np.ndarray]]:
-    """(is it a probe, line, key): the index keys of all lines, then their probes."""
-    seg_start, seg_size = segments(lengths, edits)
-    every = np.arange(len(lengths))
-
-    def key(i: int, length, s, e):
-        return mixed(rolling.of(s, e) + mixed((length * (edits + 1) + i).astype(np.uint64)))
-
-    for i in range(edits + 1):
-        s = starts + seg_start[:, i]
-        yield False, every, key(i, lengths, s, s + seg_size[:, i])
-    for shorter in range(edits + 1):
-        target = lengths - shorter
-        seg_start, seg_size = segments(target, edits)
+def _alignments(edits: int, shorter: int, many: int) -> Iterator[tuple[tuple[int, ...], tuple[int, ...]]]:
+    """(segments, shifts): which `many` of a line's edits + many segments a line longer by `shorter` can hold unchanged, and where."""
+    if many == 1:
         for i in range(edits + 1):
             # Edits before the segment shift it by i at most; those after it, by edits - i from the other end.
             for shift in range(max(-i, shorter - (edits - i)), min(i, shorter + edits - i) + 1):
-                s = seg_start[:, i] + shift
-                ok = (s >= 0) & (s + seg_size[:, i] <= lengths)
-                yield True, every[ok], key(i, target[ok], starts[ok] + s[ok], starts[ok] + s[ok] + seg_size[ok, i])
+                yield (i,), (shift,)
+        return
+    for picked in combinations(range(edits + many), many):
+        for shifts in product(range(-edits, edits + 1), repeat=many):
+            path = (0, *shifts, shorter)
+            if sum(abs(y - x) for x, y in zip(path, path[1:], strict=False)) <= edits:
+                yield picked, shifts
+
 
+def _keys(rolling: Rolling, starts: np.ndarray, lengths: np.ndarray, thresholds: Thresholds, many: int = 1) -> Iterator[tuple[bool, np.ndarray, np.ndarray]]:
+    """(is it a probe, line, key): the index keys of all lines, then their probes."""
 
-def _line_rows(batches: Iterator[pa.RecordBatch], edits: int, min_chars: int) -> Iterator[pa.RecordBatch]:
+    def key(picked, shifts, lines, target, seg_start, seg_size):
+        h = mixed((target * 64 + len(picked)).astype(np.uint64))
+        for i, shift in zip(picked, shifts, strict=True):
+            s = starts[lines] + seg_start[:, i] + shift
+            h = mixed(rolling.of(s, s + seg_size[:, i]) + h + np.uint64(i))
+        return h
+
+    for edits in sorted({k for _, k in thresholds}):
+        lines = np.flatnonzero(allowed(lengths, thresholds) == edits)
+        where = segments(lengths[lines], edits + many)
+        for picked in combinations(range(edits + many), many):
+            yield False, lines, key(picked, (0,) * many, lines, lengths[lines], *where)
+        for shorter in range(edits + 1):
+            lines = np.flatnonzero(allowed(lengths - shorter, thresholds) == edits)
+            target = lengths[lines] - shorter
+            seg_start, seg_size = segments(target, edits + many)
+            for picked, shifts in _alignments(edits, shorter, many):
+                ok = np.ones(len(lines), bool)
+                for i, shift in zip(picked, shifts, strict=True):
+                    s = seg_start[:, i] + shift
+                    ok &= (s >= 0) & (s + seg_size[:, i] <= lengths[lines])
+                yield True, lines[ok], key(picked, shifts, lines[ok], target[ok], seg_start[ok], seg_size[ok])
+
+
+def _most_keys(thresholds: Thresholds) -> tuple[int, int]:
+    """The largest number of index keys and of probes of any line."""
+    found = []
+    for n in {n + d for n, _ in thresholds for d in range(thresholds[-1][1] + 1)} | {thresholds[-1][0] + 99}:
+        keys = [probe for probe, line, _ in _keys(Rolling(np.zeros(n), 3), np.zeros(1, np.int64), np.array([n]), thresholds) for _ in line]
+        found.append((keys.count(False), keys.count(True)))
+    return max(x for x, _ in found), max(x for _, x in found)
+
+
+def _line_rows(batches: Iterator[pa.RecordBatch], thresholds: Thresholds) -> Iterator[pa.RecordBatch]:
     """Each line that is not blank: its hash, place and length, and its keys (none for a short line)."""
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False)
@@ -96,8 +136,7 @@ def _line_rows(batches: Iterator[pa.RecordBatch], edits: int, min_chars: int) ->
             lengths = ends - starts
             one, two = Rolling(chars, WORD_BASES[0]), Rolling(chars, WORD_BASES[1])
             size = lengths.astype(np.uint64)
-            long = np.flatnonzero(lengths >= min_chars)
-            found = [(probe, long[line], key) for probe, line, key in _keys(one, starts[long], lengths[long], edits)]
+            found = list(_keys(one, starts, lengths, thresholds))
             columns = []
             for side in (False, True):
                 line = np.concatenate([x[1] for x in found if x[0] == side])
@@ -176,10 +215,25 @@ def within(left: list[np.ndarray], right: list[np.ndarray], edits: int) -> np.nd
     return result
 
 
-def _verified(batches: Iterator[pa.RecordBatch], edits: int) -> Iterator[pa.RecordBatch]:
+def _verified(batches: Iterator[pa.RecordBatch], thresholds: Thresholds) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         left, right = ([np.frombuffer(t.as_py().encode("utf-32-le"), np.uint32) for t in batch.column(c)] for c in (2, 3))
-        yield batch.select([0, 1]).filter(pa.array(within(left, right, edits)))
+        edits = allowed(np.array([min(len(x), len(y)) for x, y in zip(left, right, strict=True)], np.int64), thresholds)
+        keep = np.zeros(len(batch), bool)
+        for k in np.unique(edits[edits > 0]).tolist():
+            rows = np.flatnonzero(edits == k)
+            keep[rows] = within([left[i] for i in rows], [right[i] for i in rows], k)
+        yield batch.select([0, 1]).filter(pa.array(keep))
+
+
+def _pair_keys(batches: Iterator[pa.RecordBatch], thresholds: Thresholds) -> Iterator[pa.RecordBatch]:
+    """The keys of two segments each, of lines (h1, line)."""
+    for batch in batches:
+        h1 = batch.column(0).to_numpy()
+        for first, last, data, offsets in chunks(batch.column(1), 1 << 17):
+            chars, at = _characters(data, offsets)
+            for probe, line, key in _keys(Rolling(chars, WORD_BASES[0]), at[:-1], np.diff(at), thresholds, 2):
+                yield pa.record_batch([pa.array(h1[first:last][line]), pa.array(np.full(len(line), probe)), pa.array(key.view(np.int64))], names=["h1", "probe", "key"])
 
 
 def _shortened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,35 +267,62 @@ def _crowd_links(lines: DataFrame) -> DataFrame:
     return replaced.unionByName(dropped).distinct()
 
 
-def edit_links(rows: DataFrame, texts: DataFrame, crowd: int = CROWD) -> DataFrame:
-    """a, b: hashes of distinct lines one edit apart, enough of them to connect all such lines.
+def _pairs(index: DataFrame, probes: DataFrame) -> DataFrame:
+    """a, b: lines of which one probes (p, key) what the other has in the index (h1, key)."""
+    return probes.join(index, "key").where("p <> h1").select(F.least("p", "h1").alias("a"), F.greatest("p", "h1").alias("b")).distinct()
+
+
+def _texts_of(lines: DataFrame, texts: DataFrame) -> DataFrame:
+    """h1 and line of the wanted lines (h1)."""
+    wanted = written(lines.select("h1").distinct(), "lines_wanted")
+    picked = texts.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, "h1", "left_semi")
+    return written(written(picked, "lines_met").groupBy("h1").agg(F.min("line").alias("line")), "lines_picked")
+
+
+def _close(pairs: DataFrame, picked: DataFrame, thresholds: Thresholds) -> DataFrame:
+    left, right = picked.toDF("a", "left"), picked.toDF("b", "right")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(lambda it: _verified(it, thresholds), "a long, b long")
+
+
+def edit_links(rows: DataFrame, texts: DataFrame, thresholds: Thresholds, crowd: int = CROWD) -> DataFrame:
+    """a, b: hashes of distinct lines within the allowed edits, enough of them to connect all such lines.
 
-    rows: h1 with own and probes, one row per distinct line; texts: h1 and line, in any number of copies.
+    rows: h1 with own and probes, one row per distinct line; texts: h1 and line, in any number of copies. Lines of a
+    crowded segment meet again by two segments. Where two are crowded as well, lines one edit apart are linked through
+    lines with a character left out, and for longer lines every pair that is still in different groups is verified.
     """
     index = rows.select("h1", F.explode("own").alias("key"))
-    sizes = index.groupBy("key").agg(F.count("*").alias("n"))
-    crowded = sizes.where(F.col("n") > crowd)
-    cold = index.join(crowded, "key", "left_anti") if not crowded.isEmpty() else index
+    crowded = written(index.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > crowd), "crowded")
     probes = rows.select(F.col("h1").alias("p"), F.explode("probes").alias("key"))
-    pairs = written(probes.join(cold, "key").where("p <> h1").select(F.least("p", "h1").alias("a"), F.greatest("p", "h1").alias("b")).distinct(), "line_pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("h1"))
-    if not crowded.isEmpty():
-        hot = written(index.unionByName(probes.select(F.col("p").alias("h1"), "key")).join(crowded, "key", "left_semi").select("h1").distinct(), "crowd")
-        wanted = wanted.unionByName(hot)
-    wanted = written(wanted.distinct(), "lines_wanted")
-    if wanted.count() <= BROADCAST_ROWS:
-        picked = texts.join(F.broadcast(wanted), "h1", "left_semi")
-    else:
-        picked = texts.join(wanted, "h1", "left_semi")
-    picked = written(picked, "lines_met").groupBy("h1").agg(F.min("line").alias("line"))
-    left, right = picked.toDF("a", "left"), picked.toDF("b", "right")
-    close = pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(lambda it: _verified(it, EDITS), "a long, b long")
+    pairs = written(_pairs(index.join(crowded, "key", "left_anti"), probes), "line_pairs")
+    both = pairs.select(F.explode(F.array("a", "b")).alias("h1"))
     if crowded.isEmpty():
-        return close
-    return close.unionByName(_crowd_links(picked.join(hot, "h1", "left_semi")))
-
-
-def removed_lines(docs: DataFrame, min_chars: int = MIN_CHARS, crowd: int = CROWD) -> DataFrame:
+        return _close(pairs, _texts_of(both, texts), thresholds)
+    hot = written(index.unionByName(probes.select(F.col("p").alias("h1"), "key")).join(crowded, "key", "left_semi").select("h1").distinct(), "crowd")
+    picked = _texts_of(both.unionByName(hot), texts)
+    links = _close(pairs, picked, thresholds)
+    split = written(picked.join(hot, "h1", "left_semi").mapInArrow(lambda it: _pair_keys(it, thresholds), "h1 long, probe boolean, key long"), "pair_keys")
+    index, probes = split.where("not probe").select("h1", "key"), split.where("probe").select(F.col("h1").alias("p"), "key")
+    crowded = written(index.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > crowd), "pairs_crowded")
+    pairs = written(_pairs(index.join(crowded, "key", "left_anti"), probes), "split_pairs")
+    links = written(links.unionByName(_close(pairs, picked, thresholds)), "line_links")
+    if crowded.isEmpty():
+        return links
+    met = written(split.join(crowded, "key", "left_semi"), "crowd_keys")
+    links = links.unionByName(_crowd_links(picked.join(met.select("h1").distinct(), "h1", "left_semi")))
+    if thresholds[-1][1] == 1:
+        return links
+    links = written(links, "line_links_of_one_edit")
+    grouped = met.join(components(links).toDF("h1", "component"), "h1", "left").withColumn("component", F.coalesce("component", "h1"))
+    long = picked.where(F.length("line") >= min(n for n, k in thresholds if k > 1)).select("h1")
+    grouped = written(grouped.join(long, "h1", "left_semi"), "crowd_groups")
+    x, y = grouped.where("not probe").alias("x"), grouped.where("probe").alias("y")
+    apart = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")))
+    apart = written(apart.select(F.least("x.h1", "y.h1").alias("a"), F.greatest("x.h1", "y.h1").alias("b")).distinct(), "groups_apart")
+    return links.unionByName(_close(apart, picked, thresholds))
+
+
+def removed_lines(docs: DataFrame, thresholds: Thresholds, crowd: int = CROWD) -> DataFrame:
     """doc, found: for each document with lines that have a copy, an array of (no, class, earlier).
 
     no: the line's number from 0; class: its class of lines; earlier: a smaller doc_id has the class. Otherwise the
@@ -249,16 +330,16 @@ def removed_lines(docs: DataFrame, min_chars: int = MIN_CHARS, crowd: int = CROW
     """
     texts = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
     schema = "doc long, no int, h1 long, h2 long, own array<long>, probes array<long>"
-    lines = written(texts.mapInArrow(lambda it: _line_rows(it, EDITS, min_chars), schema), "lines")
+    lines = written(texts.mapInArrow(lambda it: _line_rows(it, thresholds), schema), "lines")
     # The keys follow from the line: any copy's will do.
-    width = [EDITS + 1, sum(1 for x in _keys(Rolling(np.zeros(99), 3), np.zeros(1, np.int64), np.full(1, 99), EDITS) if x[0])]
+    width = _most_keys(thresholds)
     parts = [F.first(F.get(c, F.lit(i))).alias(f"{c}{i}") for c, n in zip(("own", "probes"), width, strict=True) for i in range(n)]
     once = written(lines.groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.count("*").alias("n"), *parts), "lines_once")
     rows = once.where("own0 is not null").select(
         "h1", *(F.filter(F.array(*(f"{c}{i}" for i in range(n))), lambda x: x.isNotNull()).alias(c) for c, n in zip(("own", "probes"), width, strict=True))
     )
     lines_of = texts.select("text").mapInArrow(_line_texts, "h1 long, line string")
-    linked = components(edit_links(rows, lines_of, crowd))
+    linked = components(edit_links(rows, lines_of, thresholds, crowd))
     member = written(linked.unionByName(linked.select(F.col("component").alias("node"), "component")).distinct(), "line_classes")
     with_first = once.select("h1", "first").join(member, F.col("h1") == F.col("node"))
     class_first = with_first.groupBy("component").agg(F.min("first").alias("class_first"))
@@ -302,11 +383,12 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _MORE = {"n_lines": "long", "n_removed": "long", "kept_sha256": "string", "kept_text": "string"}
 
 
-def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, crowd: int = CROWD) -> DataFrame:
+def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, crowd: int = CROWD, longer: Thresholds = LONGER) -> DataFrame:
     """docs with n_lines, n_removed, kept_sha256 and kept_text, which replace columns of that name.
 
     Lines end at "\\n". Lines that are equal, or of `min_chars` characters or more and one edit (a character added,
-    dropped or replaced) apart, form a class, with all that such links reach. Of each class only the line of the
+    dropped or replaced) apart, form a class, with all that such links reach; `longer` allows more edits to longer
+    lines, as (characters of the shorter line, edits) in ascending order. Of each class only the line of the
     smallest doc_id, and there of the smallest number, stays. Blank lines always stay. A null text stays null and has
     no lines, an empty one has one blank line; rows without doc_id are kept whole and are no other's first. doc_id is
     taken to be unique but for rows repeated whole, which all get the same result. Texts and lines of any length are
@@ -314,6 +396,7 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, crowd: int = CROWD)
     """
     docs = docs.drop(*_MORE)
     doc, found = unused(docs, "doc", "found")
-    gone = removed_lines(docs, min_chars, crowd).toDF(doc, found)
+    thresholds = ((min_chars, EDITS), *(x for x in longer if x[0] > min_chars))
+    gone = removed_lines(docs, thresholds, crowd).toDF(doc, found)
     joined = docs.join(gone, F.col("doc_id") == F.col(doc), "left").drop(doc)
     return joined.mapInArrow(_kept, extended(docs.schema, **_MORE))

@@ -5,6 +5,8 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from runlens.llm.line_dedup import line_dedup, within
 
 
@@ -28,7 +30,7 @@ def test_banded_distance(pairs, edits):
     assert got.tolist() == [distance(a, b) <= edits for a, b in pairs]
 
 
-def brute(rows, min_chars):
+def brute(rows, min_chars, longer=()):
     lines = sorted({x for _, t in rows if t is not None for x in t.split("\n")})
     top = {x: x for x in lines}
 
@@ -39,7 +41,8 @@ def brute(rows, min_chars):
 
     for a in lines:
         for b in lines:
-            if a < b and min(len(a), len(b)) >= min_chars and abs(len(a) - len(b)) <= 1 and a.strip() and b.strip() and distance(a, b) <= 1:
+            edits = max([1, *(k for n, k in longer if min(len(a), len(b)) >= n)])
+            if a < b and min(len(a), len(b)) >= min_chars and abs(len(a) - len(b)) <= edits and a.strip() and b.strip() and distance(a, b) <= edits:
                 top[root(b)] = root(a)
     seen, out = set(), set()
     for i, t in sorted(rows):
@@ -91,3 +94,31 @@ def test_repeated_rows_missing_ids_and_empty_table(spark):
     got = sorted((x.doc_id or 0, x.n_removed, x.kept_text) for x in line_dedup(docs).collect())
     assert got == [(0, 0, "a line here"), (1, 0, "a line here\nx"), (1, 0, "a line here\nx"), (2, 1, "")]
     assert line_dedup(docs.limit(0)).count() == 0
+
+
+def long_lines(seed, n, edits):
+    r = random.Random(seed)
+    base = ["".join(r.choice("abcde ") for _ in range(r.randint(26, 60))) for _ in range(6)]
+    base += [base[0][:20] + "".join(r.choice("xyz") for _ in range(30)) for _ in range(4)]
+
+    def line():
+        x = r.choice(base)
+        for _ in range(r.randint(0, edits + 1)):
+            k = r.randint(0, len(x))
+            x = x[:k] + r.choice(["", "z", "é"]) + x[k + r.randint(0, 1) :]
+        return x
+
+    return [(i, "\n".join(line() for _ in range(3))) for i in range(n)]
+
+
+def test_the_threshold_grows_with_the_length(spark):
+    for crowd in (64, 1):
+        rows, longer = long_lines(3, 22, 3), ((30, 2), (45, 3))
+        assert run(spark, rows, min_chars=8, crowd=crowd, longer=longer) == brute(rows, 8, longer)
+
+
+def test_clashing_names_and_very_long_lines(spark):
+    rows = [(1, "x" * 300_000 + "\nshort"), (2, "x" * 299_998 + "yy\nshort"), (3, "short")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("_doc", "_found", "doc", "found", "h1", "a", "component")})
+    got = {x.doc_id: x for x in line_dedup(docs).collect()}
+    assert (got[1].n_removed, got[2].n_removed, got[3].n_removed) == (0, 2, 1) and got[1].found == 1
