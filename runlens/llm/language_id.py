@@ -36,7 +36,7 @@ UNDETERMINED = "und"
 GIVEN_UP = 0.01
 #: Texts of fewer characters are short to least_score.
 SHORT_CHARS = 300
-_CHUNK = 2 << 20
+_CHUNK = 1 << 20
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:

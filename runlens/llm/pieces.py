@@ -28,7 +28,7 @@ _LITERAL = 0x110000
 UNKNOWN_PENALTY = 10.0
 _BASE = 0xA0761D6478BD642F
 #: About so many bytes of text are encoded, and so many ids decoded, at once; longer texts go in slices.
-_CHUNK = 1 << 20
+_CHUNK = 1 << 19
 _IDS = 1 << 18
 _ROWS = 4096
 _FILTER_BITS = 22

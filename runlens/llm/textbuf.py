@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 #: \x20 and \x09-\x0D part words.
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -64,7 +64,7 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-_KEPT_POWERS = 5 << 19
+_KEPT_POWERS = 5 << 17
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
