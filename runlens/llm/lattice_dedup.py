@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .links import components
-from .storage import written
+from .storage import tidy, written
 from .textbuf import mixed
 
 COSINE = 0.9
@@ -131,6 +131,7 @@ def _linked(batches: Iterator[pa.RecordBatch], cosine: float) -> Iterator[pa.Rec
         yield batch.select([0, 1]).filter(pa.array(keep))
 
 
+@tidy
 def lattice_links(vectors: DataFrame, cosine: float = COSINE, tables: int = TABLES, probes: int = PROBES) -> DataFrame:
     """a < b: pairs of `rep` found with at least this cosine. vectors: rep (unique) and embedding, comparable ones alone."""
     cells = written(vectors.select("rep", "embedding").mapInArrow(lambda it: _cells(it, tables, probes), "rep long, cell long, own boolean"), "cells")
@@ -158,7 +159,7 @@ def embedding_dedup(embeddings: DataFrame, cosine: float = COSINE, tables: int =
     classes = named.groupBy("sig").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
     classes = written(classes, "vector_classes")
     vectors = written(ids.join(classes, (ids["vec_id"] == classes["rep"]) & (ids["sig"] == classes["sig"])).select("rep", "embedding", "copies").dropDuplicates(["rep"]), "vector_reps")
-    links = written(lattice_links(vectors, cosine, tables, probes), "vector_links")
+    links = lattice_links(vectors, cosine, tables, probes)
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     degree = both.join(vectors.select(F.col("rep").alias("b"), "copies"), "b").groupBy("a").agg(F.sum("copies").alias("others"))
     found = components(links)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .links import components
-from .storage import extended, unused, written
+from .storage import extended, tidy, unused, written
 from .textbuf import WORD_BASES, Rolling, chunks, mixed, powers, ranges
 
 MIN_CHARS = 16
@@ -284,6 +284,7 @@ def _close(pairs: DataFrame, picked: DataFrame, thresholds: Thresholds) -> DataF
     return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(lambda it: _verified(it, thresholds), "a long, b long")
 
 
+@tidy
 def edit_links(rows: DataFrame, texts: DataFrame, thresholds: Thresholds, crowd: int = CROWD) -> DataFrame:
     """a, b: hashes of distinct lines within the allowed edits, enough of them to connect all such lines.
 
@@ -322,6 +323,7 @@ def edit_links(rows: DataFrame, texts: DataFrame, thresholds: Thresholds, crowd:
     return links.unionByName(_close(apart, picked, thresholds))
 
 
+@tidy
 def removed_lines(docs: DataFrame, thresholds: Thresholds, crowd: int = CROWD) -> DataFrame:
     """doc, found: for each document with lines that have a copy, an array of (no, class, earlier).
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import written
+from .storage import tidy, written
 
 
 #: A node with more than this share of all edges is a hub. There are at most 2 / HUB_SHARE of them.
@@ -34,6 +34,7 @@ def _small_star(edges: DataFrame, n: int) -> DataFrame:
     return moved.unionByName(found.select("u", F.col("m").alias("v"))).distinct()
 
 
+@tidy
 def components(links: DataFrame) -> DataFrame:
     """node, component: the least node that links reach, for every node of `links` (columns a and b) but the least ones.
 

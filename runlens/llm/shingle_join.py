@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .links import components
 from .simhash_dedup import CROWD, fingerprint_links, fingerprint_of, shingle_hashes
-from .storage import written
+from .storage import tidy, written
 
 SHINGLE = 5
 #: Jaccard similarity in per cent.
@@ -71,6 +71,7 @@ def _can_be(c: Column, n: Column, m: Column, similarity: int) -> Column:
     return _similar(F.least(c + rest, n, m), n, m, similarity)
 
 
+@tidy
 def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: int) -> DataFrame:
     """The pairs (a, b) of doc_id whose sets of shingles are similar."""
     pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "set_pairs")
@@ -79,9 +80,10 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: int)
     sets = written(picked.mapInArrow(lambda it: _sets(it, shingle), "doc_id long, hashes array<long>"), "sets_met")
     met = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
     close = _similar(F.size(F.array_intersect("x", "y")), F.size("x"), F.size("y"), similarity)
-    return written(met.where(close).select("a", "b").distinct(), "set_links")
+    return met.where(close).select("a", "b").distinct()
 
 
+@tidy
 def shingle_groups(docs: DataFrame, shingle: int = SHINGLE, similarity: int = SIMILARITY, crowd: int = CROWD) -> DataFrame:
     """doc_id and component_id per row with doc_id: the smallest doc_id that links of similar texts reach.
 

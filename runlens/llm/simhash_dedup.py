@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .links import components
-from .storage import written
+from .storage import tidy, written
 from .textbuf import mixed
 
 SHINGLE = 3
@@ -129,6 +129,7 @@ def _crowd_links(crowd: DataFrame, bits: int) -> DataFrame:
     return named.join(least, ["tab", "key", "point"]).where("rep <> least").select(F.col("least").alias("a"), F.col("rep").alias("b")).distinct()
 
 
+@tidy
 def fingerprint_links(classes: DataFrame, bits: int = BITS, crowd: int = CROWD) -> DataFrame:
     """a, b: pairs of `rep` whose fingerprints differ in 1 to `bits` bits, at least enough of them to connect all such pairs.
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
@@ -37,9 +40,41 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return found
 
 
+_scopes = threading.local()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The same rows, read back from a Parquet table in the shared folder: computed once, and lost executors cost nothing."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if getattr(_scopes, "open", None):
+        _scopes.open[-1].append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
+
+
+def tidy(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """f with its result written; the tables that it wrote on the way are deleted, since nothing reads them any more."""
+
+    @functools.wraps(f)
+    def run(*args, **kw) -> DataFrame:
+        if not hasattr(_scopes, "open"):
+            _scopes.open = []
+        _scopes.open.append([])
+        try:
+            result = f(*args, **kw)
+        except BaseException:
+            _scopes.open.pop()
+            raise
+        inner = _scopes.open.pop()
+        result = written(result, f.__name__)
+        for spark, path in inner:
+            _delete(spark, path)
+        return result
+
+    return run

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import written
+from .storage import tidy, written
 from .textbuf import WORD_BASES, Rolling, chunks, mixed, ranges, word_hashes, words_of
 
 WINDOW = 50
@@ -94,6 +94,7 @@ def _windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Reco
             )
 
 
+@tidy
 def removal_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """doc, spans: array of (start, end) word positions to remove from each document that has any.
 
