@@ -151,3 +151,21 @@ def block_permutation_p(rows: DataFrame, key: list[str], block: int = 4, replica
 
     kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in key)
     return rows.select(*key, "step", "value").groupBy(*key).applyInPandas(test, f"{kinds}, slope double, p double")
+
+
+def shuffle_permutation_p(rows: DataFrame, key: list[str], replicates: int = 200, seed: int = 9, least: int = 4) -> DataFrame:
+    """key, n, r, p: is a series' correlation with its steps larger than those of its values in random order? p = (c + 1) / (B + 1)."""
+
+    def test(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.dropna().sort_values("step")
+        x, y = pdf["step"].to_numpy(float), pdf["value"].to_numpy(float)
+        if len(x) < least or np.ptp(x) == 0 or np.ptp(y) == 0:
+            return pd.DataFrame(columns=[*key, "n", "r", "p"])
+        x, y = (x - x.mean()) / x.std(), (y - y.mean()) / y.std()
+        g = np.random.default_rng([seed, *"/".join(str(pdf[c].iloc[0]) for c in key).encode()])
+        r = float(x @ y / len(x))
+        far = sum(abs(float(x @ g.permutation(y)) / len(x)) >= abs(r) - 1e-12 for _ in range(replicates))
+        return pd.DataFrame([[*(pdf[c].iloc[0] for c in key), len(x), r, (far + 1) / (replicates + 1)]], columns=[*key, "n", "r", "p"])
+
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in key)
+    return rows.select(*key, "step", "value").groupBy(*key).applyInPandas(test, f"{kinds}, n long, r double, p double")

@@ -93,7 +93,7 @@ def null_runs(fact: DataFrame, axis: DataFrame) -> DataFrame:
 def best_split(fact: DataFrame, least: int = 3, key: tuple[str, ...] = SERIES) -> DataFrame:
     """Per series of present values: the cut with the least sum of squares around two means, each of `least` values or more.
 
-    Columns: k (values before the cut), sse, sse_whole. Ties go to the smallest k.
+    Columns: k (values before the cut), sse, sse_whole, mean_square. Ties (to nine digits of the mean square) go to the smallest k.
     """
     present = fact.where("value is not null")
     w, whole = along(key).rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*key)
@@ -109,8 +109,10 @@ def best_split(fact: DataFrame, least: int = 3, key: tuple[str, ...] = SERIES) -
     rest = F.col("n") - F.col("k")
     sse = F.col("q") - F.col("s") * F.col("s") / F.col("k") + (F.col("all_q") - F.col("q")) - F.pow(F.col("all_s") - F.col("s"), 2) / rest
     cuts = sums.where((F.col("k") >= least) & (rest >= least)).withColumn("sse", sse)
-    best = F.min_by(F.struct("k", "sse"), F.struct(F.round("sse", 6), "k"))
-    return cuts.groupBy(*key).agg(best.alias("b"), F.max(F.col("all_q") - F.col("all_s") * F.col("all_s") / F.col("n")).alias("sse_whole")).select(*key, "b.k", "b.sse", "sse_whole")
+    best = F.min_by(F.struct("k", "sse"), F.struct(F.round(F.try_divide(F.col("sse") * F.col("n"), F.col("all_q")), 9), "k"))
+    whole = F.max(F.col("all_q") - F.col("all_s") * F.col("all_s") / F.col("n"))
+    found = cuts.groupBy(*key).agg(best.alias("b"), whole.alias("sse_whole"), F.max(F.col("all_q") / F.col("n")).alias("mean_square"))
+    return found.select(*key, "b.k", "b.sse", "sse_whole", "mean_square")
 
 
 def filled(fact: DataFrame, key: tuple[str, ...] = SERIES) -> DataFrame:

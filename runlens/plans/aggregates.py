@@ -43,10 +43,10 @@ def agg06_quantiles(v):
     return v.fact.groupBy("run", "tag").agg(*(F.round(F.percentile("value", p), 9).alias(f"q{round(p * 100)}") for p in (0.1, 0.25, 0.9)))
 
 
-@query(""", k as (select run, tag, value, count(*) as n from fact where tag like '%/c' group by all)
+@query(""", k as (select run, tag, round(value, 6) as value, count(*) as n from fact where value is not null group by all)
 select run, tag, arg_max(value, n * 1e9 - value) as mode, max(n) as mode_n, round(max(n) / sum(n), 9) as share, count(*) as n_distinct from k group by run, tag""")
 def agg07_mode(v):
-    return modal(v.fact.where("tag like '%/c'")).withColumn("share", F.round("share", 9))
+    return modal(v.fact.withColumn("value", F.round("value", 6))).withColumn("share", F.round("share", 9))
 
 
 @query("select run, tag, round(stddev_samp(value) / nullif(abs(avg(value)), 0), 9) as cv from fact group by all")
@@ -65,9 +65,9 @@ def agg10_distinct(v):
 
 
 @query("""select run, tag, arg_min(step, value * 1e3 + step * 1e-9) as low_step, arg_max(step, value * 1e3 - step * 1e-9) as high_step
-from fact where tag like '%/c' group by all""")
+from fact group by all""")
 def agg11_where_extremes_are(v):
-    s = series_summary(v.fact.where("tag like '%/c'"))
+    s = series_summary(v.fact)
     return s.select("run", "tag", "low_step", "high_step")
 
 

@@ -85,11 +85,11 @@ def jon10_nearest(v):
 
 
 @query("""select a.run, a.tag as x, b.tag as y, count(*) as n, round(covar_pop(a.value, b.value) / nullif(stddev_pop(a.value) * stddev_pop(b.value), 0), 9) as r
-from fact a join fact b on a.run = b.run and a.step = b.step and a.tag < b.tag and a.tag like '%/m' and b.tag like '%/m' group by all having count(*) >= 3""")
+from fact a join fact b on a.run = b.run and a.step = b.step and a.tag < b.tag and a.value is not null and b.value is not null group by all having count(*) >= 3""")
 def jon12_pairs_of_tags(v):
     from runlens.operators.association import pearson
 
-    m = v.fact.where("tag like '%/m' and value is not null")
+    m = v.fact.where("value is not null")
     x, y = (m.select("run", "step", F.col("tag").alias(t), F.col("value").alias(f"{t}_value")) for t in ("x", "y"))
     pairs = x.join(y, ["run", "step"]).where("x < y")
     return pairs.groupBy("run", "x", "y").agg(F.count("*").alias("n"), F.round(pearson("x_value", "y_value"), 9).alias("r")).where("n >= 3")

@@ -28,12 +28,12 @@ def mrg02_events(v):
     return M.first_by_key(stored, incoming, ["run", "kind", "step", "t"], [])
 
 
-@query(""", stored as (select item_id as id, substr(text, 1, 20) as text from benchmark where item_id % 2 = 0), incoming as (select item_id as id, substr(text, 1, 10) as text from benchmark where item_id % 3 = 0)
+@query(""", stored as (select item_id as id, text from benchmark where item_id % 2 = 0), incoming as (select item_id as id, upper(text) as text from benchmark where item_id % 2 = 1 or item_id % 3 = 0)
 select * from stored union all select * from incoming anti join stored using (id)""")
 def mrg03_notices(v):
     b = v.table("benchmark")
-    stored = b.where("item_id % 2 = 0").select(F.col("item_id").alias("id"), F.substring("text", 1, 20).alias("text"))
-    incoming = b.where("item_id % 3 = 0").select(F.col("item_id").alias("id"), F.substring("text", 1, 10).alias("text"))
+    stored = b.where("item_id % 2 = 0").select(F.col("item_id").alias("id"), "text")
+    incoming = b.where("item_id % 2 = 1 or item_id % 3 = 0").select(F.col("item_id").alias("id"), F.upper("text").alias("text"))
     return M.insert_missing(stored, incoming, ["id"])
 
 

@@ -75,13 +75,13 @@ def win10_reset_segments(v):
     return s.groupBy("run", "tag", "segment").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
-@query(""", p as (select run, tag, step, value, row_number() over (partition by run, tag order by step) as i, count(*) over (partition by run, tag) as n from fact where value is not null and tag like '%/c'),
+@query(""", p as (select run, tag, step, value, row_number() over (partition by run, tag order by step) as i, count(*) over (partition by run, tag) as n from fact where value is not null),
 cuts as (select a.run, a.tag, a.i as k, a.n, median(b.value) filter (b.i <= a.i) as before, median(b.value) filter (b.i > a.i) as after, max(b.value) filter (b.i <= a.i) as hi0, min(b.value) filter (b.i <= a.i) as lo0,
 max(b.value) filter (b.i > a.i) as hi1, min(b.value) filter (b.i > a.i) as lo1 from p a join p b using (run, tag) where a.i >= 3 and a.n - a.i >= 3 group by a.run, a.tag, a.i, a.n),
 r as (select *, greatest(before / nullif(after, 0), after / nullif(before, 0)) as ratio, hi0 < lo1 or hi1 < lo0 as disjoint from cuts), o as (select *, row_number() over (partition by run, tag order by round(ratio, 9) desc, k) as rk from r)
 select run, tag, k::int as k, round(ratio, 9) as ratio, disjoint from o where rk = 1""")
 def win19_level_shift(v):
-    s = G.level_shift(v.fact.where("tag like '%/c'"), 3)
+    s = G.level_shift(v.fact, 3)
     return s.select("run", "tag", "k", F.round("ratio", 9).alias("ratio"), "disjoint")
 
 
@@ -91,11 +91,11 @@ def win20_version_drift(v):
     return G.boundary_drift(v.fact, [8, 16, 24]).withColumn("ratio", F.round("ratio", 9))
 
 
-@query(""", j as (select run, tag, step, avg(value) over (w rows between current row and 2 following) - avg(value) over (w rows between 3 preceding and 1 preceding) as jump from fact where value is not null and tag like '%/m' window w as (partition by run, tag order by step)),
+@query(""", j as (select run, tag, step, avg(value) over (w rows between current row and 2 following) - avg(value) over (w rows between 3 preceding and 1 preceding) as jump from fact where value is not null window w as (partition by run, tag order by step)),
 q as (select run, tag, quantile_cont(abs(jump), 0.9) as q90 from j where jump is not null group by all)
 select run, tag, round(abs(jump), 9) as jump, round(q90, 9) as q90, round(abs(jump), 9) > round(q90, 9) as unusual from j join q using (run, tag) where step = 15""")
 def win21_boundary_jump(v):
-    j = G.boundary_jumps(v.fact.where("tag like '%/m'"), 15, 3, 0.9)
+    j = G.boundary_jumps(v.fact, 15, 3, 0.9)
     return j.select("run", "tag", F.round("jump", 9).alias("jump"), F.round("limit", 9).alias("q90"), (F.round("jump", 9) > F.round("limit", 9)).alias("unusual"))
 
 
@@ -117,10 +117,10 @@ def sta10_pooled(v):
     return p.groupBy("tag").agg(F.count("*").alias("n"), F.round(A.pearson("x", "y"), 6).alias("r"))
 
 
-@query(""", x as (select run, tag, step, value, row_number() over (partition by run, tag order by abs(step - m) desc, step) as far from (select *, avg(step) over (partition by run, tag) as m from fact where value is not null and tag like '%/m'))
+@query(""", x as (select run, tag, step, value, row_number() over (partition by run, tag order by abs(step - m) desc, step) as far from (select *, avg(step) over (partition by run, tag) as m from fact where value is not null))
 select run, tag, count(*) as n, round(regr_slope(value, step), 9) as slope from x where far > 1 group by all having count(*) >= 5""")
 def sta19_leverage_drop(v):
-    return A.without_leverage(v.fact.where("value is not null and tag like '%/m'"), ("run", "tag")).where("n >= 5").select(*KEY, "n", F.round("slope", 9).alias("slope"))
+    return A.without_leverage(v.fact.where("value is not null"), ("run", "tag")).where("n >= 5").select(*KEY, "n", F.round("slope", 9).alias("slope"))
 
 
 @query(f"""{PAIRS} select run, tag, count(*) as n, round(regr_slope(y, x), 6) as level, round(regr_slope(ln(y), ln(x)) , 6) as elasticity from pairs where x > 0 and y > 0 group by all having count(*) >= 6""")

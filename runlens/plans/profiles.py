@@ -64,11 +64,13 @@ def ano09_shape(v):
     return P.shape(v.fact).select(*KEY, "n", *_rounded(6, "r2", "jump"))
 
 
-@query(""", p as (select run, tag, step, row_number() over w as k, count(*) over e as n, sum(value) over (partition by run, tag order by step rows unbounded preceding) as s, sum(value) over e as t
-from fact where value is not null and tag like '%/m' window w as (partition by run, tag order by step), e as (partition by run, tag))
-select run, tag, step, round(power(s / k - (t - s) / (n - k), 2) * k * (n - k) / n, 5) as gain from p where k >= 3 and k <= n - 3""")
+@query(""", p as (select run, tag, step, row_number() over w as k, count(*) over e as n, sum(value) over (partition by run, tag order by step rows unbounded preceding) as s, sum(value) over e as t, sum(value * value) over e / count(*) over e as ms
+from fact where value is not null window w as (partition by run, tag order by step), e as (partition by run, tag))
+select run, tag, step, round(power(s / k - (t - s) / (n - k), 2) * k * (n - k) / n / nullif(ms, 0), 6) as gain from p where k >= 3 and k <= n - 3""")
 def mlt13_split_profile(v):
-    return P.split_profile(v.fact.where("tag like '%/m'")).withColumn("gain", F.round("gain", 5))
+    """Gains as shares of the series' mean square."""
+    scale = v.fact.where("value is not null").groupBy("run", "tag").agg(F.avg(F.col("value") * F.col("value")).alias("ms"))
+    return P.split_profile(v.fact).join(scale, ["run", "tag"]).select("run", "tag", "step", F.round(F.try_divide("gain", "ms"), 6).alias("gain"))
 
 
 GROUPS = """, g as (select run, tag, split_part(tag, '/', 2) as part, step, value from fact where value is not null),

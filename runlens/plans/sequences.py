@@ -22,7 +22,7 @@ def win02_bridged_difference(v):
     return S.with_bridged_difference(v.fact).select("run", "tag", "step", F.round("delta", 9).alias("delta"))
 
 
-@query("""select run, tag, step, round((case when lag(step) over w = step - 1 then value - lag(value) over w end) / nullif(lag(value) over w, 0), 6) as by_before,
+@query("""select run, tag, step, round((case when lag(step) over w = step - 1 then value - lag(value) over w end) / nullif(lag(value) over w, 0), 9) as by_before,
 round((case when lag(step) over w = step - 1 then value - lag(value) over w end) / nullif(avg(value) over (partition by run, tag), 0), 9) as by_mean
 from fact window w as (partition by run, tag order by step)""")
 def win03_relative_difference(v):
@@ -32,9 +32,9 @@ def win03_relative_difference(v):
 
 
 @query("""select run, tag, step, case when value is not null then rank() over (partition by run, tag, value is not null order by value)
-+ (count(*) over (partition by run, tag, value) - 1) / 2 end as rank from fact where tag like '%/c'""")
++ (count(*) over (partition by run, tag, value) - 1) / 2 end as rank from fact""")
 def win04_average_rank(v):
-    return S.with_average_rank(v.fact.where("tag like '%/c'")).select("run", "tag", "step", "rank")
+    return S.with_average_rank(v.fact).select("run", "tag", "step", "rank")
 
 
 @query("select run, tag, step, round(sum(value) over (partition by run, tag order by step rows unbounded preceding), 9) as total from fact")
@@ -74,12 +74,12 @@ def win09_segments_since_restart(v):
     return s.groupBy("run", "segment").agg(F.count("*").alias("n"), F.count_if(F.col("kind") == "step").alias("steps"))
 
 
-@query(""", c as (select *, value < lag(value) over (partition by run, tag order by step) as cut from fact where tag like '%/c'),
+@query(""", c as (select *, value < lag(value) over (partition by run, tag order by step) as cut from fact),
 s as (select *, sum(coalesce(cut, false)::int) over (partition by run, tag order by step rows unbounded preceding) as segment from c)
 select run, tag, segment, count(*) as n, min(step) as first_step, max(step) as last_step from s group by all""")
 def win11_monotone_segments(v):
     cut = F.col("value") < F.lag("value").over(S.along())
-    s = S.with_segment(v.fact.where("tag like '%/c'").withColumn("cut", cut), F.col("cut"), ("run", "tag"), "step")
+    s = S.with_segment(v.fact.withColumn("cut", cut), F.col("cut"), ("run", "tag"), "step")
     return s.groupBy("run", "tag", "segment").agg(F.count("*").alias("n"), F.min("step").alias("first_step"), F.max("step").alias("last_step"))
 
 
@@ -104,10 +104,10 @@ def win14_cumulative(v):
     return d.withColumn("cumulative", (F.col("n") > 0) & (F.col("falls") == 0))
 
 
-@query("select run, tag, step from (select *, lag(value) over (partition by run, tag order by step) as before from fact where tag like '%/c') where value < 0.5 * before")
+@query("select run, tag, step from (select *, lag(value) over (partition by run, tag order by step) as before from fact) where value < 0.5 * before")
 def win15_counter_resets(v):
     before = F.lag("value").over(S.along())
-    return v.fact.where("tag like '%/c'").withColumn("before", before).where("value < 0.5 * before").select("run", "tag", "step")
+    return v.fact.withColumn("before", before).where("value < 0.5 * before").select("run", "tag", "step")
 
 
 @query(""", ext as (select run, min(step) as lo, max(step) as hi, count(*) as n from axis group by run),
@@ -125,28 +125,28 @@ def win17_neighbours(v):
 
 
 @query(""", p as (select run, tag, value, row_number() over w as k, sum(value) over (w rows unbounded preceding) as s, sum(value * value) over (w rows unbounded preceding) as q,
-count(*) over x as n, sum(value) over x as ts, sum(value * value) over x as tq from fact where value is not null and tag like '%/m' window w as (partition by run, tag order by step), x as (partition by run, tag)),
+count(*) over x as n, sum(value) over x as ts, sum(value * value) over x as tq from fact where value is not null window w as (partition by run, tag order by step), x as (partition by run, tag)),
 c as (select *, q - s * s / k + (tq - q) - power(ts - s, 2) / (n - k) as sse from p where k >= 3 and n - k >= 3),
-r as (select *, row_number() over (partition by run, tag order by round(sse, 9), k) as o from c)
-select run, tag, k::int as k, round(sse, 4) as sse from r where o = 1""")
+r as (select *, row_number() over (partition by run, tag order by round(sse * n / nullif(tq, 0), 9) nulls first, k) as o from c)
+select run, tag, k::int as k, round(sse * n / nullif(tq, 0), 6) + 0.0 as sse from r where o = 1""")
 def win18_best_split(v):
-    return S.best_split(v.fact.where("tag like '%/m'")).select("run", "tag", "k", F.round("sse", 4).alias("sse"))
+    return S.best_split(v.fact).select("run", "tag", "k", (F.round(F.try_divide("sse", "mean_square"), 6) + F.lit(0.0)).alias("sse"))
 
 
-@query(""", peak as (select run, tag, arg_max(step, value * 1e3 - step * 1e-9) as peak_step, max(value) as peak, arg_max(value, step) as last from fact where tag like '%/c' group by all)
-select run, tag, peak_step, peak, last - peak as after_peak from peak""")
+@query(""", peak as (select run, tag, arg_min(step, {'v': -round(value, 9), 's': step}) as peak_step, max(value) as peak, arg_max(value, step) as last from fact where value is not null group by all)
+select run, tag, peak_step, round(peak, 9) as peak, round(last - peak, 9) as after_peak from peak""")
 def win22_peak(v):
-    rows = v.fact.where("tag like '%/c' and value is not null")
-    p = rows.groupBy("run", "tag").agg(F.min_by("step", F.struct(-F.col("value"), "step")).alias("peak_step"), F.max("value").alias("peak"), F.max_by("value", "step").alias("last"))
-    return p.select("run", "tag", "peak_step", "peak", (F.col("last") - F.col("peak")).alias("after_peak"))
+    rows = v.fact.where("value is not null")
+    p = rows.groupBy("run", "tag").agg(F.min_by("step", F.struct(-F.round("value", 9), "step")).alias("peak_step"), F.max("value").alias("peak"), F.max_by("value", "step").alias("last"))
+    return p.select("run", "tag", "peak_step", F.round("peak", 9).alias("peak"), F.round(F.col("last") - F.col("peak"), 9).alias("after_peak"))
 
 
 @query(""", known as (select *, last_value(case when value is not null then step end ignore nulls) over b as ps, last_value(value ignore nulls) over b as pv,
-first_value(case when value is not null then step end ignore nulls) over a as ns, first_value(value ignore nulls) over a as nv from fact where tag like '%/sd'
+first_value(case when value is not null then step end ignore nulls) over a as ns, first_value(value ignore nulls) over a as nv from fact
 window b as (partition by run, tag order by step rows unbounded preceding), a as (partition by run, tag order by step rows between current row and unbounded following))
 select run, tag, step, round(coalesce(value, pv + coalesce((step - ps) / nullif(ns - ps, 0)::double, 0) * (nv - pv), pv, nv), 9) as value from known""")
 def mlt02_gap_fill(v):
-    return S.filled(v.fact.where("tag like '%/sd'")).select("run", "tag", "step", F.round("value", 9).alias("value"))
+    return S.filled(v.fact).select("run", "tag", "step", F.round("value", 9).alias("value"))
 
 
 @query("select run, tag, step from fact join axis using (run, step) where wall <= 1705000000.5 and value is not null")

@@ -95,27 +95,27 @@ def sta12_lag_scan(v):
 @query("""select run, tag, count(*) as n, round(case when count(*) >= 3 then regr_slope(value, step) end, 8) as slope,
 round(case when count(*) >= 3 then regr_intercept(value, step) end, 6) as intercept, round(case when count(*) >= 3 then 1 - greatest(regr_syy(value, step) - regr_slope(value, step) * regr_sxy(value, step), 0) / nullif(regr_syy(value, step), 0) end, 6) as r2,
 round(case when count(*) >= 3 then sqrt(greatest(regr_syy(value, step) - regr_slope(value, step) * regr_sxy(value, step), 0) / (count(*) - 2) / nullif(regr_sxx(value, step), 0)) end, 6) as se
-from fact where value is not null and tag like '%/m' group by all""")
+from fact where value is not null group by all""")
 def sta14_trend(v):
-    t = A.trend(("run", "tag"), v.fact.where("tag like '%/m'"))
+    t = A.trend(("run", "tag"), v.fact)
     return t.select(*KEY, "n", F.round("slope", 8).alias("slope"), F.round("intercept", 6).alias("intercept"), F.round("r2", 6).alias("r2"), F.round("se", 6).alias("se"))
 
 
-@query(""", p as (select * from fact where value is not null and tag like '%/m'),
+@query(""", p as (select * from fact where value is not null),
 s as (select a.run, a.tag, median((b.value - a.value) / (b.step - a.step)) as slope from p a join p b on a.run = b.run and a.tag = b.tag and a.step < b.step group by all)
 select run, tag, round(slope, 8) as slope, round(median(value - slope * step), 6) as intercept from p join s using (run, tag) group by run, tag, slope""")
 def sta15_theil_sen(v):
-    return A.theil_sen(v.fact.where("tag like '%/m'"), KEY).select(*KEY, F.round("slope", 8).alias("slope"), F.round("intercept", 6).alias("intercept"))
+    return A.theil_sen(v.fact, KEY).select(*KEY, F.round("slope", 8).alias("slope"), F.round("intercept", 6).alias("intercept"))
 
 
-@query(""", p as (select run, tag, step::double as step, value, count(*) over (partition by run, tag) as n, row_number() over (partition by run, tag order by step) as i from fact where value is not null and tag like '%/m'),
+@query(""", p as (select run, tag, step::double as step, value, count(*) over (partition by run, tag) as n, row_number() over (partition by run, tag order by step) as i from fact where value is not null),
 f as (select run, tag, regr_slope(value, step) as slope, regr_intercept(value, step) as intercept, avg(step) as mx, regr_sxx(value, step) as sxx, greatest(1, floor(4 * power(any_value(n) / 100, 2.0 / 9)))::int as lags from p group by all),
 u as (select run, tag, i, n, lags, slope, sxx, (value - intercept - slope * step) * (step - mx) as u from p join f using (run, tag)),
 own as (select run, tag, any_value(n) as n, any_value(lags) as lags, any_value(slope) as slope, any_value(sxx) as sxx, sum(u * u) as own from u group by all),
 c as (select a.run, a.tag, sum(a.u * b.u * (1 - (a.i - b.i) / (a.lags + 1))) as crossed from u a join u b on a.run = b.run and a.tag = b.tag and a.i > b.i and a.i - b.i <= a.lags group by all)
 select run, tag, n, lags, round(slope, 8) as slope, round(sqrt(greatest(own + 2 * coalesce(crossed, 0), 0)) / nullif(sxx, 0), 6) as se from own left join c using (run, tag) where n >= 3""")
 def sta16_newey_west(v):
-    r = A.newey_west(v.fact.where("tag like '%/m'"), ("run", "tag")).where("n >= 3")
+    r = A.newey_west(v.fact, ("run", "tag")).where("n >= 3")
     return r.select(*KEY, "n", "lags", F.round("slope", 8).alias("slope"), F.round("se", 6).alias("se"))
 
 
@@ -152,10 +152,10 @@ def sta22_interpolation(v):
 ERF = "(sign({z}) * (1 - ((((1.061405429 * k + -1.453152027) * k + 1.421413741) * k + -0.284496736) * k + 0.254829592) * k * exp(-({z}) * ({z}))))"
 
 
-@query(f""", z as (select run, tag, step, (value - 50) / 20 / sqrt(2.0) as z from fact where tag like '%/m' and value is not null), k as (select *, 1 / (1 + 0.3275911 * abs(z)) as k from z)
+@query(f""", z as (select run, tag, step, (value - 50) / 20 / sqrt(2.0) as z from fact where value is not null), k as (select *, 1 / (1 + 0.3275911 * abs(z)) as k from z)
 select run, tag, step, round((1 + {ERF.format(z='z')}) / 2, 8) as cdf from k""")
 def tst03_normal_cdf(v):
-    return v.fact.where("tag like '%/m' and value is not null").select(*KEY, "step", F.round(D.normal_cdf((F.col("value") - 50) / 20), 8).alias("cdf"))
+    return v.fact.where("value is not null").select(*KEY, "step", F.round(D.normal_cdf((F.col("value") - 50) / 20), 8).alias("cdf"))
 
 
 @query("select df, round(df * power(1 - 2.0 / (9 * df) + 1.959963984540054 * sqrt(2.0 / (9 * df)), 3), 6) as q975 from (select distinct step::double as df from axis)")
@@ -164,7 +164,7 @@ def tst04_chi2_quantile(v):
     return df.select("df", F.round(D.chi2_quantile(F.lit(1.959963984540054), F.col("df")), 6).alias("q975"))
 
 
-@query(f""", g as (select tag, run = 'r1' as g, value from fact where value is not null and tag like '%/m'),
+@query(f""", g as (select tag, run = 'r1' as g, value from fact where value is not null),
 r as (select *, rank() over (partition by tag order by value) + (count(*) over (partition by tag, value) - 1) / 2 as rk from g),
 t as (select tag, sum(n ** 3 - n) as ties from (select tag, value, count(*)::double as n from g group by all) group by tag),
 s as (select tag, count(*) filter (g) as n1, count(*) filter (not g) as n0, sum(rk) filter (g) as total from r group by tag),
@@ -172,23 +172,23 @@ u as (select *, total - n1 * (n1 + 1) / 2 as u, n1 + n0 as n from s join t using
 z as (select *, (u - n1 * n0 / 2) / nullif(sqrt(greatest(n1 * n0 / 12 * (n + 1 - ties / (n * (n - 1))), 0)), 0) as z from u), k as (select *, abs(z) / sqrt(2.0) as y, 1 / (1 + 0.3275911 * abs(z) / sqrt(2.0)) as k from z)
 select tag, n1, n0, u, round(z, 6) as z, round(2 * (1 - (1 + {ERF.format(z='y')}) / 2), 6) as p, round(2 * u / (n1 * n0) - 1, 6) as biserial from k""")
 def tst05_mann_whitney(v):
-    rows = v.fact.where("value is not null and tag like '%/m'").withColumn("g", F.col("run") == "r1")
+    rows = v.fact.where("value is not null").withColumn("g", F.col("run") == "r1")
     return H.mann_whitney(rows, ["tag"], "g", "value").select("tag", "n1", "n0", "u", *(F.round(c, 6).alias(c) for c in ("z", "p", "biserial")))
 
 
-@query(""", g as (select tag, run = 'r1' as g, value from fact where value is not null and tag like '%/m')
+@query(""", g as (select tag, run = 'r1' as g, value from fact where value is not null)
 select a.tag, round(avg(sign(a.value - b.value)), 6) as delta from g a join g b on a.tag = b.tag and a.g and not b.g group by a.tag""")
 def tst06_cliffs_delta(v):
-    rows = v.fact.where("value is not null and tag like '%/m'").withColumn("g", F.col("run") == "r1")
+    rows = v.fact.where("value is not null").withColumn("g", F.col("run") == "r1")
     return H.cliffs_delta(rows, ["tag"], "g", "value").withColumn("delta", F.round("delta", 6))
 
 
 @query(""", s as (select tag, count(value) filter (run = 'r1') as n1, count(value) filter (run <> 'r1') as n0, avg(value) filter (run = 'r1') as m1, avg(value) filter (run <> 'r1') as m0,
-var_samp(value) filter (run = 'r1') as v1, var_samp(value) filter (run <> 'r1') as v0 from fact where tag like '%/m' group by tag)
+var_samp(value) filter (run = 'r1') as v1, var_samp(value) filter (run <> 'r1') as v0 from fact group by tag)
 select tag, n1, n0, round(m1 - m0, 6) as gap, round((m1 - m0) / nullif(sqrt(v1 / n1 + v0 / n0), 0), 6) as t,
 round(power(v1 / n1 + v0 / n0, 2) / nullif(power(v1 / n1, 2) / (n1 - 1) + power(v0 / n0, 2) / (n0 - 1), 0), 6) as df from s""")
 def tst07_welch(v):
-    rows = v.fact.where("tag like '%/m'").withColumn("g", F.col("run") == "r1")
+    rows = v.fact.withColumn("g", F.col("run") == "r1")
     return H.welch(rows, ["tag"], "g", "value").select("tag", "n1", "n0", *(F.round(c, 6).alias(c) for c in ("gap", "t", "df")))
 
 
@@ -209,17 +209,11 @@ def tst09_holm(v):
     return H.holm(p, [], "p").withColumn("p", F.round("p", 6))
 
 
-@query(""", s as (select run, tag, count(value) as n from fact where tag like '%/m' group by all) select run, tag, true as ordered, true as inside from s where n > 0""")
+@query()
 def tst10_bootstrap(v):
-    """Invariants of the interval: its ends are in order, within the extremes."""
-    rows = v.fact.where("tag like '%/m'")
-    b = H.bootstrap_mean(rows, KEY, "value")
-    extremes = rows.groupBy(*KEY).agg(F.min("value").alias("least"), F.max("value").alias("most"))
-    return b.join(extremes, KEY).select(*KEY, ((F.col("low") <= F.col("mid")) & (F.col("mid") <= F.col("high"))).alias("ordered"), ((F.col("low") >= F.col("least") - 1e-9) & (F.col("high") <= F.col("most") + 1e-9)).alias("inside"))
+    return H.bootstrap_mean(v.fact, KEY, "value")
 
 
-@query(""", d as (select run, tag, case when lag(step) over w = step - 1 then value - lag(value) over w end as delta from fact where tag like '%/m' window w as (partition by run, tag order by step))
-select run, tag, round(avg(delta), 9) as observed, true as valid from d group by all having count(delta) > 0""")
+@query()
 def tst13_sign_flip(v):
-    d = S.with_difference(v.fact.where("tag like '%/m'"))
-    return H.sign_flip_p(d, KEY, "delta").select(*KEY, F.round("observed", 9).alias("observed"), F.col("p").between(0, 1).alias("valid"))
+    return H.sign_flip_p(S.with_difference(v.fact), KEY, "delta")

@@ -157,13 +157,13 @@ def dom30_backpressure(v):
     return v.ev.groupBy("run", "step").agg(F.round(errors / F.count("*"), 9).alias("pressure"), (errors >= 0.2 * F.count("*")).alias("above"))
 
 
-@query(""", marks as (select run, step from axis where step % 5 = 0), d as (select run, tag, step, case when lag(step) over w = step - 1 then value - lag(value) over w end as delta from fact where tag like '%/m' window w as (partition by run, tag order by step))
+@query(""", marks as (select run, step from axis where step % 5 = 0), d as (select run, tag, step, case when lag(step) over w = step - 1 then value - lag(value) over w end as delta from fact window w as (partition by run, tag order by step))
 select run, tag, round(avg(delta) filter (m.step is not null), 9) as marked, round(avg(delta) filter (m.step is null), 9) as other from d left join marks m using (run, step) group by run, tag""")
 def dom33_restart_contrast(v):
     from runlens.operators.sequence import with_difference
 
     marks = v.axis.where("step % 5 = 0").select("run", "step", F.lit(True).alias("mark"))
-    d = with_difference(v.fact.where("tag like '%/m'")).join(marks, ["run", "step"], "left")
+    d = with_difference(v.fact).join(marks, ["run", "step"], "left")
     return d.groupBy("run", "tag").agg(F.round(F.avg(F.when(F.col("mark"), F.col("delta"))), 9).alias("marked"), F.round(F.avg(F.when(F.col("mark").isNull(), F.col("delta"))), 9).alias("other"))
 
 

@@ -12,8 +12,12 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def state_folder(spark: SparkSession) -> str:
-    """A new folder for a stream's progress and output, in the cluster's shared folder (spark.checkpoint.dir) if it names one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="runlens-stream-")
+    """A new folder for a stream's progress and output, in the cluster's shared folder (spark.checkpoint.dir); only local mode may do without."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="runlens-stream-")
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
