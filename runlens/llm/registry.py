@@ -14,6 +14,7 @@ from .line_dedup import line_dedup
 from .mixing import mix
 from .pieces import encode_and_decode, load_vocabulary
 from .simhash_dedup import simhash_groups
+from .storage import narrow_batches
 from .substring_dedup import substring_dedup
 from .url_filter import Rule, url_filter
 
@@ -27,6 +28,7 @@ def _query(f):
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    narrow_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -29,6 +29,20 @@ def extended(schema: StructType, **more: str) -> StructType:
     return StructType([*schema.fields, *added.fields])
 
 
+#: Rows of whole texts that go to a Python worker at once.
+TEXT_ROWS = 2000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def narrow_batches(spark: SparkSession) -> None:
+    """Sends at most TEXT_ROWS rows to a Python worker at once in this session, since a row may be a long text.
+
+    No result depends on it: it bounds the buffers that the executor and the worker hold for a batch.
+    """
+    if not 0 < int(spark.conf.get(_BATCH)) <= TEXT_ROWS:
+        spark.conf.set(_BATCH, str(TEXT_ROWS))
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """The names, each with as many underscores behind it as no column of df has it."""
     taken, found = {c.lower() for c in df.columns}, []
