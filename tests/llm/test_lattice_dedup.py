@@ -1,7 +1,8 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from runlens.llm.lattice_dedup import TABLES, _minimal_vectors, decode_e8, embedding_dedup, lattice_cells
+from runlens.llm.lattice_dedup import TABLES, _minimal_vectors, decode_e8, embedding_dedup, lattice_cells, lattice_links
+from runlens.llm.links import components
 
 
 def test_decoder_finds_the_nearest_point():
@@ -61,3 +62,30 @@ def test_against_brute_force(spark):
     got = embedding_dedup(table).collect()
     assert len(got) == len(rows) and {tuple(x) for x in got} == brute(rows)
     assert embedding_dedup(table.limit(0)).count() == 0
+
+
+def test_crowded_cells_in_blocks(spark):
+    """Whatever the size from which cells are multiplied in blocks, and whatever the blocks, links count once."""
+    r = np.random.default_rng(5)
+    base = r.standard_normal((3, 16))
+    rows = [(i, np.float32(base[i % 3] + r.standard_normal(16) * r.choice([0.02, 0.15, 0.3])).tolist()) for i in range(150)]
+    rows += [(1000 + i, rows[i][1]) for i in range(0, 60, 7)]
+    vectors = spark.createDataFrame([(i, v, 1 + i % 3) for i, v in rows[:150]], "rep long, embedding array<float>, copies long").repartition(3)
+    found = set()
+    for pairs, block in ((10**9, 1024), (0, 1024), (0, 7), (300, 16)):
+        links = lattice_links(vectors, pairs=pairs, block=block)
+        degree = {x["a"]: x["n"] for x in links.groupBy("a").agg(F.sum("others").alias("n")).collect()}
+        reach = {x["node"]: x["component"] for x in components(links.select("a", "b")).collect()}
+        found.add((tuple(sorted(degree.items())), tuple(sorted(reach.items()))))
+    assert len(found) == 1
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert {tuple(x) for x in embedding_dedup(table).collect()} == brute(rows)
+
+
+def test_a_hot_group_makes_no_row_per_pair(spark):
+    r = np.random.default_rng(6)
+    base = r.standard_normal(32)
+    rows = [(i, np.float32(base + r.standard_normal(32) * 0.02).tolist(), 1) for i in range(700)]
+    links = lattice_links(spark.createDataFrame(rows, "rep long, embedding array<float>, copies long"))
+    assert links.agg(F.sum("others")).first()[0] == 700 * 699
+    assert links.count() < 700 * 60
