@@ -27,7 +27,7 @@ MIN_CHARS = 16
 #: Edits allowed from MIN_CHARS on, and from so many characters on.
 EDITS = 1
 LONGER = ((256, 2),)
-#: Segments that more lines share are split by a second segment.
+#: Segments that make more pairs than CROWD lines in the index and CROWD probes are split by a second segment.
 CROWD = 64
 #: Up to so many line hashes (8 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
@@ -272,6 +272,13 @@ def _pairs(index: DataFrame, probes: DataFrame) -> DataFrame:
     return probes.join(index, "key").where("p <> h1").select(F.least("p", "h1").alias("a"), F.greatest("p", "h1").alias("b")).distinct()
 
 
+def _crowded(index: DataFrame, probes: DataFrame, crowd: int) -> DataFrame:
+    """Keys that make more than crowd * crowd pairs: of lines in the index (h1, key) and lines that probe (p, key)."""
+    stored = written(index.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared_keys")
+    asked = probes.join(stored, "key", "left_semi").groupBy("key").agg(F.count("*").alias("n_asked"))
+    return stored.join(asked, "key").where(F.col("n") * F.col("n_asked") > crowd * crowd)
+
+
 def _texts_of(lines: DataFrame, texts: DataFrame) -> DataFrame:
     """h1 and line of the wanted lines (h1)."""
     wanted = written(lines.select("h1").distinct(), "lines_wanted")
@@ -293,8 +300,8 @@ def edit_links(rows: DataFrame, texts: DataFrame, thresholds: Thresholds, crowd:
     lines with a character left out, and for longer lines every pair that is still in different groups is verified.
     """
     index = rows.select("h1", F.explode("own").alias("key"))
-    crowded = written(index.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > crowd), "crowded")
     probes = rows.select(F.col("h1").alias("p"), F.explode("probes").alias("key"))
+    crowded = written(_crowded(index, probes, crowd), "crowded")
     pairs = written(_pairs(index.join(crowded, "key", "left_anti"), probes), "line_pairs")
     both = pairs.select(F.explode(F.array("a", "b")).alias("h1"))
     if crowded.isEmpty():
@@ -304,7 +311,7 @@ def edit_links(rows: DataFrame, texts: DataFrame, thresholds: Thresholds, crowd:
     links = _close(pairs, picked, thresholds)
     split = written(picked.join(hot, "h1", "left_semi").mapInArrow(lambda it: _pair_keys(it, thresholds), "h1 long, probe boolean, key long"), "pair_keys")
     index, probes = split.where("not probe").select("h1", "key"), split.where("probe").select(F.col("h1").alias("p"), "key")
-    crowded = written(index.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > crowd), "pairs_crowded")
+    crowded = written(_crowded(index, probes, crowd), "pairs_crowded")
     pairs = written(_pairs(index.join(crowded, "key", "left_anti"), probes), "split_pairs")
     links = written(links.unionByName(_close(pairs, picked, thresholds)), "line_links")
     if crowded.isEmpty():
