@@ -64,7 +64,7 @@ STAGES = [
     ("SentencePiece encoding and decoding", encode_pieces),
 ]
 
-#: Trained networks, sampling hashes and XXH64 are beyond SQL; tests compare stages with brute-force versions.
+#: Trained networks, sampling hashes and XXH64 are beyond SQL; tests of the operators compare them with brute-force versions, not the whole run.
 ORACLE_SQL = None
 
 
