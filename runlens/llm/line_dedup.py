@@ -27,8 +27,9 @@ MIN_CHARS = 16
 #: Edits allowed from MIN_CHARS on, and from so many characters on.
 EDITS = 1
 LONGER = ((256, 2),)
-#: Segments that make more pairs than CROWD lines in the index and CROWD probes are split by a second segment.
-CROWD = 64
+#: Segments that make more than CROWD pairs for each line that holds or probes them are split by a second segment, so
+#: that the pairs that meet are at most CROWD times the keys, however large a group of near copies grows.
+CROWD = 4
 #: Up to so many line hashes (8 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 NEWLINE = 10
@@ -273,10 +274,10 @@ def _pairs(index: DataFrame, probes: DataFrame) -> DataFrame:
 
 
 def _crowded(index: DataFrame, probes: DataFrame, crowd: int) -> DataFrame:
-    """Keys that make more than crowd * crowd pairs: of lines in the index (h1, key) and lines that probe (p, key)."""
+    """Keys that make more than `crowd` pairs a line: of lines in the index (h1, key) and lines that probe (p, key)."""
     stored = written(index.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared_keys")
     asked = probes.join(stored, "key", "left_semi").groupBy("key").agg(F.count("*").alias("n_asked"))
-    return stored.join(asked, "key").where(F.col("n") * F.col("n_asked") > crowd * crowd)
+    return stored.join(asked, "key").where(F.col("n") * F.col("n_asked") > crowd * (F.col("n") + F.col("n_asked")))
 
 
 def _texts_of(lines: DataFrame, texts: DataFrame) -> DataFrame:

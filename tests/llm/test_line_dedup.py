@@ -86,7 +86,8 @@ def test_against_brute_force(spark):
 
 def test_crowded_segments(spark):
     rows = corpus(2) + [(700 + i, f"the common line number {i} of the page\nthe common line number {i} of the pag") for i in range(14)]
-    assert run(spark, rows, min_chars=8, crowd=1) == brute(rows, 8)
+    for crowd in (1, 0):
+        assert run(spark, rows, min_chars=8, crowd=crowd) == brute(rows, 8)
 
 
 def test_repeated_rows_missing_ids_and_empty_table(spark):
@@ -112,7 +113,7 @@ def long_lines(seed, n, edits):
 
 
 def test_the_threshold_grows_with_the_length(spark):
-    for crowd in (64, 1):
+    for crowd in (64, 1, 0):
         rows, longer = long_lines(3, 22, 3), ((30, 2), (45, 3))
         assert run(spark, rows, min_chars=8, crowd=crowd, longer=longer) == brute(rows, 8, longer)
 
