@@ -1,4 +1,4 @@
-"""Curves fitted to series: saturation models, change points, greedy bases. One series is one group."""
+"""Curves fitted to series and tests by permutation. One series is one group."""
 
 from __future__ import annotations
 
@@ -59,77 +59,6 @@ def saturation_fits(rows: DataFrame, key: list[str], x: str = "step", y: str = "
     return rows.select(*key, x, y).groupBy(*key).applyInPandas(fit, f"{kinds}, model string, n long, a double, b double, k double, rss double, aicc double, best boolean")
 
 
-def segment_rows(matrix: np.ndarray, least: int = 2, weight: float = 1.0) -> list[int]:
-    """Starts of the segments of binary segmentation: a cut is taken while it lowers squared error by more than the penalty."""
-    n, d = matrix.shape
-    # The median of a chi-square with d degrees of freedom is about d (1 - 2 / 9d)^3.
-    noise = float(np.median((np.diff(matrix, axis=0) ** 2).sum(axis=1)) / 2 / (d * (1 - 2 / (9 * d)) ** 3)) if n > 1 else 0.0
-    penalty = weight * d * np.log(max(n, 2)) * max(noise, 1e-12)
-
-    def loss(a: int, b: int) -> float:
-        part = matrix[a:b]
-        return float(((part - part.mean(axis=0)) ** 2).sum())
-
-    cuts, todo = [0], [(0, n)]
-    while todo:
-        a, b = todo.pop()
-        gains = [(loss(a, b) - loss(a, c) - loss(c, b), -c) for c in range(a + least, b - least + 1)]
-        if gains and max(gains)[0] > penalty:
-            c = -max(gains)[1]
-            cuts.append(c)
-            todo += [(a, c), (c, b)]
-    return sorted(cuts)
-
-
-def change_points(z: DataFrame, least: int = 2) -> DataFrame:
-    """run, step: the first step of each segment of a run, over all its series at once (a matrix of steps by series)."""
-
-    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
-        wide = pdf.pivot(index="step", columns="tag", values="z").sort_index().fillna(0.0)
-        starts = segment_rows(wide.to_numpy(), least)
-        return pd.DataFrame({"run": pdf["run"].iloc[0], "step": wide.index.to_numpy()[starts]})
-
-    return z.groupBy("run").applyInPandas(cut, "run string, step int")
-
-
-def greedy_basis(z: DataFrame, most: int) -> DataFrame:
-    """run, rank, tag, explained: series picked one by one for the most variance they explain, with the share explained so far.
-
-    One run's series make one matrix of steps by series.
-    """
-
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        wide = pdf.pivot(index="step", columns="tag", values="z").fillna(0.0)
-        rest, names, out = wide.to_numpy().copy(), list(wide.columns), []
-        total = float((rest**2).sum())
-        for rank in range(1, min(most, len(names)) + 1):
-            norms = (rest**2).sum(axis=0)
-            gain = np.where(norms > 1e-9, ((rest.T @ rest) ** 2).sum(axis=1) / np.maximum(norms, 1e-300), 0.0)
-            best = int(gain.argmax())
-            if gain[best] <= 1e-12:
-                break
-            u = rest[:, best] / np.sqrt(norms[best])
-            rest = rest - np.outer(u, u @ rest)
-            out.append((pdf["run"].iloc[0], rank, names[best], 1 - float((rest**2).sum()) / total))
-        return pd.DataFrame(out, columns=["run", "rank", "tag", "explained"])
-
-    return z.groupBy("run").applyInPandas(pick, "run string, rank long, tag string, explained double")
-
-
-def loadings(z: DataFrame, components: int = 3) -> DataFrame:
-    """run, k, tag, loading: each series' weight in the leading components; the largest weight of a component is positive."""
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        wide = pdf.pivot(index="step", columns="tag", values="z").fillna(0.0)
-        _, _, v = np.linalg.svd(wide.to_numpy(), full_matrices=False)
-        v = v[:components]
-        v = v * np.sign(v[np.arange(len(v)), np.abs(v).argmax(axis=1)])[:, None]
-        k, t = np.indices(v.shape)
-        return pd.DataFrame({"run": pdf["run"].iloc[0], "k": k.ravel() + 1, "tag": np.array(wide.columns)[t.ravel()], "loading": v.ravel()})
-
-    return z.groupBy("run").applyInPandas(solve, "run string, k long, tag string, loading double")
-
-
 def block_permutation_p(rows: DataFrame, key: list[str], block: int = 4, replicates: int = 200, seed: int = 3) -> DataFrame:
     """key, slope, p: is a trend's slope larger than those of residuals rotated in blocks? Seeded by the series' name."""
 

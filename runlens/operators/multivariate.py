@@ -58,34 +58,6 @@ def adjusted_rand(labels: DataFrame, a: str, b: str) -> DataFrame:
     return joined.select(F.try_divide(F.col("ij") - expected, (F.col("i") + F.col("j")) / 2 - expected).alias("ari"))
 
 
-def average_linkage(distances: DataFrame, clusters: int) -> DataFrame:
-    """run, tag, cluster: series merged by least mean distance until `clusters` are left.
-
-    distances: run, x, y, d for all x < y. Each run's series form one task: fold near-identical ones first.
-    """
-
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        names = sorted(set(pdf["x"]) | set(pdf["y"]))
-        at = {n: i for i, n in enumerate(names)}
-        d = np.full((len(names), len(names)), np.inf)
-        i, j = pdf["x"].map(at).to_numpy(), pdf["y"].map(at).to_numpy()
-        d[i, j] = d[j, i] = pdf["d"].to_numpy()
-        size, label = np.ones(len(names)), np.arange(len(names))
-        for _ in range(len(names) - clusters):
-            a, b = sorted(divmod(int(d.argmin()), len(names)))
-            if not np.isfinite(d[a, b]):
-                break
-            row = (d[a] * size[a] + d[b] * size[b]) / (size[a] + size[b])
-            d[a], d[:, a] = row, row
-            d[a, a] = np.inf
-            d[b], d[:, b] = np.inf, np.inf
-            size[a] += size[b]
-            label[label == b] = a
-        return pd.DataFrame({"run": pdf["run"].iloc[0], "tag": names, "cluster": [names[k] for k in label]})
-
-    return distances.groupBy("run").applyInPandas(merge, "run string, tag string, cluster string")
-
-
 def distances(z: DataFrame) -> DataFrame:
     """run, x, y, d: one minus the absolute correlation of each pair of a run's series (x < y)."""
     a, b = (z.select("run", "step", F.col("tag").alias(t), F.col("z").alias(f"z{t}")) for t in ("x", "y"))

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from runlens.operators import curves as U
+from runlens.operators import factors as K
 from runlens.operators import multivariate as V
 
 from .catalog import query
@@ -16,17 +17,17 @@ def mlt18_saturation(v):
 
 @query()
 def mlt12_change_points(v):
-    return U.change_points(V.cohort(v.fact, v.axis))
+    return K.change_points(V.cohort(v.fact, v.axis))
 
 
 @query()
 def mlt11_greedy_basis(v):
-    return U.greedy_basis(V.cohort(v.fact, v.axis), 5)
+    return K.greedy_basis(V.cohort(v.fact, v.axis), 5)
 
 
 @query()
 def mlt07_loadings(v):
-    return U.loadings(V.cohort(v.fact, v.axis))
+    return K.loadings(V.cohort(v.fact, v.axis))
 
 
 @query()
@@ -46,3 +47,19 @@ def mlt16_across_runs(v):
 
     r0, r1 = (v.fact.where((F.col("run") == r) & F.col("value").isNotNull()).select("tag", "step", F.col("value").alias(r)) for r in ("r0", "r1"))
     return r0.join(r1, ["tag", "step"]).groupBy("tag").agg(F.count("*").alias("n"), F.round(pearson("r0", "r1"), 6).alias("r")).where("n >= 3")
+
+
+@query()
+def tst15_bootstrap_spectrum(v):
+    """How sure is a run's spectrum? Its series are drawn anew 200 times."""
+    return K.bootstrap_spectrum(V.cohort(v.fact, v.axis))
+
+
+@query()
+def tst19_leave_one_step_out(v):
+    return K.leave_one_step_out(V.cohort(v.fact, v.axis))
+
+
+@query()
+def mlt15_matched_components(v):
+    return K.matched_components(V.cohort(v.fact, v.axis), "r0", "r1")

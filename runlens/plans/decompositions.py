@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from runlens.operators import decomposition as C
+from runlens.operators import factors as K
 from runlens.operators import multivariate as V
 from runlens.operators.association import pearson, trend
 from runlens.operators.sequence import with_average_rank
@@ -131,7 +132,7 @@ def mlt06_participation(v):
 
 @query()
 def mlt09_average_linkage(v):
-    return V.average_linkage(V.distances(V.cohort(v.fact, v.axis)), 4)
+    return K.average_linkage(V.distances(V.cohort(v.fact, v.axis)), 4)
 
 
 @query(""", cells as (select label as a, vec_id % 7 as b, count(*) as n from embeddings group by all),

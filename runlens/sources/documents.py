@@ -24,8 +24,8 @@ def read_json(spark: SparkSession, path: str, schema: StructType | str) -> DataF
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """JSON lines; blank lines are skipped, a missing path gives an empty table."""
-    return _or_empty(spark, schema, lambda: spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path))
+    """JSON lines; blank lines are skipped, a line that isn't JSON or doesn't fit the schema is an error, a missing path gives an empty table."""
+    return _or_empty(spark, schema, lambda: spark.read.schema(schema).option("mode", "FAILFAST").json(path))
 
 
 def append_jsonl(rows: DataFrame, path: str) -> None:
@@ -35,8 +35,8 @@ def append_jsonl(rows: DataFrame, path: str) -> None:
 def metric_lines(fact: DataFrame) -> DataFrame:
     """run, tag, line: a metric's values in the order of its steps as one JSON line, gaps as null, numbers that are not finite too."""
     value = F.when(F.abs(F.col("value")) < float("inf"), F.round("value", 6))
-    cells = F.transform(F.array_sort(F.collect_list(F.struct("step", value.alias("value")))), lambda c: F.coalesce(c["value"].cast("string"), F.lit("null")))
-    line = F.concat(F.lit('{"'), F.col("tag"), F.lit('":['), F.concat_ws(",", "cells"), F.lit("]}"))
+    cells = F.transform(F.array_sort(F.collect_list(F.struct("step", value.alias("value")))), lambda c: c["value"])
+    line = F.to_json(F.create_map("tag", "cells"))
     return fact.groupBy("run", "tag").agg(cells.alias("cells")).select("run", "tag", line.alias("line"))
 
 

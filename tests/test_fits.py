@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from runlens.operators import curves as U
+from runlens.operators import factors as K
 from runlens.operators import multivariate as V
 from runlens.plans import catalog
 from runlens.sources import documents as J
@@ -90,7 +91,7 @@ def test_change_points_find_a_planted_break(spark):
     r = np.random.default_rng(3)
     rows = [("r", f"t{i}", s, float(r.normal() * 0.1 + (2.0 if s >= 12 else 0.0))) for i in range(6) for s in range(1, 25)]
     z = spark.createDataFrame(rows, "run string, tag string, step int, z double")
-    assert sorted(x.step for x in U.change_points(z).collect()) == [1, 12]
+    assert sorted(x.step for x in K.change_points(z).collect()) == [1, 12]
 
 
 def test_saturation_fits_are_least(spark):
@@ -166,9 +167,13 @@ def test_json_documents_and_lines(spark, tmp_path):
     for _ in range(2):
         J.append_jsonl(spark.createDataFrame([("z", 1)], schema), str(tmp_path / "out"))
     assert J.read_jsonl(spark, str(tmp_path / "out"), schema).count() == 2
-    fact = spark.createDataFrame([("r", "b", 1, 1.5), ("r", "a", 2, None), ("r", "a", 1, float("inf")), ("r", "a", 3, 2.0)], "run string, tag string, step int, value double")
+    for k, bad in enumerate(('{"run": "x", "n"', '{"run": "x", "n": "three"}')):
+        (tmp_path / f"bad{k}.jsonl").write_text('{"run": "x", "n": 3}\n' + bad + "\n")
+        with pytest.raises(Exception, match="MALFORMED"):
+            J.read_jsonl(spark, str(tmp_path / f"bad{k}.jsonl"), schema).collect()
+    fact = spark.createDataFrame([("r", "b", 1, 1.5), ("r", "a", 2, None), ("r", "a", 1, float("inf")), ("r", "a", 3, 2.0), ("r", 'c"\\\n', 1, 1.0)], "run string, tag string, step int, value double")
     J.write_metric_lines(fact, str(tmp_path / "lines"))
-    assert [x.value for x in spark.read.text(str(tmp_path / "lines" / "run=r")).collect()] == ['{"a":[null,null,2.0]}', '{"b":[1.5]}']
+    assert [x.value for x in spark.read.text(str(tmp_path / "lines" / "run=r")).collect()] == ['{"a":[null,null,2.0]}', '{"b":[1.5]}', '{"c\\"\\\\\\n":[1.0]}']
 
 
 def test_replaying_twice_changes_nothing(spark):

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from runlens.functions import distributions as D
 from runlens.functions import formats as M
 from runlens.operators import curves as U
+from runlens.operators import factors as K
 from runlens.operators import merge as G
 from runlens.operators import multivariate as V
 from runlens.operators import sequence as S
@@ -89,9 +90,9 @@ def test_fits_find_the_curve(spark):
 
 def test_change_points_and_spectrum(spark):
     m = np.vstack([np.zeros((10, 3)), np.full((8, 3), 4.0)]) + np.random.default_rng(2).normal(0, 0.1, (18, 3))
-    assert U.segment_rows(m) == [0, 10]
+    assert K.segment_starts(m @ m.T) == [0, 10]
     z = spark.createDataFrame([("r", f"t{j}", i, float(m[i, j])) for i in range(18) for j in range(3)], "run string, tag string, step int, z double")
-    assert [x.step for x in U.change_points(z).orderBy("step").collect()] == [0, 10]
+    assert [x.step for x in K.change_points(z).orderBy("step").collect()] == [0, 10]
     values = [x.eigenvalue for x in V.spectrum(V.gram(z)).orderBy("k").collect()]
     assert values[:3] == pytest.approx(np.linalg.svd(m, compute_uv=False) ** 2) and max(values[3:]) < 1e-9
     ratio = V.participation_ratio(V.gram(z)).first().ratio
@@ -103,7 +104,7 @@ def test_average_linkage_against_a_naive_twin(spark):
     points = np.concatenate([r.normal(c, 0.2, (5, 2)) for c in (0, 4, 9)])
     d = np.linalg.norm(points[:, None] - points[None], axis=2)
     rows = [("r", f"p{i:02}", f"p{j:02}", float(d[i, j])) for i in range(15) for j in range(i + 1, 15)]
-    got = V.average_linkage(spark.createDataFrame(rows, "run string, x string, y string, d double"), 3).collect()
+    got = K.average_linkage(spark.createDataFrame(rows, "run string, x string, y string, d double"), 3).collect()
     assert {frozenset(x.tag for x in got if x.cluster == c) for c in {x.cluster for x in got}} == {frozenset(f"p{i:02}" for i in range(k, k + 5)) for k in (0, 5, 10)}
 
 
