@@ -273,7 +273,10 @@ def embedding_dedup(embeddings: DataFrame, cosine: float = COSINE, tables: int =
     compared: at the default parameters more than 99 % of the links right at the threshold are found, and more than 99.9 % of those
     at 0.95 and above.
     """
-    rows = written(embeddings.select("vec_id", "embedding").mapInArrow(_signatures, "vec_id long, embedding array<float>, sig binary"), "vectors")
+    kind = embeddings.schema["embedding"].dataType.simpleString()
+    kind = kind if kind == "array<float>" else "array<double>"
+    rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("embedding"))
+    rows = written(rows.mapInArrow(_signatures, f"vec_id long, embedding {kind}, sig binary"), "vectors")
     ids = rows.where("sig is not null and vec_id is not null")
     named = ids.select("sig", "vec_id").distinct()
     classes = named.groupBy("sig").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from runlens.llm.lattice_dedup import TABLES, _minimal_vectors, decode_e8, embedding_dedup, lattice_cells, lattice_links
@@ -89,3 +90,14 @@ def test_a_hot_group_makes_no_row_per_pair(spark):
     links = lattice_links(spark.createDataFrame(rows, "rep long, embedding array<float>, copies long"))
     assert links.agg(F.sum("others")).first()[0] == 700 * 699
     assert links.count() < 700 * 60
+
+
+@pytest.mark.parametrize("kind", ["float", "double", "int"])
+def test_components_of_any_numeric_type(spark, kind):
+    r = np.random.default_rng(7)
+    base = r.integers(-9, 10, (30, 16))
+    rows = [(i, [int(x) for x in base[i % 20]]) for i in range(30)] + [(40, None), (41, [0] * 16)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<int>").withColumn("embedding", F.col("embedding").cast(f"array<{kind}>"))
+    got = {x.vec_id: (x.n_links, x.component_id) for x in embedding_dedup(table).collect()}
+    assert got == {i: (int(i < 10 or i >= 20), i % 20) for i in range(30)} | {40: (0, 40), 41: (0, 41)}
+
