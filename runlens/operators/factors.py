@@ -91,6 +91,23 @@ def segment_starts(m: np.ndarray, least: int = 2, most: int = 20) -> list[int]:
     return cuts[:-1]
 
 
+def split_candidates(z: DataFrame, most: int = 4, least: int = 2) -> DataFrame:
+    """run, step, stat: the steps before which one cut lowers the squared error of all of a run's series most, of equal ones the earliest."""
+
+    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
+        steps, m = _square(pdf)
+        n = len(m)
+        diagonal, block = np.concatenate([[0], np.cumsum(np.diag(m))]), np.zeros((n + 1, n + 1))
+        block[1:, 1:] = m.cumsum(0).cumsum(1)
+        loss = lambda a, b: diagonal[b] - diagonal[a] - (block[b, b] - block[a, b] - block[b, a] + block[a, a]) / (b - a)
+        c = np.arange(least, n - least + 1)
+        stat = loss(0, n) - loss(0, c) - loss(c, n) if len(c) else np.zeros(0)
+        best = np.argsort(-np.round(stat, 9), kind="stable")[:most]
+        return pd.DataFrame({"run": pdf["run"].iloc[0], "step": steps[c[best]], "stat": stat[best]})
+
+    return gram(z).groupBy("run").applyInPandas(cut, "run string, step int, stat double")
+
+
 def change_points(z: DataFrame, least: int = 2, most: int = 20) -> DataFrame:
     """run, step: the first step of each segment of a run, over all its series at once (see segment_starts)."""
 

@@ -32,4 +32,4 @@ def query(sql: str | None = None):
 
 def load() -> None:
     """Imports every module that registers queries."""
-    from . import aggregates, anomalies, context, curves, decompositions, joins, merges, more_sequences, profiles, sequences, statistics, stores, streams, texts, views  # noqa: F401
+    from . import aggregates, alignments, anomalies, context, curves, decompositions, joins, merges, more_sequences, profiles, sequences, statistics, stores, streams, texts, views  # noqa: F401

@@ -77,11 +77,16 @@ def mrg11_extended(v):
     return both.select("run", "tag", "step", F.round(F.when(F.col("again"), F.coalesce("n", "o")).otherwise(F.coalesce("o", "n")), 9).alias("value"))
 
 
-@query(""", runs_ as (select unnest(['a', 'b', 'c', 'd']) as run, unnest([10, 10, 9, 10]) as last_step, unnest([1, 1, 1, 0]) as n_redo, unnest([0, 12, 0, 3]) as skips)
-select run, run = 'a' as skip, case run when 'a' then 'unchanged' when 'b' then 'full refresh due' when 'c' then 'new steps' when 'd' then 'redone steps' else 'no data' end as why from (select run from runs_ union all select 'e')""")
+@query(""", st as (select run || ':' || tag as run, max(step) filter (value is not null) as last_step, count(*) filter (value is null) as n_redo, count(*) % 14 as skips from snap_old group by all),
+inc as (select run || ':' || tag as run, max(step) filter (value is not null and (step <= 19 or tag not like '%/m')) as new_step, count(*) filter (value is null and step <= 20) as new_redo from fact group by all),
+w as (select run, case when st.run is null or last_step is null then 'no data' when last_step <> new_step then 'new steps' when new_redo > n_redo then 'redone steps' when skips >= 12 then 'full refresh due' else 'unchanged' end as why from inc left join st using (run))
+select run, why = 'unchanged' as skip, why from w""")
 def mrg13_skip_decision(v):
-    stored = v.spark.createDataFrame([("a", 10, 1, 0), ("b", 10, 1, 12), ("c", 9, 1, 0), ("d", 10, 0, 3)], "run string, last_step int, n_redo int, skips int")
-    incoming = v.spark.createDataFrame([(r, 10, 1) for r in "abcde"], "run string, last_step int, n_redo int")
+    """Each series as a stored and an incoming state: is there anything new in it?"""
+    series, there = F.concat_ws(":", "run", "tag"), F.col("value").isNotNull()
+    stored = v.snap_old.groupBy(series.alias("run")).agg(F.max(F.when(there, F.col("step"))).alias("last_step"), F.count_if(~there).alias("n_redo"), (F.count("*") % 14).alias("skips"))
+    seen = there & ((F.col("step") <= 19) | ~F.col("tag").endswith("/m"))
+    incoming = v.fact.groupBy(series.alias("run")).agg(F.max(F.when(seen, F.col("step"))).alias("last_step"), F.count_if(~there & (F.col("step") <= 20)).alias("n_redo"))
     return X.skip_decision(stored, incoming)
 
 
@@ -154,14 +159,16 @@ def dom18_pool_decomposition(v):
     return d.select("kind", *((F.round(c, 8) + F.lit(0.0)).alias(c) for c in d.columns[1:]))
 
 
-@query(""", s as (select run, step, wall, lag(wall) over (partition by run order by step) as low from axis),
-i as (select s.run, s.step, wall, low, max(t) as last, min(t) as first from s join restarts r on r.run = s.run and t > low and t <= wall group by all)
-select run, step, round(wall - low - 3600, 3) as gap, round(last - low, 3) as before_last, round(wall - last, 3) as tail, round(last - first, 3) as between_, abs((last - low) + (wall - last) - 3600 - (wall - low - 3600)) < 1e-3 as holds from i""")
+@query(""", s as (select run, step, wall, lag(wall) over (partition by run order by step) as low from axis), rep as (select run, step, max(t) - min(t) as seconds from ev where event_type = 'view' group by all),
+i as (select s.run, s.step, wall, low, max(t) as last, min(t) as first from s join restarts r on r.run = s.run and t > low and t <= wall group by all),
+j as (select run, step, wall - low - seconds as gap, last - low as before_last, wall - last as tail, last - first as between_ from i join rep using (run, step))
+select run, step, round(gap, 3) as gap, round(before_last, 3) as before_last, round(tail, 3) as tail, round(between_, 3) as between_, between_ <= gap as explained, gap < 0 as overlong from j""")
 def dom23_gap_attribution(v):
-    reported = v.axis.select("run", "step", F.lit(3600.0).alias("seconds"))
+    """Unreported time of steps with restarts: does the stretch from the first restart to the last fit into it, and is more time reported than went by?"""
+    reported = v.ev.where("event_type = 'view'").groupBy("run", "step").agg((F.max("t") - F.min("t")).alias("seconds"))
     g = X.gap_attribution(v.axis, v.restarts, reported)
-    holds = F.abs(F.col("before_last") + F.col("tail") - 3600 - F.col("gap")) < 1e-3
-    return g.select("run", "step", F.round("gap", 3).alias("gap"), F.round("before_last", 3).alias("before_last"), F.round("tail", 3).alias("tail"), F.round("between", 3).alias("between_"), holds.alias("holds"))
+    explained, overlong = (F.col("between") <= F.col("gap")).alias("explained"), (F.col("gap") < 0).alias("overlong")
+    return g.select("run", "step", F.round("gap", 3).alias("gap"), F.round("before_last", 3).alias("before_last"), F.round("tail", 3).alias("tail"), F.round("between", 3).alias("between_"), explained, overlong)
 
 
 @query(""", j as (select run, step, max(case when tag = 'events/error/c' then value end) as groups, max(case when tag = 'events/error/m' then value end) as seconds from fact group by all),
@@ -188,15 +195,16 @@ def dom25_staleness_chain(v):
     return r.groupBy("run", "tag", "segment").agg(F.count("*").alias("n"), F.round(rho, 6).alias("rho")).where("n >= 3")
 
 
-@query(""", o as (select run, event_id, t, step, row_number() over w as done, count(*) over (partition by run, step) as target from ev window w as (partition by run, step order by t, event_id)),
-p as (select *, (t - min(t) over x) / nullif(max(t) over x - min(t) over x, 0) as elapsed from o window x as (partition by run, step))
-select run, step, count(*) as n, max(done) = any_value(target) as complete, round(avg(done / target::double - elapsed), 9) as bias, count_if(done / target::double < 0 or done / target::double > 1) as outside from p group by all""")
+@query(""", size as (select run, step, count(*) as n, coalesce(lag(count(*)) over (partition by run order by step), count(*)) as target, min(t) as t0, max(t) as t1 from ev group by run, step),
+o as (select run, step, t, t0, t1, n, target, row_number() over (partition by run, step order by t, event_id) as done from ev join size using (run, step))
+select run, step, any_value(n) as n, any_value(target) as target, max(done) >= any_value(target) as complete, round(avg(done / target::double - (t - t0) / nullif(t1 - t0, 0)), 9) as bias, count_if(done > target) as outside from o group by all""")
 def dom27_progress_audit(v):
-    """A step's progress as the share of its events so far, against the share of its time: identity, range and bias."""
-    by = Window.partitionBy("run", "step")
-    o = v.ev.withColumns({"done": F.row_number().over(by.orderBy("t", "event_id")), "target": F.count("*").over(by)})
-    o = o.withColumn("elapsed", F.try_divide(F.col("t") - F.min("t").over(by), F.max("t").over(by) - F.min("t").over(by))).withColumn("progress", F.col("done") / F.col("target"))
-    return o.groupBy("run", "step").agg(F.count("*").alias("n"), (F.max("done") == F.max("target")).alias("complete"), F.round(F.avg(F.col("progress") - F.col("elapsed")), 9).alias("bias"), F.count_if((F.col("progress") < 0) | (F.col("progress") > 1)).alias("outside"))
+    """A step's progress as its events so far over those planned (as many as the step before had), against the share of its time: is it ever complete, above one, or biased?"""
+    size = v.ev.groupBy("run", "step").agg(F.count("*").alias("n"), F.min("t").alias("t0"), F.max("t").alias("t1"))
+    size = size.withColumn("target", F.coalesce(F.lag("n").over(Window.partitionBy("run").orderBy("step")), "n"))  # a row a step
+    o = v.ev.withColumn("done", F.row_number().over(Window.partitionBy("run", "step").orderBy("t", "event_id"))).join(F.broadcast(size), ["run", "step"])
+    ahead = F.col("done") / F.col("target") - F.try_divide(F.col("t") - F.col("t0"), F.col("t1") - F.col("t0"))
+    return o.groupBy("run", "step").agg(F.first("n").alias("n"), F.first("target").alias("target"), (F.max("done") >= F.first("target")).alias("complete"), F.round(F.avg(ahead), 9).alias("bias"), F.count_if(F.col("done") > F.col("target")).alias("outside"))
 
 
 @query(""", d as (select *, coalesce(value < lag(value) over (partition by run, tag order by step), false) as cut from fact where value is not null),
@@ -273,11 +281,11 @@ def sca29_attached_refs(v):
 
 @query()
 def sca30_verified_titles(v):
-    """Whether an entry's title is that of its source: a mismatch is a Jaccard below 0.6 and a containment below 0.9; and whether its first words are quoted."""
+    """Whether an entry's title is that of its source: a mismatch is a Jaccard below 0.6 and a containment below 0.9; and whether the text has the claimed title's first words."""
     b = v.table("benchmark").select("item_id", "text")
     title = F.array_join(F.slice(F.split("text", " "), 1, 9), " ")
     claimed = F.when(F.col("item_id") % 3 == 0, F.concat(F.lit("another name of "), F.reverse(title))).otherwise(title)
-    words = F.array_join(F.slice(F.split(F.lower("text"), " "), 1, 8), " ")
+    words = F.array_join(F.slice(F.split(F.lower(claimed), " "), 1, 8), " ")
     r = b.select("item_id", T.word_set(claimed).alias("a"), T.word_set(title).alias("b"), (F.instr(F.lower("text"), words) > 0).alias("quoted"))
     j, c = T.jaccard(F.col("a"), F.col("b")), T.containment(F.col("b"), F.col("a"))
     return r.select("item_id", ((j < 0.6) & (c < 0.9)).alias("mismatch"), "quoted")

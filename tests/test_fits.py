@@ -154,7 +154,7 @@ def test_critical_correlations(spark):
 
 def test_titles(spark):
     got = rows_of(spark, "sca30_verified_titles")
-    assert all(x.quoted for x in got) and {x.mismatch for x in got if x.item_id % 3} == {False} and any(x.mismatch for x in got)
+    assert all(x.quoted == (x.item_id % 3 != 0) for x in got) and {x.mismatch for x in got if x.item_id % 3} == {False} and any(x.mismatch for x in got)
 
 
 def test_json_documents_and_lines(spark, tmp_path):
