@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .links import components
 from .storage import extended, tidy, unused, written
-from .textbuf import WORD_BASES, Rolling, chunks, mixed, powers, ranges
+from .textbuf import WORD_BASES, Rolling, chunks, mixed, ranges
 
 MIN_CHARS = 16
 #: Edits allowed from MIN_CHARS on, and from so many characters on.
@@ -237,35 +237,57 @@ def _pair_keys(batches: Iterator[pa.RecordBatch], thresholds: Thresholds) -> Ite
                 yield pa.record_batch([pa.array(h1[first:last][line]), pa.array(np.full(len(line), probe)), pa.array(key.view(np.int64))], names=["h1", "probe", "key"])
 
 
-def _shortened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hashes of each line with any one character left out (kind 0: by the place, too; kind 1), and of the line (kind 2)."""
+def _halved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Both halves of each line's regions (own, a, b; null: the whole line), with a hash of the line outside the half.
+
+    A region is one of a line's characters (own), or of a line with one more character, of which this line would be what
+    is left when a character of the region is dropped. Equal keys: equal lines but for what is in the region.
+    """
     for batch in batches:
-        for line, h1 in zip(batch.column(1), batch.column(0).to_numpy(), strict=True):
+        for h1, line, regions in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
             chars = np.frombuffer(line.as_py().encode("utf-32-le"), np.uint32)
             n = len(chars)
             rolling = Rolling(chars, WORD_BASES[1])
-            place = np.arange(n)
-            head, tail = rolling.of(np.zeros(n, np.int64), place), rolling.of(place + 1, np.full(n, n))
-            variant = mixed(mixed(head + (place + n * 3).astype(np.uint64)) + tail)  # same place, same rest, same length
-            plain = mixed(head + tail * powers(WORD_BASES[1], n) + np.uint64(n - 1))  # the tail moves to the head's end
-            whole = mixed(rolling.of(np.array([0]), np.array([n])) + np.uint64(n))
-            keys = np.concatenate([variant, plain, whole])
-            kind = np.concatenate([np.zeros(n, np.int8), np.ones(n, np.int8), np.full(1, 2, np.int8)])
-            yield pa.record_batch([pa.array(np.full(len(keys), h1)), pa.array(kind), pa.array(keys.view(np.int64))], names=["h1", "kind", "key"])
+            if regions.is_valid:
+                own, low, high = (regions.values.field(k).to_numpy(zero_copy_only=False) for k in range(3))
+            else:
+                own, low, high = np.array([True, False]), np.array([0, 0]), np.array([n, n + 1])
+            middle = (low + high) // 2
+            own, low, high = np.tile(own, 2), np.concatenate([low, middle]), np.concatenate([middle, high])
+            some = low < high
+            own, low, high = own[some], low[some].astype(np.int64), high[some].astype(np.int64)
+            short = (~own).astype(np.int64)
+            size = (n + short).astype(np.uint64)
+            key = mixed(mixed(rolling.of(np.zeros(len(low), np.int64), low) + low.astype(np.uint64)) + rolling.of(high - short, np.full(len(low), n)))
+            key = mixed(mixed(key + size) + high.astype(np.uint64))
+            columns = [pa.array(np.full(len(low), h1)), pa.array(own), pa.array(low), pa.array(high), pa.array(key.view(np.int64))]
+            yield pa.record_batch(columns, names=["h1", "own", "a", "b", "key"])
 
 
 def _crowd_links(lines: DataFrame) -> DataFrame:
-    """Links among lines one edit apart, enough to connect them all; the rows grow with the lines' length, not with pairs.
+    """Links among lines (h1, line) one edit apart, enough to connect them all.
 
-    Lines of one length that are equal but for the character at one place are all one edit apart: each links to the
-    least of them. A line that is another without one character links to it.
+    The place of the edit is found by halving: lines that are equal outside a half go on into it, all others are left
+    out of it, so a line makes a few rows a level and not one for each of its characters. Where one place is left, lines
+    that are equal but for it all link to the least of them, and so does a line that lacks just that character.
     """
-    cut = written(lines.mapInArrow(_shortened, "h1 long, kind byte, key long"), "lines_cut")
-    same = cut.where("kind = 0").groupBy("key").agg(F.min("h1").alias("a"), F.count("*").alias("n")).where("n > 1")
-    replaced = cut.where("kind = 0").join(same, "key").where("h1 <> a").select("a", F.col("h1").alias("b"))
-    whole = cut.where("kind = 2").select("key", F.col("h1").alias("a"))
-    dropped = cut.where("kind = 1").join(whole, "key").where("h1 <> a").select("a", F.col("h1").alias("b"))
-    return replaced.unionByName(dropped).distinct()
+    lines = written(lines.select("h1", "line"), "crowd_lines")
+    live, links = lines.withColumn("regions", F.lit(None).cast("array<struct<own:boolean,a:long,b:long>>")), []
+    while True:
+        halves = written(live.mapInArrow(_halved, "h1 long, own boolean, a long, b long, key long"), "halves")
+        mine = F.count_if("own")
+        sizes = halves.groupBy("key").agg(mine.alias("mine"), F.count("*").alias("all"), F.min(F.when(F.col("own"), F.col("h1"))).alias("least")).where("mine > 0 and all > 1")
+        sizes = written(sizes.select("key", "least"), "half_sizes")  # so that a join by a common key can be split
+        met = written(halves.join(sizes, "key").select("h1", "own", "a", "b", "least"), "halves_met")
+        links.append(met.where("b - a = 1 and h1 <> least").select(F.col("least").alias("a"), F.col("h1").alias("b")).distinct())
+        further = met.where("b - a > 1").groupBy("h1").agg(F.collect_list(F.struct("own", "a", "b")).alias("regions"))
+        if met.where("b - a > 1").isEmpty():
+            break
+        live = lines.join(further, "h1").select("h1", "line", "regions")
+    found = links[0]
+    for more in links[1:]:
+        found = found.unionByName(more)
+    return found.distinct()
 
 
 def _pairs(index: DataFrame, probes: DataFrame) -> DataFrame:
@@ -297,8 +319,8 @@ def edit_links(rows: DataFrame, texts: DataFrame, thresholds: Thresholds, crowd:
     """a, b: hashes of distinct lines within the allowed edits, enough of them to connect all such lines.
 
     rows: h1 with own and probes, one row per distinct line; texts: h1 and line, in any number of copies. Lines of a
-    crowded segment meet again by two segments. Where two are crowded as well, lines one edit apart are linked through
-    lines with a character left out, and for longer lines every pair that is still in different groups is verified.
+    crowded segment meet again by two segments. Where two are crowded as well, lines one edit apart are linked by halving
+    (see _crowd_links), and for longer lines every pair that is still in different groups is verified.
     """
     index = rows.select("h1", F.explode("own").alias("key"))
     probes = rows.select(F.col("h1").alias("p"), F.explode("probes").alias("key"))
