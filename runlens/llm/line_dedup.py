@@ -27,8 +27,8 @@ MIN_CHARS = 16
 #: Edits allowed from MIN_CHARS on, and from so many characters on.
 EDITS = 1
 LONGER = ((256, 2),)
-#: Segments that make more than CROWD pairs for each line that holds or probes them are split by a second segment, so
-#: that the pairs that meet are at most CROWD times the keys, however large a group of near copies grows.
+#: Segments that make more than CROWD pairs for each line that holds or probes them are not joined, so that the pairs
+#: that meet are at most CROWD times the keys, however large a group of near copies grows (see edit_links).
 CROWD = 4
 #: Up to so many line hashes (8 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
@@ -318,9 +318,9 @@ def _close(pairs: DataFrame, picked: DataFrame, thresholds: Thresholds) -> DataF
 def edit_links(rows: DataFrame, texts: DataFrame, thresholds: Thresholds, crowd: int = CROWD) -> DataFrame:
     """a, b: hashes of distinct lines within the allowed edits, enough of them to connect all such lines.
 
-    rows: h1 with own and probes, one row per distinct line; texts: h1 and line, in any number of copies. Lines of a
-    crowded segment meet again by two segments. Where two are crowded as well, lines one edit apart are linked by halving
-    (see _crowd_links), and for longer lines every pair that is still in different groups is verified.
+    rows: h1 with own and probes, one row per distinct line; texts: h1 and line, in any number of copies. Lines of
+    crowded segments that are one edit apart are linked by halving (see _crowd_links). Those long enough for more edits
+    meet again by two segments; where two are crowded as well, every pair that is still in different groups is verified.
     """
     index = rows.select("h1", F.explode("own").alias("key"))
     probes = rows.select(F.col("h1").alias("p"), F.explode("probes").alias("key"))
@@ -332,7 +332,12 @@ def edit_links(rows: DataFrame, texts: DataFrame, thresholds: Thresholds, crowd:
     hot = written(index.unionByName(probes.select(F.col("p").alias("h1"), "key")).join(crowded, "key", "left_semi").select("h1").distinct(), "crowd")
     picked = _texts_of(both.unionByName(hot), texts)
     links = _close(pairs, picked, thresholds)
-    split = written(picked.join(hot, "h1", "left_semi").mapInArrow(lambda it: _pair_keys(it, thresholds), "h1 long, probe boolean, key long"), "pair_keys")
+    crowd_lines = picked.join(hot, "h1", "left_semi")
+    links = written(links.unionByName(_crowd_links(crowd_lines)), "line_links_of_one_edit")
+    if thresholds[-1][1] == 1:
+        return links
+    long = crowd_lines.where(F.length("line") >= min(n for n, k in thresholds if k > 1))
+    split = written(long.mapInArrow(lambda it: _pair_keys(it, thresholds), "h1 long, probe boolean, key long"), "pair_keys")
     index, probes = split.where("not probe").select("h1", "key"), split.where("probe").select(F.col("h1").alias("p"), "key")
     crowded = written(_crowded(index, probes, crowd), "pairs_crowded")
     pairs = written(_pairs(index.join(crowded, "key", "left_anti"), probes), "split_pairs")
@@ -340,13 +345,8 @@ def edit_links(rows: DataFrame, texts: DataFrame, thresholds: Thresholds, crowd:
     if crowded.isEmpty():
         return links
     met = written(split.join(crowded, "key", "left_semi"), "crowd_keys")
-    links = links.unionByName(_crowd_links(picked.join(met.select("h1").distinct(), "h1", "left_semi")))
-    if thresholds[-1][1] == 1:
-        return links
-    links = written(links, "line_links_of_one_edit")
     grouped = met.join(components(links).toDF("h1", "component"), "h1", "left").withColumn("component", F.coalesce("component", "h1"))
-    long = picked.where(F.length("line") >= min(n for n, k in thresholds if k > 1)).select("h1")
-    grouped = written(grouped.join(long, "h1", "left_semi"), "crowd_groups")
+    grouped = written(grouped, "crowd_groups")
     x, y = grouped.where("not probe").alias("x"), grouped.where("probe").alias("y")
     apart = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")))
     apart = written(apart.select(F.least("x.h1", "y.h1").alias("a"), F.greatest("x.h1", "y.h1").alias("b")).distinct(), "groups_apart")
