@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 from runlens.operators import curves as U
 from runlens.operators import factors as K
 from runlens.operators import multivariate as V
+from runlens.operators import profile as P
+from runlens.operators import saturation as S
 
 from .catalog import query
 from .decompositions import Z
@@ -63,3 +65,16 @@ def tst19_leave_one_step_out(v):
 @query()
 def mlt15_matched_components(v):
     return K.matched_components(V.cohort(v.fact, v.axis), "r0", "r1")
+
+
+@query()
+def tst14_bootstrapped_fits(v):
+    """Every model of every series, with what its residuals leave open of the plateau and the way to it."""
+    return S.with_headroom(S.bootstrapped_fits(v.fact, ["run", "tag"]))
+
+
+@query()
+def mlt19_headroom(v):
+    """What is each series' room above its last value, and do the models agree?"""
+    fits = S.with_headroom(S.bootstrapped_fits(v.fact, ["run", "tag"]))
+    return S.saturation_verdicts(fits, P.detectable_change(v.fact, ["run", "tag"]), ["run", "tag"])
