@@ -99,6 +99,12 @@ def t_test_p(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series(np.where(ok, p, np.nan)).where(ok, None)
 
 
+@pandas_udf(DoubleType())
+def t_quantile_975(df: pd.Series) -> pd.Series:
+    """The 0.975 quantile of Student's t; NULL where df is not positive. Each df of a batch is solved once."""
+    return df.map({d: student_quantile(0.975, d) for d in df.dropna().unique() if d > 0})
+
+
 def correlation_p(r: Column, n: Column) -> Column:
     """Two-sided p of a correlation over n pairs, by Student's t."""
     clipped = F.greatest(F.lit(-0.999999), F.least(F.lit(0.999999), r))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from runlens.functions.distributions import fisher_interval, t_quantile_975, t_test_p
+
 from .sequence import along, with_average_rank
 
 
@@ -28,6 +30,21 @@ def with_anchor(fact: DataFrame, anchor: DataFrame) -> DataFrame:
     return fact.where("value is not null").select("run", "tag", "step", F.col("value").alias("y")).join(a, ["run", "step"])
 
 
+def correlation_record(pairs: DataFrame, key: list[str], least: int = 3) -> DataFrame:
+    """key, n, r, low, high, n_diff, r_diff: each group's correlation of x and y over steps, with Fisher's limits, and that of their changes.
+
+    pairs: key, step, x, y. Changes are from the step before, without bridging gaps. Groups of fewer than `least` pairs
+    are left out; limits are NULL for fewer than 4 pairs or |r| = 1.
+    """
+    w = Window.partitionBy(*key).orderBy("step")
+    near = F.lag("step").over(w) == F.col("step") - 1
+    both = pairs.where("x is not null and y is not null")
+    d = both.withColumns({c: F.when(near, F.col(v) - F.lag(v).over(w)) for c, v in (("dx", "x"), ("dy", "y"))})
+    found = d.groupBy(*key).agg(F.count("*").alias("n"), pearson("x", "y").alias("r"), F.count("dx").alias("n_diff"), pearson("dx", "dy").alias("r_diff")).where(F.col("n") >= least)
+    low, high = fisher_interval(F.col("r"), F.col("n"))
+    return found.withColumns({"low": low, "high": high})
+
+
 def trend(key: tuple[str, ...], rows: DataFrame, x: str = "step", y: str = "value") -> DataFrame:
     """key, n, slope, intercept, r2, se, t: least squares; NULL for fewer than 3 points or a constant x."""
     both = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*key, F.col(x).cast("double").alias("_x"), F.col(y).alias("_y"))
@@ -37,10 +54,21 @@ def trend(key: tuple[str, ...], rows: DataFrame, x: str = "step", y: str = "valu
     slope = F.when(F.col("n") >= 3, F.try_divide("sxy", "sxx"))
     s = s.withColumn("slope", slope).withColumn("intercept", F.col("my") - F.col("slope") * F.col("mx"))
     s = s.withColumn("_rss", F.greatest(F.col("syy") - F.col("slope") * F.col("sxy"), F.lit(0.0)))
-    s = s.withColumn("r2", 1 - F.try_divide("_rss", "syy")).withColumn("se", F.sqrt(F.try_divide(F.col("_rss") / (F.col("n") - 2), F.col("sxx"))))
+    s = s.withColumn("r2", 1 - F.try_divide("_rss", "syy")).withColumn("se", F.sqrt(F.try_divide(F.try_divide("_rss", F.nullif(F.col("n") - 2, F.lit(0))), F.col("sxx"))))
     return s.select(*key, "n", "slope", "intercept", "r2", "se", F.try_divide("slope", "se").alias("t"))
 
 
+def trend_test(key: tuple[str, ...], rows: DataFrame, x: str = "step", y: str = "value") -> DataFrame:
+    """trend() with r (the slope in standard deviations of x and y), p (two-sided, by Student's t), low and high (95 % limits of the slope).
+
+    t and p are NULL where the points lie on a line without error; r also where they are level.
+    """
+    t = trend(key, rows, x, y)
+    df = (F.col("n") - 2).cast("double")
+    half = t_quantile_975(df) * F.col("se")
+    return t.withColumns({"r": F.signum("slope") * F.sqrt("r2"), "p": t_test_p("t", df), "low": F.col("slope") - half, "high": F.col("slope") + half})
+
+
 def residuals(rows: DataFrame, key: tuple[str, ...], x: str = "step", y: str = "value", name: str = "residual") -> DataFrame:
     """Adds what the group's straight line over x leaves."""
     w = Window.partitionBy(*key)

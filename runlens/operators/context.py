@@ -34,6 +34,25 @@ def attributed(restarts: DataFrame, notices: DataFrame, within: float = 43_200.0
     return restarts.join(first, "event_id", "left").select("event_id", "run", F.col("n.notice_id").alias("notice_id"), F.col("n.col2").alias("delta"))
 
 
+def attributed_by_hints(restarts: DataFrame, notices: DataFrame, within: float = 43_200.0, episode: float = 10_800.0) -> DataFrame:
+    """event_id, run, notice_id, delta: attributed() for notices that may name a run (hint_run) or a step (hint_step).
+
+    restarts: event_id, run, step, t; notices: notice_id, t, hint_run, hint_step. A named run or step (give or take one)
+    must be the anchor's; a restart without a step meets no step. Without a hint any run's nearest restart is the anchor
+    (ties: the earlier one, then the smaller event_id). Notices without a time or near restart cover none.
+    """
+    bucket = lambda t, width: F.floor(F.col(t) / width).cast("long")
+    n = notices.select("notice_id", F.col("t").alias("at"), "hint_run", "hint_step").withColumn("b", F.explode(F.array(*(bucket("at", within) + k for k in (-1, 0, 1)))))
+    fits = (F.abs(F.col("t") - F.col("at")) <= within) & (F.col("hint_run").isNull() | (F.col("hint_run") == F.col("run"))) & (F.col("hint_step").isNull() | (F.abs(F.col("step") - F.col("hint_step")) <= 1))
+    near = n.join(restarts.select("event_id", "run", "step", "t", bucket("t", within).alias("b")), "b").where(fits)
+    nearest = F.min_by(F.struct("run", "t"), F.struct(F.abs(F.col("t") - F.col("at")), "t", "event_id"))
+    anchors = near.groupBy("notice_id", "at").agg(nearest.alias("a")).select("notice_id", "at", "a.run", F.col("a.t").alias("anchor"))
+    a = anchors.withColumn("b", F.explode(F.array(*(bucket("anchor", episode) + k for k in (-1, 0, 1)))))
+    covered = restarts.withColumn("b", bucket("t", episode)).join(a, ["run", "b"]).where(F.abs(F.col("t") - F.col("anchor")) <= episode)
+    first = covered.groupBy("event_id").agg(F.min_by(F.struct("notice_id", (F.col("t") - F.col("at")).alias("delta")), F.struct("at", "notice_id")).alias("n"))
+    return restarts.join(first, "event_id", "left").select("event_id", "run", "n.notice_id", "n.delta")
+
+
 def trained_shares(pool: DataFrame, target: DataFrame, tolerance: float = 0.05) -> DataFrame:
     """run, part, step, trained, approx: what each part of a pool gave: held before + accepted - held now.
 

@@ -36,6 +36,27 @@ def shift_share(before: DataFrame, after: DataFrame, part: str) -> DataFrame:
     return out.agg(F.sum("a").alias("within"), F.sum("b").alias("mix"), F.sum("c").alias("interaction"), F.sum("d").alias("total"), F.count("*").alias("parts"))
 
 
+def shift_shares(panel: DataFrame, part: str, width: int) -> DataFrame:
+    """step, within, mix, interaction, paasche, total, parts, left_out: shift_share of every step and the one `width` later.
+
+    paasche: rates changed at the new mix (within + interaction). left_out: parts with a row at either step that lack a
+    rate or a positive weight at one of them. Steps without any row `width` later have no row; all but the counts are
+    NULL where no part is left.
+    """
+    rows = panel.select(part, "step", "weight", "rate", ((F.col("weight") > 0) & F.col("rate").isNotNull()).alias("ok"))
+    before = rows.select(part, "step", *(F.col(c).alias(f"{c}0") for c in ("weight", "rate", "ok")))
+    after = rows.select(part, (F.col("step") - width).alias("step"), *(F.col(c).alias(f"{c}1") for c in ("weight", "rate", "ok")))
+    both = before.join(after, [part, "step"], "full").withColumn("ok", F.coalesce(F.col("ok0") & F.col("ok1"), F.lit(False)))
+    w0, w1, r0, r1 = (F.when(F.col("ok"), F.col(c)) for c in ("weight0", "weight1", "rate0", "rate1"))
+    mean = lambda w, r: F.try_divide(F.sum(w * r), F.sum(w))
+    s = both.groupBy("step").agg(
+        mean(w0, r0).alias("m00"), mean(w0, r1).alias("m01"), mean(w1, r0).alias("m10"), mean(w1, r1).alias("m11"),
+        F.count_if("ok").alias("parts"), F.count_if(~F.col("ok")).alias("left_out"), F.count("ok0").alias("_n0"), F.count("ok1").alias("_n1"),
+    ).where("_n0 > 0 and _n1 > 0")
+    within, paasche, m = F.col("m01") - F.col("m00"), F.col("m11") - F.col("m10"), F.col("m10") - F.col("m00")
+    return s.select("step", within.alias("within"), m.alias("mix"), (paasche - within).alias("interaction"), paasche.alias("paasche"), (F.col("m11") - F.col("m00")).alias("total"), "parts", "left_out")
+
+
 def fixed_weight_curve(panel: DataFrame, part: str, base_steps: int) -> DataFrame:
     """step, actual, fixed: the weighted mean rate, and that at each part's mean weight in the first `base_steps` steps."""
     ok = panel.where("weight > 0 and rate is not null")

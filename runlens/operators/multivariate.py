@@ -46,6 +46,25 @@ def participation_ratio(g: DataFrame) -> DataFrame:
     return g.groupBy("run").agg(F.try_divide(trace * trace, F.sum(F.col("g") * F.col("g"))).alias("ratio"))
 
 
+def spectrum_summary(z: DataFrame) -> DataFrame:
+    """run, n_steps, n_series, n80, n90, n95, ratio, edge, n_above, n_above_scaled: how many dimensions a run's series need.
+
+    n80 to n95: eigenvalues of the Gram matrix that hold this share of its trace; ratio: the participation ratio; edge:
+    (1 + sqrt(series / (steps - 1)))^2, where eigenvalues of pure noise end; n_above counts eigenvalues of the Gram matrix
+    beyond it, n_above_scaled those divided by steps - 1, as the edge of a correlation matrix asks. One step: edge is NULL.
+    """
+    values = spectrum(gram(z))
+    series = z.groupBy("run").agg(F.count_distinct("tag").alias("n_series"), F.count_distinct("step").alias("n_steps"))
+    edge = F.pow(1 + F.sqrt(F.try_divide("n_series", F.col("n_steps") - 1)), F.lit(2.0))
+    rows = values.join(F.broadcast(series), "run").withColumn("edge", edge)  # a row a run
+    first = lambda share: F.min(F.when(F.col("cumulative") >= share - 1e-12, F.col("k")))
+    total = F.sum("eigenvalue")
+    return rows.groupBy("run", "n_steps", "n_series", "edge").agg(
+        first(0.8).alias("n80"), first(0.9).alias("n90"), first(0.95).alias("n95"), F.try_divide(total * total, F.sum(F.col("eigenvalue") * F.col("eigenvalue"))).alias("ratio"),
+        F.count_if(F.col("eigenvalue") > F.col("edge")).alias("n_above"), F.count_if(F.try_divide("eigenvalue", F.col("n_steps") - 1) > F.col("edge")).alias("n_above_scaled"),
+    )
+
+
 def adjusted_rand(labels: DataFrame, a: str, b: str) -> DataFrame:
     """ari: agreement of two partitions of the same rows, from their contingency table."""
     pairs = lambda c: F.sum(F.col(c) * (F.col(c) - 1) / 2)

@@ -305,3 +305,17 @@ def snk03_metric_lines(v):
     """The lines of metrics, counted back from their text."""
     cells = F.split(F.regexp_extract("line", r"\[(.*)\]", 1), ",")
     return metric_lines(v.fact).select("run", "tag", F.size(cells).cast("long").alias("cells"), F.size(F.filter(cells, lambda c: c != "null")).cast("long").alias("filled"))
+
+
+@query(""", n as (select event_id as notice_id, t as seen, case when event_id % 3 = 0 then run end as hint_run, case when event_id % 4 = 0 then step end as hint_step from ev where event_type = 'signup'),
+m as (select event_id, run, step, t from ev where event_type = 'error'),
+near as (select notice_id, seen, m.run, m.t as anchor, row_number() over (partition by notice_id order by abs(m.t - seen), m.t, m.event_id) as k from n join m on abs(m.t - seen) <= 900 and (hint_run is null or hint_run = m.run) and (hint_step is null or abs(m.step - hint_step) <= 1)),
+covered as (select m.event_id, notice_id, m.t - seen as delta, row_number() over (partition by m.event_id order by seen, notice_id) as k from near join m on m.run = near.run and abs(m.t - anchor) <= 300 where near.k = 1)
+select event_id, run, notice_id, round(delta, 6) as delta from m left join (select * from covered where k = 1) using (event_id)""")
+def jon11_attributed_by_hints(v):
+    """Restarts beside notices of which some name a run, some a step, and some neither."""
+    notices = v.ev.where("event_type = 'signup'").select(
+        F.col("event_id").alias("notice_id"), "t", F.when(F.col("event_id") % 3 == 0, F.col("run")).alias("hint_run"), F.when(F.col("event_id") % 4 == 0, F.col("step")).alias("hint_step")
+    )
+    restarts = v.ev.where("event_type = 'error'").select("event_id", "run", "step", "t")
+    return X.attributed_by_hints(restarts, notices, 900.0, 300.0).withColumn("delta", F.round("delta", 6))

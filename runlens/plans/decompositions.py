@@ -141,3 +141,19 @@ select round((ij - i * j / (n * (n - 1) / 2)) / nullif((i + j) / 2 - i * j / (n
 def mlt10_adjusted_rand(v):
     rows = v.table("embeddings").select("label", (F.col("vec_id") % 7).alias("other"))
     return V.adjusted_rand(rows, "label", "other").withColumn("ari", F.round("ari", 9))
+
+
+@query(""", q as (select dataset, step, weight, rate, weight > 0 and rate is not null as ok from panel),
+b as (select coalesce(x.step, y.step - 4) as step, x.ok as ok0, y.ok as ok1, coalesce(x.ok and y.ok, false) as ok, x.weight as w0, y.weight as w1, x.rate as r0, y.rate as r1 from q x full join q y on x.dataset = y.dataset and x.step = y.step - 4),
+s as (select step, sum(w0 * r0) filter (ok) / sum(w0) filter (ok) as m00, sum(w0 * r1) filter (ok) / sum(w0) filter (ok) as m01, sum(w1 * r0) filter (ok) / sum(w1) filter (ok) as m10, sum(w1 * r1) filter (ok) / sum(w1) filter (ok) as m11,
+count(*) filter (ok) as parts, count(*) filter (not ok) as left_out from b group by step having count(ok0) > 0 and count(ok1) > 0)
+select step, round(m01 - m00, 8) as within, round(m10 - m00, 8) as mix, round(m11 - m10 - m01 + m00, 8) as interaction, round(m11 - m10, 8) as paasche, round(m11 - m00, 8) as total, parts, left_out from s""")
+def dom09_shift_shares(v):
+    """Why the mean rate changed within a year, from every quarter on."""
+    s = C.shift_shares(v.panel, "dataset", 4)
+    return s.select("step", *(F.round(c, 8).alias(c) for c in ("within", "mix", "interaction", "paasche", "total")), "parts", "left_out")
+
+
+@query()
+def mlt06_spectrum_summary(v):
+    return V.spectrum_summary(V.cohort(v.fact, v.axis))

@@ -217,3 +217,18 @@ def tst10_bootstrap(v):
 @query()
 def tst13_sign_flip(v):
     return H.sign_flip_p(S.with_difference(v.fact), KEY, "delta")
+
+
+@query()
+def sta14_trend_test(v):
+    """Each series' line with its error, p and interval."""
+    return A.trend_test(tuple(KEY), v.fact)
+
+
+@query(f"""{PAIRS}, d as (select *, case when lag(step) over w = step - 1 then x - lag(x) over w end as dx, case when lag(step) over w = step - 1 then y - lag(y) over w end as dy from pairs window w as (partition by run, tag order by step)),
+c as (select run, tag, count(*) as n, {R} as r, count(dx) as n_diff, case when count(dx) >= 3 then covar_pop(dx, dy) / nullif(stddev_pop(dx) * stddev_pop(dy), 0) end as r_diff from d group by all having count(*) >= 3),
+z as (select *, case when n >= 4 and abs(r) < 1 then atanh(r) end as z, 1.959963984540054 / sqrt(greatest(n - 3, 1)) as h from c)
+select run, tag, n, round(r, 6) as r, round(tanh(z - h), 6) as low, round(tanh(z + h), 6) as high, n_diff, round(r_diff, 6) as r_diff from z""")
+def sta04_intervals(v):
+    c = A.correlation_record(pairs(v), KEY)
+    return c.select(*KEY, "n", *(F.round(x, 6).alias(x) for x in ("r", "low", "high")), "n_diff", F.round("r_diff", 6).alias("r_diff"))

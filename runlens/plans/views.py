@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from runlens.operators.anomaly import correlation_panel, movers
-from runlens.sources.telemetry import Telemetry
+from runlens.sources.telemetry import START, Telemetry
 
 from .catalog import query
 
@@ -167,9 +167,9 @@ def dom33_restart_contrast(v):
     return d.groupBy("run", "tag").agg(F.round(F.avg(F.when(F.col("mark"), F.col("delta"))), 9).alias("marked"), F.round(F.avg(F.when(F.col("mark").isNull(), F.col("delta"))), 9).alias("other"))
 
 
-@query("""select run, step, round(sum(value) * 1e9 / nullif(sum(length), 0), 4) as cost_per_billion from (select 'r' || (user_id % 2) as run, day(ts)::int as step, value, length(props) as length from events) group by all""")
+@query(f"""select run, step, round(sum(value) * 1e9 / nullif(sum(length), 0), 4) as cost_per_billion from (select 'r' || (user_id % 2) as run, (datediff('day', date '{START}', ts) + 1)::int as step, value, length(props) as length from events) group by all""")
 def dom34_normalised_cost(v):
-    rows = v.table("events").select(F.concat(F.lit("r"), (F.col("user_id") % 2).cast("string")).alias("run"), F.dayofmonth("ts").alias("step"), "value", F.length("props").alias("length"))
+    rows = v.table("events").select(F.concat(F.lit("r"), (F.col("user_id") % 2).cast("string")).alias("run"), v.day("ts").alias("step"), "value", F.length("props").alias("length"))
     return rows.groupBy("run", "step").agg(F.round(F.try_divide(F.sum("value") * 1e9, F.sum("length").cast("double")), 4).alias("cost_per_billion"))
 
 

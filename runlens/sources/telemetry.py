@@ -11,6 +11,8 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Steps are days, counted from this one as 1; a parameter of Telemetry.
+START = "2024-01-01"
 STATS = {"count": "c", "mean": "m", "max": "hi", "min": "lo", "stdev": "sd", "sum": "s"}
 
 
@@ -29,19 +31,23 @@ def finite(c: Column) -> Column:
 class Telemetry:
     """Views over the tables of one directory."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.dir = spark, sf_dir
+    def __init__(self, spark: SparkSession, sf_dir: str, start: str = START):
+        self.spark, self.dir, self.start = spark, sf_dir, start
+
+    def day(self, ts: str) -> Column:
+        """The step of a timestamp: days since the start, which is 1."""
+        return F.datediff(F.col(ts), F.lit(self.start).cast("date")) + 1
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
     @cached_property
     def ev(self) -> DataFrame:
-        """run, step (day), event_type, value, t (epoch seconds) of every event."""
+        """run, step (day since the start), event_type, value, t (epoch seconds) of every event."""
         return self.table("events").select(
             "event_id",
             F.concat(F.lit("r"), (F.col("user_id") % 2).cast("string")).alias("run"),
-            F.dayofmonth("ts").alias("step"),
+            self.day("ts").alias("step"),
             "event_type",
             finite(F.col("value")).alias("value"),
             epoch("ts").alias("t"),
@@ -116,7 +122,7 @@ class Telemetry:
 
 
 #: The same views in DuckDB's SQL, as common table expressions.
-SQL_VIEWS = """ev as (select event_id, 'r' || (user_id % 2) as run, day(ts)::int as step, event_type,
+SQL_VIEWS = f"""ev as (select event_id, 'r' || (user_id % 2) as run, (datediff('day', date '{START}', ts) + 1)::int as step, event_type,
   case when isfinite(value) then value end as value, epoch(ts) as t from events),
 daily as (select run, step, event_type, count(*)::double as c, avg(value) as m, max(value) as hi, min(value) as lo,
   stddev_samp(value) as sd, sum(value) as s from ev group by all),
