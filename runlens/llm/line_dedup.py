@@ -3,16 +3,17 @@
 Exact copies meet by a 128-bit hash. For the edit join each distinct line of `min_chars` or more is cut into
 threshold + 1 segments; a line within the threshold of it must contain one of them unchanged, near its old place. So
 the segments, with their number and the line's length, are an index, and every line probes it, for each length within
-the threshold, with its own substrings at the places where a match can begin. A segment that many lines share is split:
-its lines are cut into one segment more, of which two must be found unchanged. Lines that meet are verified by a banded
-bit-parallel edit distance over their characters. The threshold grows with the length of the shorter line.
+the threshold, with its own substrings at the places where a match can begin. Lines of segments that very many share find
+the places of their edits by halving instead, so that rows grow with the lines and not with pairs. Lines that meet are
+verified by a banded bit-parallel edit distance over their characters. The threshold grows with the length of the shorter
+line.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import combinations, product
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -28,13 +29,15 @@ MIN_CHARS = 16
 EDITS = 1
 LONGER = ((256, 2),)
 #: Segments that make more than CROWD pairs for each line that holds or probes them are not joined, so that the pairs
-#: that meet are at most CROWD times the keys, however large a group of near copies grows (see edit_links).
+#: that meet are at most CROWD times the keys, however large a group of near copies grows (see _crowd_links).
 CROWD = 4
 #: Up to so many line hashes (8 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 NEWLINE = 10
 #: Characters that a step of the verification holds at once.
 _CELLS = 1 << 20
+#: Rows that a step of the halving holds at least before it hands them on.
+_SLOTS = 1 << 14
 _BLANK = np.array([9, 10, 11, 12, 13, 32, 0x85, 0xA0], np.uint32)
 
 
@@ -73,46 +76,28 @@ def segments(length: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
     return starts[:, :-1], np.diff(starts, axis=1)
 
 
-def _alignments(edits: int, shorter: int, many: int) -> Iterator[tuple[tuple[int, ...], tuple[int, ...]]]:
-    """(segments, shifts): which `many` of a line's edits + many segments a line longer by `shorter` can hold unchanged, and where."""
-    if many == 1:
-        for i in range(edits + 1):
-            # Edits before the segment shift it by i at most; those after it, by edits - i from the other end.
-            for shift in range(max(-i, shorter - (edits - i)), min(i, shorter + edits - i) + 1):
-                yield (i,), (shift,)
-        return
-    for picked in combinations(range(edits + many), many):
-        for shifts in product(range(-edits, edits + 1), repeat=many):
-            path = (0, *shifts, shorter)
-            if sum(abs(y - x) for x, y in zip(path, path[1:], strict=False)) <= edits:
-                yield picked, shifts
-
-
-def _keys(rolling: Rolling, starts: np.ndarray, lengths: np.ndarray, thresholds: Thresholds, many: int = 1) -> Iterator[tuple[bool, np.ndarray, np.ndarray]]:
+def _keys(rolling: Rolling, starts: np.ndarray, lengths: np.ndarray, thresholds: Thresholds) -> Iterator[tuple[bool, np.ndarray, np.ndarray]]:
     """(is it a probe, line, key): the index keys of all lines, then their probes."""
 
-    def key(picked, shifts, lines, target, seg_start, seg_size):
-        h = mixed((target * 64 + len(picked)).astype(np.uint64))
-        for i, shift in zip(picked, shifts, strict=True):
-            s = starts[lines] + seg_start[:, i] + shift
-            h = mixed(rolling.of(s, s + seg_size[:, i]) + h + np.uint64(i))
-        return h
+    def key(i, shift, lines, target, seg_start, seg_size):
+        s = starts[lines] + seg_start[:, i] + shift
+        return mixed(rolling.of(s, s + seg_size[:, i]) + mixed((target * 64).astype(np.uint64)) + np.uint64(i))
 
     for edits in sorted({k for _, k in thresholds}):
         lines = np.flatnonzero(allowed(lengths, thresholds) == edits)
-        where = segments(lengths[lines], edits + many)
-        for picked in combinations(range(edits + many), many):
-            yield False, lines, key(picked, (0,) * many, lines, lengths[lines], *where)
+        where = segments(lengths[lines], edits + 1)
+        for i in range(edits + 1):
+            yield False, lines, key(i, 0, lines, lengths[lines], *where)
         for shorter in range(edits + 1):
             lines = np.flatnonzero(allowed(lengths - shorter, thresholds) == edits)
             target = lengths[lines] - shorter
-            seg_start, seg_size = segments(target, edits + many)
-            for picked, shifts in _alignments(edits, shorter, many):
-                ok = np.ones(len(lines), bool)
-                for i, shift in zip(picked, shifts, strict=True):
+            seg_start, seg_size = segments(target, edits + 1)
+            for i in range(edits + 1):
+                # Edits before the segment shift it by i at most; those after it, by edits - i from the other end.
+                for shift in range(max(-i, shorter - (edits - i)), min(i, shorter + edits - i) + 1):
                     s = seg_start[:, i] + shift
-                    ok &= (s >= 0) & (s + seg_size[:, i] <= lengths[lines])
-                yield True, lines[ok], key(picked, shifts, lines[ok], target[ok], seg_start[ok], seg_size[ok])
+                    ok = (s >= 0) & (s + seg_size[:, i] <= lengths[lines])
+                    yield True, lines[ok], key(i, shift, lines[ok], target[ok], seg_start[ok], seg_size[ok])
 
 
 def _most_keys(thresholds: Thresholds) -> tuple[int, int]:
@@ -227,63 +212,96 @@ def _verified(batches: Iterator[pa.RecordBatch], thresholds: Thresholds) -> Iter
         yield batch.select([0, 1]).filter(pa.array(keep))
 
 
-def _pair_keys(batches: Iterator[pa.RecordBatch], thresholds: Thresholds) -> Iterator[pa.RecordBatch]:
-    """The keys of two segments each, of lines (h1, line)."""
-    for batch in batches:
-        h1 = batch.column(0).to_numpy()
-        for first, last, data, offsets in chunks(batch.column(1), 1 << 17):
-            chars, at = _characters(data, offsets)
-            for probe, line, key in _keys(Rolling(chars, WORD_BASES[0]), at[:-1], np.diff(at), thresholds, 2):
-                yield pa.record_batch([pa.array(h1[first:last][line]), pa.array(np.full(len(line), probe)), pa.array(key.view(np.int64))], names=["h1", "probe", "key"])
+def _split(slots: np.ndarray) -> np.ndarray:
+    """All ways to put each row's slots into a half of their regions.
+
+    A slot is twice the number of its region, plus one if the line lacks the character; rows are in ascending order.
+    """
+    below = (2 * slots - (slots & 1))[:, None, :] + np.array(list(product((0, 2), repeat=slots.shape[1])))
+    return np.unique(np.sort(below.reshape(-1, slots.shape[1]), axis=1), axis=0)
 
 
-def _halved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Both halves of each line's regions (own, a, b; null: the whole line), with a hash of the line outside the half.
+def _outside(rolling: Rolling, n: int, slots: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the slots that fit a line of n characters: slots, filled, done, and a hash of the line outside their regions.
 
-    A region is one of a line's characters (own), or of a line with one more character, of which this line would be what
-    is left when a character of the region is dropped. Equal keys: equal lines but for what is in the region.
+    The regions share out, in 2**level parts, the line with what it lacks. filled: a bit a slot, unless the line has no
+    character for a region; done: every region is one place.
     """
+    region, absent = slots >> 1, slots & 1
+    lacking = np.cumsum(absent, axis=1)
+    size = n + lacking[:, -1:]
+    low, high = (size * region) >> level, (size * (region + 1)) >> level
+    rank = np.zeros_like(slots)  # among the slots of one region
+    for j in range(1, slots.shape[1]):
+        rank[:, j] = np.where(region[:, j] == region[:, j - 1], rank[:, j - 1] + 1, 0)
+    fits = (rank < high - low).all(axis=1)
+    slots, region, absent, lacking, size, low, high, rank = (x[fits] for x in (slots, region, absent, lacking, size, low, high, rank))
+    key, start = mixed(size[:, 0].astype(np.uint64)), np.zeros(len(slots), np.int64)
+    for j in range(slots.shape[1]):
+        end = np.where(rank[:, j] > 0, start, low[:, j] - lacking[:, j] + absent[:, j])
+        key = mixed(mixed(key + rolling.of(start, end)) + region[:, j].astype(np.uint64))
+        start = np.minimum(high[:, j] - lacking[:, j], n)  # less only where the next slot has the same region
+    key = mixed(key + rolling.of(start, np.full(len(slots), n)))
+    filled = (((absent == 0) | (rank > 0)) << np.arange(slots.shape[1])).sum(axis=1)
+    return slots, filled, (high - low == 1).all(axis=1), key
+
+
+def _halved(batches: Iterator[pa.RecordBatch], edits: int, level: int) -> Iterator[pa.RecordBatch]:
+    """The halves of each line's regions (slots; null: all regions of this level), with a hash of the line outside them."""
+    first = np.array([[0] * (edits - k) + [1] * k for k in range(edits + 1)])
+    for _ in range(level):
+        first = _split(first)
     for batch in batches:
-        for h1, line, regions in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+        h1, component = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+        found, lines, rows = [], [], 0
+        for k, (line, before) in enumerate(zip(batch.column(1), batch.column(3), strict=True)):
             chars = np.frombuffer(line.as_py().encode("utf-32-le"), np.uint32)
-            n = len(chars)
-            rolling = Rolling(chars, WORD_BASES[1])
-            if regions.is_valid:
-                own, low, high = (regions.values.field(k).to_numpy(zero_copy_only=False) for k in range(3))
-            else:
-                own, low, high = np.array([True, False]), np.array([0, 0]), np.array([n, n + 1])
-            middle = (low + high) // 2
-            own, low, high = np.tile(own, 2), np.concatenate([low, middle]), np.concatenate([middle, high])
-            some = low < high
-            own, low, high = own[some], low[some].astype(np.int64), high[some].astype(np.int64)
-            short = (~own).astype(np.int64)
-            size = (n + short).astype(np.uint64)
-            key = mixed(mixed(rolling.of(np.zeros(len(low), np.int64), low) + low.astype(np.uint64)) + rolling.of(high - short, np.full(len(low), n)))
-            key = mixed(mixed(key + size) + high.astype(np.uint64))
-            columns = [pa.array(np.full(len(low), h1)), pa.array(own), pa.array(low), pa.array(high), pa.array(key.view(np.int64))]
-            yield pa.record_batch(columns, names=["h1", "own", "a", "b", "key"])
-
-
-def _crowd_links(lines: DataFrame) -> DataFrame:
-    """Links among lines (h1, line) one edit apart, enough to connect them all.
-
-    The place of the edit is found by halving: lines that are equal outside a half go on into it, all others are left
-    out of it, so a line makes a few rows a level and not one for each of its characters. Where one place is left, lines
-    that are equal but for it all link to the least of them, and so does a line that lacks just that character.
+            slots = _split(before.values.flatten().to_numpy().astype(np.int64).reshape(-1, edits)) if before.is_valid else first
+            found.append(_outside(Rolling(chars, WORD_BASES[1]), len(chars), slots, level))
+            lines.append(np.full(len(found[-1][0]), k))
+            rows += len(lines[-1])
+            if rows < _SLOTS and k + 1 < len(batch):
+                continue
+            slots, filled, done, key = (np.concatenate(x) for x in zip(*found, strict=True))
+            at = np.concatenate(lines)
+            nested = pa.ListArray.from_arrays(pa.array(np.arange(len(slots) + 1, dtype=np.int32) * edits), pa.array(slots.ravel().astype(np.int32)))
+            columns = [pa.array(h1[at]), pa.array(component[at]), nested, pa.array(filled.astype(np.int32)), pa.array(done), pa.array(key.view(np.int64))]
+            yield pa.record_batch(columns, names=["h1", "component", "slots", "filled", "done", "key"])
+            found, lines, rows = [], [], 0
+
+
+def _crowd_links(lines: DataFrame, edits: int, thresholds: Thresholds) -> DataFrame:
+    """Links among lines (h1, line, component) up to `edits` edits apart, enough to connect all such lines.
+
+    Two lines are `edits` edits apart if both fit one line with so many blank places, each filled by a character or by
+    none. The places are found by halving: lines that are equal outside the halves chosen for all places go on into
+    them, if lines of other components do too; all others are left out. So the rows of a line grow with the places
+    where it differs from near lines, and neither with its length nor with the pairs of a group. Where every half is
+    one place, all lines that meet link to the least of them. With two or more places, the least is also compared with
+    the others at the outset, so that lines of one repeated character, which fit at every place, leave the halving.
     """
-    lines = written(lines.select("h1", "line"), "crowd_lines")
-    live, links = lines.withColumn("regions", F.lit(None).cast("array<struct<own:boolean,a:long,b:long>>")), []
+    lines = written(lines.select("h1", "line", "component"), "crowd_lines")
+    live, links, level = lines.withColumn("slots", F.lit(None).cast("array<array<int>>")), [], edits.bit_length()
+    first, full = level, (1 << edits) - 1
     while True:
-        halves = written(live.mapInArrow(_halved, "h1 long, own boolean, a long, b long, key long"), "halves")
-        mine = F.count_if("own")
-        sizes = halves.groupBy("key").agg(mine.alias("mine"), F.count("*").alias("all"), F.min(F.when(F.col("own"), F.col("h1"))).alias("least")).where("mine > 0 and all > 1")
-        sizes = written(sizes.select("key", "least"), "half_sizes")  # so that a join by a common key can be split
-        met = written(halves.join(sizes, "key").select("h1", "own", "a", "b", "least"), "halves_met")
-        links.append(met.where("b - a = 1 and h1 <> least").select(F.col("least").alias("a"), F.col("h1").alias("b")).distinct())
-        further = met.where("b - a > 1").groupBy("h1").agg(F.collect_list(F.struct("own", "a", "b")).alias("regions"))
-        if met.where("b - a > 1").isEmpty():
+        schema = "h1 long, component long, slots array<int>, filled int, done boolean, key long"
+        halves = written(live.mapInArrow(lambda it, level=level: _halved(it, edits, level), schema), "halves")
+        groups = halves.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.bit_or("filled").alias("filled"), F.min(F.struct("h1", "component")).alias("least"))
+        groups = written(groups.where((F.col("low") < F.col("high")) & (F.col("filled") == full)).select("key", "least"), "half_groups")  # so that a join by a common key can be split
+        met = written(halves.join(groups, "key").select("h1", "component", "slots", "done", "least"), "halves_met")
+        n_done, n_open = met.agg(F.count_if("done"), F.count_if(~F.col("done"))).first()
+        if n_done or level == first:
+            pairs = (met if edits > 1 and level == first else met.where("done")).where("component <> least.component")
+            pairs = pairs.select(F.col("least.h1").alias("a"), F.col("h1").alias("b")).distinct()
+            links.append(written(_close(pairs, lines.select("h1", "line"), thresholds), "half_links"))
+        if not n_open:
             break
-        live = lines.join(further, "h1").select("h1", "line", "regions")
+        further = met.where("not done").groupBy("h1").agg(F.collect_list("slots").alias("slots"))
+        if edits > 1 and level == first:
+            known = lines.select(F.col("component").alias("a"), F.col("h1").alias("b")).unionByName(links[0])
+            lines = lines.drop("component").join(components(known), F.col("h1") == F.col("node"), "left")
+            lines = written(lines.select("h1", "line", F.coalesce("component", "h1").alias("component")), "crowd_lines")
+        live, level = lines.join(further, "h1").select("h1", "line", "component", "slots"), level + 1
     found = links[0]
     for more in links[1:]:
         found = found.unionByName(more)
@@ -319,8 +337,7 @@ def edit_links(rows: DataFrame, texts: DataFrame, thresholds: Thresholds, crowd:
     """a, b: hashes of distinct lines within the allowed edits, enough of them to connect all such lines.
 
     rows: h1 with own and probes, one row per distinct line; texts: h1 and line, in any number of copies. Lines of
-    crowded segments that are one edit apart are linked by halving (see _crowd_links). Those long enough for more edits
-    meet again by two segments; where two are crowded as well, every pair that is still in different groups is verified.
+    crowded segments are linked by halving (see _crowd_links): first those one edit apart, then those long enough for more.
     """
     index = rows.select("h1", F.explode("own").alias("key"))
     probes = rows.select(F.col("h1").alias("p"), F.explode("probes").alias("key"))
@@ -331,26 +348,14 @@ def edit_links(rows: DataFrame, texts: DataFrame, thresholds: Thresholds, crowd:
         return _close(pairs, _texts_of(both, texts), thresholds)
     hot = written(index.unionByName(probes.select(F.col("p").alias("h1"), "key")).join(crowded, "key", "left_semi").select("h1").distinct(), "crowd")
     picked = _texts_of(both.unionByName(hot), texts)
-    links = _close(pairs, picked, thresholds)
-    crowd_lines = picked.join(hot, "h1", "left_semi")
-    links = written(links.unionByName(_crowd_links(crowd_lines)), "line_links_of_one_edit")
-    if thresholds[-1][1] == 1:
-        return links
-    long = crowd_lines.where(F.length("line") >= min(n for n, k in thresholds if k > 1))
-    split = written(long.mapInArrow(lambda it: _pair_keys(it, thresholds), "h1 long, probe boolean, key long"), "pair_keys")
-    index, probes = split.where("not probe").select("h1", "key"), split.where("probe").select(F.col("h1").alias("p"), "key")
-    crowded = written(_crowded(index, probes, crowd), "pairs_crowded")
-    pairs = written(_pairs(index.join(crowded, "key", "left_anti"), probes), "split_pairs")
-    links = written(links.unionByName(_close(pairs, picked, thresholds)), "line_links")
-    if crowded.isEmpty():
-        return links
-    met = written(split.join(crowded, "key", "left_semi"), "crowd_keys")
-    grouped = met.join(components(links).toDF("h1", "component"), "h1", "left").withColumn("component", F.coalesce("component", "h1"))
-    grouped = written(grouped, "crowd_groups")
-    x, y = grouped.where("not probe").alias("x"), grouped.where("probe").alias("y")
-    apart = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")))
-    apart = written(apart.select(F.least("x.h1", "y.h1").alias("a"), F.greatest("x.h1", "y.h1").alias("b")).distinct(), "groups_apart")
-    return links.unionByName(_close(apart, picked, thresholds))
+    crowd_lines = picked.join(hot, "h1", "left_semi").withColumn("component", F.col("h1"))
+    links = written(_close(pairs, picked, thresholds).unionByName(_crowd_links(crowd_lines, thresholds[0][1], thresholds)), "line_links")
+    for chars, edits in thresholds[1:]:
+        long = crowd_lines.where(F.length("line") >= chars).select("h1", "line")
+        if not long.isEmpty():
+            named = long.join(components(links), F.col("h1") == F.col("node"), "left").withColumn("component", F.coalesce("component", "h1"))
+            links = written(links.unionByName(_crowd_links(named, edits, thresholds)), "line_links")
+    return links
 
 
 @tidy
