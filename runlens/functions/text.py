@@ -9,9 +9,25 @@ from pyspark.sql import functions as F
 ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&amp;": "&"}
 
 
+#: Characters that upper() writes as several, each with its single capital; itself where it has none.
+CAPITALS = {c: t if len(t := c.title()) == 1 else c for c in map(chr, range(0x110000)) if len(c.upper()) > 1} | {"ß": "ẞ"}
+
+
+def upper_by_character(text: Column) -> Column:
+    """Upper case with one character for each, as DuckDB's upper: ß becomes ẞ and not SS; ligatures stay."""
+    capital = F.create_map(*(F.lit(x) for pair in CAPITALS.items() for x in pair))
+    each = F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(capital, c), F.upper(c)))
+    return F.when(text.rlike(f"[{''.join(CAPITALS)}]"), F.array_join(each, "")).otherwise(F.upper(text))
+
+
+def lower_by_character(text: Column) -> Column:
+    """Lower case with one character for each, wherever it stands, as DuckDB's lower: İ becomes i, a last Σ σ."""
+    return F.lower(F.translate(text, "İΣ", "iσ"))
+
+
 def normal(text: Column) -> Column:
     """Lower case, everything but ASCII letters and digits as one space, trimmed."""
-    return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
+    return F.trim(F.regexp_replace(lower_by_character(text), "[^a-z0-9]+", " "))
 
 
 def word_set(text: Column, longer_than: int = 2) -> Column:

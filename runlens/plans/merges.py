@@ -3,6 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from runlens.functions.text import upper_by_character
 from runlens.operators import merge as M
 
 from .catalog import query
@@ -33,7 +34,7 @@ select * from stored union all select * from incoming anti join stored using (id
 def mrg03_notices(v):
     b = v.table("benchmark")
     stored = b.where("item_id % 2 = 0").select(F.col("item_id").alias("id"), "text")
-    incoming = b.where("item_id % 2 = 1 or item_id % 3 = 0").select(F.col("item_id").alias("id"), F.upper("text").alias("text"))
+    incoming = b.where("item_id % 2 = 1 or item_id % 3 = 0").select(F.col("item_id").alias("id"), upper_by_character(F.col("text")).alias("text"))
     return M.insert_missing(stored, incoming, ["id"])
 
 
