@@ -11,7 +11,8 @@ from .sequence import SERIES, along, median_of
 def level_shift(fact: DataFrame, least: int = 3) -> DataFrame:
     """run, tag, k, ratio, disjoint: the cut with the largest ratio of medians before and after; do the ranges not overlap?
 
-    A series is held as one array, cut at every place with `least` values on either side.
+    A series is held as one array, cut at every place with `least` values on either side. A cut beside a zero median has
+    no ratio and counts only where no cut has one.
     """
     series = fact.where("value is not null").groupBy(*SERIES).agg(F.transform(F.array_sort(F.collect_list(F.struct("step", "value"))), lambda x: x["value"]).alias("_v"))
     n = F.size("_v")
@@ -20,7 +21,7 @@ def level_shift(fact: DataFrame, least: int = 3) -> DataFrame:
     a, b = median_of(before), median_of(after)
     ratio = F.greatest(F.try_divide(a, b), F.try_divide(b, a))
     disjoint = (F.array_max(before) < F.array_min(after)) | (F.array_max(after) < F.array_min(before))
-    best = F.min_by(F.struct("k", "ratio", "disjoint"), F.struct(-F.round("ratio", 9), "k"))
+    best = F.min_by(F.struct("k", "ratio", "disjoint"), F.struct(F.col("ratio").isNull(), -F.round("ratio", 9), "k"))
     return cuts.select(*SERIES, "k", ratio.alias("ratio"), disjoint.alias("disjoint")).groupBy(*SERIES).agg(best.alias("b")).select(*SERIES, "b.*")
 
 

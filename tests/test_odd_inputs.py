@@ -4,6 +4,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from runlens.functions.text import lower_by_character, upper_by_character
+from runlens.operators.changes import level_shift
 
 
 def test_case_goes_by_character_as_in_sql(spark):
@@ -17,3 +18,10 @@ def test_case_goes_by_character_as_in_sql(spark):
     one = {chr(i): (u, d) for i, u, d in con.sql("select i, upper(text), lower(text) from t").fetchall()}
     want = {t: (None, None) if t is None else tuple("".join(one[c][k] for c in t) for k in (0, 1)) for t in texts}
     assert {texts[i]: (u, d) for i, u, d in got} == want
+
+
+def test_a_cut_without_ratio_comes_last(spark):
+    """Medians of zero have no ratio: such cuts once beat all others."""
+    rows = [("r", "a", i, v) for i, v in enumerate([0.0] * 7 + [2.0] * 3)] + [("r", "z", i, 0.0) for i in range(7)]
+    got = {x.tag: (x.k, x.ratio, x.disjoint) for x in level_shift(spark.createDataFrame(rows, "run string, tag string, step int, value double")).collect()}
+    assert got == {"a": (4, 0.0, False), "z": (3, None, False)}
