@@ -69,10 +69,13 @@ def jon08_extended_window(v):
 @query("""select run, t, before, after from (select run, t, kind, last_value(step ignore nulls) over (partition by run order by t, kind rows unbounded preceding) as before,
 first_value(step ignore nulls) over (partition by run order by t, kind rows between current row and unbounded following) as after from run_events) where kind = 'restart'""")
 def jon09_neighbouring_steps(v):
-    w = Window.partitionBy("run").orderBy("t", "kind")
-    before = F.last("step", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("step", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    return v.run_events.withColumns({"before": before, "after": after}).where("kind = 'restart'").select("run", "t", "before", "after")
+    # Steps sort after restarts of the same time. Rows without a run are one run, those without a time come last.
+    run, latest = F.struct("run").alias("_run"), F.coalesce("t", F.lit(1e18)).alias("_t_or_last")
+    ends = v.axis.where("wall is not null").select(run, "wall", "step")
+    restarts = v.restarts.select("run", "t", run, latest)
+    before = T.as_of(restarts, ends, ["_run"], "_t_or_last", "wall", ["step"], strict=True).withColumnRenamed("step", "before")
+    both = T.as_of(before, ends, ["_run"], "_t_or_last", "wall", ["step"], backward=False)
+    return both.select("run", "t", "before", F.col("step").alias("after"))
 
 
 @query("select e.run, e.event_id, arg_min(a.step, round(abs(a.wall - e.t), 9) * 1e3 + a.step * 1e-4) as step, round(min(abs(a.wall - e.t)), 3) as apart from restarts e join axis a using (run) group by e.run, e.event_id")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from runlens.functions.text import lower_by_character, upper_by_character
 from runlens.operators.changes import level_shift
+from runlens.plans import catalog
 
 
 def test_case_goes_by_character_as_in_sql(spark):
@@ -25,3 +26,29 @@ def test_a_cut_without_ratio_comes_last(spark):
     rows = [("r", "a", i, v) for i, v in enumerate([0.0] * 7 + [2.0] * 3)] + [("r", "z", i, 0.0) for i in range(7)]
     got = {x.tag: (x.k, x.ratio, x.disjoint) for x in level_shift(spark.createDataFrame(rows, "run string, tag string, step int, value double")).collect()}
     assert got == {"a": (4, 0.0, False), "z": (3, None, False)}
+
+
+catalog.load()
+
+
+def events(spark, path, rows):
+    table = spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, value double, props string")
+    table.withColumn("ts", F.col("ts").cast("timestamp_ntz")).coalesce(1).write.parquet(f"{path}/events.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view events as select * from '{path}/events.parquet/*.parquet'")
+    return con
+
+
+def key(row):
+    return tuple((x is None, x) for x in row)
+
+
+def test_neighbouring_steps_without_run_or_time(spark, tmp_path):
+    """The steps around a restart come from as-of joins: a frame to the end of a run was read anew for every row."""
+    at = [("error", "2024-01-01 10:00:00"), ("view", "2024-01-01 12:00:00"), ("error", "2024-01-02 08:00:00"), ("error", "2024-01-02 08:00:00"), ("error", None), ("error", "2024-01-04 00:00:00"), ("view", "2024-01-06 00:00:01")]
+    rows = [(i, ts, user, kind, 1.0, "{}") for i, (kind, ts, user) in enumerate((k, t, u) for k, t in at for u in (1, 2, None))]
+    con = events(spark, tmp_path, rows)
+    got = catalog.QUERIES["jon09_neighbouring_steps"](spark, str(tmp_path))
+    assert "unboundedfollowing" not in got._jdf.queryExecution().toString().lower()
+    want = con.sql(f"select run, t, before, after from ({catalog.ORACLES['jon09_neighbouring_steps']})").fetchall()
+    assert sorted(map(tuple, got.collect()), key=key) == sorted(want, key=key)
