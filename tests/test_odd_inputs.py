@@ -1,10 +1,13 @@
 """Inputs on which a query once differed from its SQL or did more work than its rows call for."""
 
+import random
+
 import duckdb
 from pyspark.sql import functions as F
 
 from runlens.functions.text import lower_by_character, upper_by_character
 from runlens.operators.changes import level_shift
+from runlens.operators.context import attributed
 from runlens.plans import catalog
 
 
@@ -52,3 +55,30 @@ def test_neighbouring_steps_without_run_or_time(spark, tmp_path):
     assert "unboundedfollowing" not in got._jdf.queryExecution().toString().lower()
     want = con.sql(f"select run, t, before, after from ({catalog.ORACLES['jon09_neighbouring_steps']})").fetchall()
     assert sorted(map(tuple, got.collect()), key=key) == sorted(want, key=key)
+
+
+def test_dense_restarts_make_no_pairs(spark):
+    """1,500 notices within reach of 1,500 restarts gave 2,250,000 pairs; the rows between joins now grow with the input."""
+    r = random.Random(3)
+    restarts = [(i, "ab"[i % 2], i % 4 or None, r.randrange(4000) / 4) for i in range(1500)]
+    notices = [(i, r.randrange(4000) / 4, r.choice(["a", "b", None]), r.choice([1, 3, 9, None])) for i in range(1500)]
+    within, episode = 300.0, 7.5
+
+    def want(fits):
+        anchored = []
+        for i, at, run, step in notices:
+            near = [(abs(t - at), t, e, u) for e, u, s, t in restarts if abs(t - at) <= within and fits(u, s, i, run, step)]
+            if near:
+                anchored.append((at, i, *min(near)[1::2]))
+        first = {e: min(((at, i, t - at) for at, i, anchor, run in anchored if run == u and abs(t - anchor) <= episode), default=(None, None, None))[1:] for e, u, _, t in restarts}
+        return first
+
+    table = spark.createDataFrame(restarts, "event_id long, run string, step int, t double")
+    n = spark.createDataFrame(notices, "notice_id long, t double, hint_run string, hint_step int")
+    plain = n.select("notice_id", "t", F.when(F.col("notice_id") % 2 == 0, "a").otherwise("b").alias("run"))
+    for found, fits in (
+        (attributed(table.drop("step"), plain, within, episode), lambda u, s, i, run, step: u == "ab"[i % 2]),
+    ):
+        assert {x.event_id: (x.notice_id, x.delta) for x in found.collect()} == want(fits)
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "<= 300.0" in plan and not [line for line in plan.split("\n") if "Join Inner" in line]
