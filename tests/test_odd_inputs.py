@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from runlens.functions.text import lower_by_character, upper_by_character
 from runlens.operators.changes import level_shift
-from runlens.operators.context import attributed
+from runlens.operators.context import attributed, attributed_by_hints
 from runlens.plans import catalog
 
 
@@ -78,6 +78,7 @@ def test_dense_restarts_make_no_pairs(spark):
     plain = n.select("notice_id", "t", F.when(F.col("notice_id") % 2 == 0, "a").otherwise("b").alias("run"))
     for found, fits in (
         (attributed(table.drop("step"), plain, within, episode), lambda u, s, i, run, step: u == "ab"[i % 2]),
+        (attributed_by_hints(table, n, within, episode), lambda u, s, i, run, step: run in (None, u) and (step is None or s is not None and abs(s - step) <= 1)),
     ):
         assert {x.event_id: (x.notice_id, x.delta) for x in found.collect()} == want(fits)
         plan = found._jdf.queryExecution().optimizedPlan().toString()
