@@ -1,4 +1,4 @@
-"""Topics of texts: clusters of their content words, learned from a bounded sample.
+"""Topics of texts: clusters of their content words, learned from all of them in passes of sums.
 
 A text is a vector of hashed words of some length, weighed by their rarity. Spherical k-means finds the directions in
 which texts of one language lie apart: each language's own mean is taken off first, so that topics are not languages
@@ -7,7 +7,7 @@ once more.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,16 +15,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import extended
-from .textbuf import chunks, word_hashes, words_of
+from .storage import extended, scratch, written
+from .textbuf import chunks, mixed, word_hashes, words_of
 
 TOPICS = 6
-#: About so many documents, picked by a hash of doc_id, are read to learn topics; a parameter of learn_topics().
-SAMPLE_DOCS = 2000
 #: Shorter words (in bytes) carry little content.
 LEAST_BYTES = 5
 BUCKET_BITS = 8
 ROUNDS = 30
+#: Vectors are summed as whole multiples of 1 / SCALE, so that sums are equal in every order.
+SCALE = 1 << 20
 EMPTY = "empty"
 #: What a text without a nearest cluster (no word long enough) is about.
 PLAIN = "plain"
@@ -65,53 +65,110 @@ class Topics:
         return np.where(counts.any(axis=1), best, -1)
 
 
-def train_topics(counts: np.ndarray, langs: list, topics: int = TOPICS, seed: int = 5) -> Topics | None:
-    """Spherical k-means with seeded first centers that lie apart; clusters are numbered from the largest."""
-    have = counts.any(axis=1)
-    counts, langs = counts[have], [x for x, h in zip(langs, have.tolist(), strict=True) if h]
-    if not len(counts):
-        return None
-    rarity = np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0)))
-    x = _unit(np.log1p(counts) * rarity)
-    names = sorted({v for v in langs if v is not None})
-    means = {v: x[[i for i, w in enumerate(langs) if w == v]].mean(axis=0) for v in names}
-    x = _unit(x - np.array([means.get(v, np.zeros(x.shape[1])) for v in langs]))
-    r = np.random.default_rng(seed)
-    centers = x[[int(r.integers(len(x)))]]
-    while len(centers) < min(topics, len(x)):
-        gap = np.maximum(1 - (x @ centers.T).max(axis=1), 0)
-        if gap.sum() < 1e-9:
-            break
-        centers = np.vstack([centers, x[int(r.choice(len(x), p=gap / gap.sum()))]])
-    for _ in range(ROUNDS):
-        best = (x @ centers.T).argmax(axis=1)
-        moved = _unit(np.array([x[best == k].sum(axis=0) if (best == k).any() else centers[k] for k in range(len(centers))]))
-        if np.allclose(moved, centers, atol=1e-9):
-            break
-        centers = moved
-    sizes = np.bincount((x @ centers.T).argmax(axis=1), minlength=len(centers))
-    return Topics(rarity, means, centers[np.argsort(-sizes, kind="stable")])
-
-
-def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for first, last, data, offsets in chunks(batch.column(0)):
-            counts, _ = word_counts(data, offsets)
-            yield pa.record_batch([batch.column(1).slice(first, last - first), pa.array(list(counts.astype(np.int64)), pa.list_(pa.int64()))], names=["lang", "counts"])
+            counts = word_counts(data, offsets)[0].astype(np.int32)
+            have = np.flatnonzero(counts.any(axis=1))
+            rest = [batch.column(k).slice(first, last - first).take(pa.array(have)) for k in (1, 2)]
+            yield pa.record_batch([*rest, pa.array([counts[i].tobytes() for i in have.tolist()], pa.binary())], names=["lang", "chance", "counts"])
+
+
+def _matrix(batch: pa.RecordBatch) -> np.ndarray:
+    return np.frombuffer(b"".join(batch.column(2).to_pylist()), np.int32).reshape(-1, 1 << BUCKET_BITS)
+
+
+def _totals(table: DataFrame, sums: Callable[[pa.RecordBatch], Iterable[tuple[str | None, np.ndarray]]]) -> dict:
+    """key: total of the whole numbers that `sums` gives for a batch; a task gives one vector for each key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict = {}
+        for batch in batches:
+            for key, row in sums(batch):
+                found[key] = found.get(key, 0) + row
+        for key, row in found.items():
+            yield pa.record_batch([pa.array([key] * len(row), pa.string()), pa.array(np.arange(len(row)), pa.int32()), pa.array(row, pa.int64())], names=["key", "at", "total"])
+
+    out: dict = {}
+    for key, at, total in table.mapInArrow(run, "key string, at int, total long").groupBy("key", "at").agg(F.sum("total")).collect():
+        out.setdefault(key, np.zeros((1 << BUCKET_BITS) + 1))[at] = total
+    return out
+
 
+def _by_group(keys: np.ndarray, x: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(group, its sum of rows in units of 1 / SCALE, with its size behind)."""
+    whole = np.rint(x * SCALE).astype(np.int64)
+    for k in np.unique(keys).tolist():
+        rows = whole[keys == k]
+        yield k, np.append(rows.sum(axis=0), len(rows))
 
-def learn_topics(docs: DataFrame, topics: int = TOPICS, sample_docs: int = SAMPLE_DOCS) -> Topics | None:
-    """Topics from about sample_docs documents (doc_id, text, lang); None if none of them has a content word."""
-    rows = docs.where("text is not null and doc_id is not null").select("doc_id", "text", "lang")
-    rate = min(1.0, sample_docs / max(1, rows.count()))
-    picked = rows.where(F.pmod(F.xxhash64(F.lit("topics"), "doc_id"), F.lit(1 << 30)) < F.lit(rate) * (1 << 30))
-    read = picked.select("text", "lang").mapInArrow(_sampled, "lang string, counts array<long>").toPandas()
-    if not len(read):
+
+def _weighed(counts: np.ndarray, rarity: np.ndarray) -> np.ndarray:
+    return _unit(np.log1p(np.arange(counts.max(initial=0) + 1))[counts] * rarity)
+
+
+def _centered(batch: pa.RecordBatch, rarity: np.ndarray, means: dict) -> np.ndarray:
+    x = _weighed(_matrix(batch), rarity)
+    known = {v: i for i, v in enumerate(means)}
+    table = np.vstack([*means.values(), np.zeros((1, x.shape[1]))])
+    return _unit(x - table[[known.get(v, -1) for v in batch.column(0).to_pylist()]])
+
+
+def _far_text(table: DataFrame, rarity: np.ndarray, means: dict, centers: np.ndarray) -> np.ndarray | None:
+    """One of all texts, drawn in proportion to its distance from the nearest center; None if no text is apart from them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = _centered(batch, rarity, means)
+            gap = np.maximum(1 - (x @ centers.T).max(axis=1), 0) if len(centers) else np.ones(len(x))
+            draw = mixed(batch.column(1).to_numpy().view(np.uint64) + np.uint64(len(centers)))
+            late = -np.log(((draw >> np.uint64(12)).astype(np.float64) + 0.5) / float(1 << 52)) / np.where(gap > 1e-9, gap, np.nan)
+            if not np.isnan(late).all():
+                k = int(np.nanargmin(late))
+                yield pa.record_batch([pa.array([late[k]]), pa.array([x[k].tolist()], pa.list_(pa.float64()))], names=["late", "x"])
+
+    first = table.mapInArrow(run, "late double, x array<double>").orderBy("late", "x").limit(1).collect()
+    return np.array(first[0].x) if first else None
+
+
+@scratch
+def learn_topics(docs: DataFrame, topics: int = TOPICS) -> Topics | None:
+    """Topics of all documents (doc_id, text, lang); None if none of them has a content word.
+
+    Spherical k-means: the texts' counts are written once, and every round is one pass that sums them by cluster. First
+    centers lie apart; clusters are numbered from the largest. The same documents give the same topics in any order.
+    """
+    rows = docs.where("text is not null and doc_id is not null").select("text", "lang", F.xxhash64(F.lit("topics"), "doc_id").alias("chance"))
+    table = written(rows.mapInArrow(_counted, "lang string, chance long, counts binary"), "topic_counts")
+    having = _totals(table, lambda batch: [("n", np.append((_matrix(batch) > 0).sum(axis=0), batch.num_rows))]).get("n")
+    if having is None:
         return None
-    counts = np.array(read["counts"].tolist())
-    langs = [x if isinstance(x, str) else None for x in read["lang"]]
-    order = np.lexsort((*counts.T, [x or "" for x in langs]))  # rows arrive in any order
-    return train_topics(counts[order], [langs[i] for i in order], topics)
+    rarity = np.log((1 + having[-1]) / (1 + having[:-1]))
+
+    def by_lang(batch):
+        langs = batch.column(0).dictionary_encode()
+        names = [*langs.dictionary.to_pylist(), None]
+        keys = langs.indices.fill_null(len(names) - 1).to_numpy(zero_copy_only=False)
+        return ((names[k], row) for k, row in _by_group(keys, _weighed(_matrix(batch), rarity)))
+
+    sums = _totals(table, by_lang)
+    means = {v: sums[v][:-1] / SCALE / sums[v][-1] for v in sorted(v for v in sums if v is not None)}
+    centers = np.zeros((0, 1 << BUCKET_BITS))
+    while len(centers) < topics and (x := _far_text(table, rarity, means, centers)) is not None:
+        centers = np.vstack([centers, x])
+    for last in range(ROUNDS, -1, -1):
+
+        def by_center(batch, centers=centers):
+            x = _centered(batch, rarity, means)
+            return ((str(k), row) for k, row in _by_group((x @ centers.T).argmax(axis=1), x))
+
+        sums = _totals(table, by_center)
+        sizes = np.array([sums[str(k)][-1] if str(k) in sums else 0 for k in range(len(centers))])
+        moved = np.vstack([_unit(sums[str(k)][None, :-1]) if str(k) in sums else centers[k] for k in range(len(centers))])
+        if not last or np.allclose(moved, centers, atol=1e-9):
+            break
+        centers = moved
+    return Topics(rarity, means, centers[np.argsort(-sizes, kind="stable")])
 
 
 def _measured(batches: Iterator[pa.RecordBatch], model: Topics | None) -> Iterator[pa.RecordBatch]:
