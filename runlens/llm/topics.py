@@ -78,7 +78,7 @@ def _matrix(batch: pa.RecordBatch) -> np.ndarray:
     return np.frombuffer(b"".join(batch.column(2).to_pylist()), np.int32).reshape(-1, 1 << BUCKET_BITS)
 
 
-def _totals(table: DataFrame, sums: Callable[[pa.RecordBatch], Iterable[tuple[str | None, np.ndarray]]]) -> dict:
+def totals(table: DataFrame, sums: Callable[[pa.RecordBatch], Iterable[tuple[str | None, np.ndarray]]], width: int = (1 << BUCKET_BITS) + 1) -> dict:
     """key: total of the whole numbers that `sums` gives for a batch; a task gives one vector for each key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,7 +91,7 @@ def _totals(table: DataFrame, sums: Callable[[pa.RecordBatch], Iterable[tuple[st
 
     out: dict = {}
     for key, at, total in table.mapInArrow(run, "key string, at int, total long").groupBy("key", "at").agg(F.sum("total")).collect():
-        out.setdefault(key, np.zeros((1 << BUCKET_BITS) + 1))[at] = total
+        out.setdefault(key, np.zeros(width))[at] = total
     return out
 
 
@@ -140,7 +140,7 @@ def learn_topics(docs: DataFrame, topics: int = TOPICS) -> Topics | None:
     """
     rows = docs.where("text is not null and doc_id is not null").select("text", "lang", F.xxhash64(F.lit("topics"), "doc_id").alias("chance"))
     table = written(rows.mapInArrow(_counted, "lang string, chance long, counts binary"), "topic_counts")
-    having = _totals(table, lambda batch: [("n", np.append((_matrix(batch) > 0).sum(axis=0), batch.num_rows))]).get("n")
+    having = totals(table, lambda batch: [("n", np.append((_matrix(batch) > 0).sum(axis=0), batch.num_rows))]).get("n")
     if having is None:
         return None
     rarity = np.log((1 + having[-1]) / (1 + having[:-1]))
@@ -151,7 +151,7 @@ def learn_topics(docs: DataFrame, topics: int = TOPICS) -> Topics | None:
         keys = langs.indices.fill_null(len(names) - 1).to_numpy(zero_copy_only=False)
         return ((names[k], row) for k, row in _by_group(keys, _weighed(_matrix(batch), rarity)))
 
-    sums = _totals(table, by_lang)
+    sums = totals(table, by_lang)
     means = {v: sums[v][:-1] / SCALE / sums[v][-1] for v in sorted(v for v in sums if v is not None)}
     centers = np.zeros((0, 1 << BUCKET_BITS))
     while len(centers) < topics and (x := _far_text(table, rarity, means, centers)) is not None:
@@ -162,7 +162,7 @@ def learn_topics(docs: DataFrame, topics: int = TOPICS) -> Topics | None:
             x = _centered(batch, rarity, means)
             return ((str(k), row) for k, row in _by_group((x @ centers.T).argmax(axis=1), x))
 
-        sums = _totals(table, by_center)
+        sums = totals(table, by_center)
         sizes = np.array([sums[str(k)][-1] if str(k) in sums else 0 for k in range(len(centers))])
         moved = np.vstack([_unit(sums[str(k)][None, :-1]) if str(k) in sums else centers[k] for k in range(len(centers))])
         if not last or np.allclose(moved, centers, atol=1e-9):

@@ -108,3 +108,14 @@ def test_pairs_order_the_labels():
     assert ((ranker.score(x) >= 0.3) == y).mean() > 0.95
     assert ranker.score(x) == pytest.approx(1 / (1 + np.exp(-(ranker.strength(x) - ranker.threshold + np.log(0.3 / 0.7)))))
     random.seed(0)
+
+
+def test_every_labelled_document_is_learned_from(spark):
+    """5,000 documents: means and the threshold are those of all, not of about 2,000 of each label."""
+    rows = [(i, ("good plain words. " if i % 5 else "$$ !! ## ") * (1 + i % 37), int(i % 5 > 0)) for i in range(5000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    ranker = quality_rank.fit(docs, docs.select("doc_id", "quality"))
+    x = quality_rank.text_features(*buffer_of(__import__("pyarrow").array([t for _, t, _ in rows])))[0]
+    assert np.allclose(ranker.mean, x.mean(axis=0), atol=1e-4)
+    s = np.sort(ranker.strength(x))
+    assert ranker.threshold == pytest.approx((s[999] + s[1000]) / 2, abs=1e-6)
