@@ -3,7 +3,8 @@
 Two sets of shingles with a Jaccard similarity of `similarity` per cent or more share one of the least hashes of both:
 each set of n names n - ceil(similarity * n) + 1 of them, so that no pair is missed. Pairs that the pivot tables of the
 fingerprints find are verified first; then the prefixes are joined between different groups only, so that a large group
-of near copies meets once and not pair by pair. Every link is a pair whose true similarity was computed.
+of near copies meets once and not pair by pair. Pairs whose parity sketches show too many members that only one of them
+has are given up before their sets are compared. Every link is a pair whose true similarity was computed.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,18 +39,46 @@ def prefix_size(n: int, similarity: int) -> int:
     return n + (-n * similarity) // 100 + 1 if n else 0
 
 
+def sketch(found: np.ndarray) -> bytes:
+    """Of each value of the hashes' last bits, whether an odd number of members has it, in at least four bits a member.
+
+    Sets differ in at least as many members as their sketches in bits.
+    """
+    bits = 1 << max(6, int(4 * len(found) - 1).bit_length())
+    return np.packbits(np.bincount(found & (bits - 1), minlength=bits) & 1, bitorder="little").tobytes()
+
+
+def sketches_apart(x: bytes, y: bytes) -> int:
+    """In how many bits two sketches differ, the longer one folded to the other's size."""
+    short, long = sorted((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)), key=len)
+    return int(np.bitwise_count(short ^ np.bitwise_xor.reduce(long.reshape(-1, len(short)))).sum())
+
+
+def _maybe(batches: Iterator[pa.RecordBatch], similarity: int) -> Iterator[pa.RecordBatch]:
+    """The pairs of sets (a, b, sizes n and m, sketches) that can be similar."""
+    for batch in batches:
+        n, m, x, y = (batch.column(k).to_pylist() for k in range(2, 6))
+        keep = [sketches_apart(x[i], y[i]) * (100 + similarity) <= (n[i] + m[i]) * (100 - similarity) for i in range(len(batch))]
+        yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+
 def _heads(batches: Iterator[pa.RecordBatch], shingle: int, similarity: int) -> Iterator[pa.RecordBatch]:
+    task, n_rows = TaskContext.get(), 0
+    first = (task.partitionId() if task else 0) << 40  # rows are numbered, since rows repeated whole differ in nothing else
     for batch in batches:
-        fps, ids, sizes, heads = [], [], [], []
+        fps, ids, sizes, heads, sketches = [], [], [], [], []
         for t in batch.column(1):
             hashes = shingle_hashes((t.as_py() or "").encode(), shingle)
             found = shingle_set(hashes)
             fps.append(int.from_bytes(fingerprint_of(hashes), "big", signed=True))
             ids.append(xxhash.xxh128_digest(found.tobytes()))
             sizes.append(len(found))
+            sketches.append(sketch(found))
             heads.append(found[: prefix_size(len(found), similarity)])
-        columns = [pa.array(fps, pa.int64()), pa.array(ids, pa.binary()), pa.array(sizes, pa.int32()), pa.array(heads, pa.list_(pa.int64()))]
-        yield pa.record_batch([batch.column(0), *columns], names=["doc_id", "fp", "set_id", "n", "head"])
+        columns = [pa.array(fps, pa.int64()), pa.array(ids, pa.binary()), pa.array(sizes, pa.int32()), pa.array(heads, pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
+        rows = pa.array(np.arange(first + n_rows, first + n_rows + len(batch)))
+        n_rows += len(batch)
+        yield pa.record_batch([batch.column(0), rows, *columns], names=["doc_id", "row", "fp", "set_id", "n", "head", "sketch"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
@@ -71,15 +101,29 @@ def _can_be(c: Column, n: Column, m: Column, similarity: int) -> Column:
     return _similar(F.least(c + rest, n, m), n, m, similarity)
 
 
+def _met(pairs: DataFrame, rows: DataFrame, columns: list[str]) -> DataFrame:
+    """pairs (a, b) with the columns of both rows (doc_id), named x_ and y_.
+
+    A row goes once to each of its pairs with a smaller doc_id, and those of the smaller ones meet it there.
+    """
+    firsts = pairs.select("a").distinct()
+    if pairs.count() <= BROADCAST_ROWS:
+        pairs, firsts = F.broadcast(pairs), F.broadcast(firsts)
+    x, y = (rows.select(F.col("doc_id").alias(end), *(F.col(c).alias(f"{side}_{c}") for c in columns)) for end, side in (("a", "x"), ("b", "y")))
+    return y.join(pairs, "b").join(x.join(firsts, "a", "left_semi"), "a").select("a", "b", *(f"{side}_{c}" for c in columns for side in "xy"))
+
+
 @tidy
-def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: int) -> DataFrame:
-    """The pairs (a, b) of doc_id whose sets of shingles are similar."""
+def _verified(pairs: DataFrame, reps: DataFrame, texts: DataFrame, shingle: int, similarity: int) -> DataFrame:
+    """The pairs (a, b) of doc_id whose sets of shingles are similar; reps: rep with n and sketch."""
     pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "set_pairs")
+    sketched = _met(pairs, reps.withColumnRenamed("rep", "doc_id"), ["n", "sketch"])
+    pairs = written(sketched.mapInArrow(lambda it: _maybe(it, similarity), "a long, b long"), "set_pairs_left")
     wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "sets_wanted")
     picked = texts.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, "doc_id", "left_semi")
     sets = written(picked.mapInArrow(lambda it: _sets(it, shingle), "doc_id long, hashes array<long>"), "sets_met")
-    met = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
-    close = _similar(F.size(F.array_intersect("x", "y")), F.size("x"), F.size("y"), similarity)
+    met = _met(pairs, sets, ["hashes"])
+    close = _similar(F.size(F.array_intersect("x_hashes", "y_hashes")), F.size("x_hashes"), F.size("y_hashes"), similarity)
     return met.where(close).select("a", "b").distinct()
 
 
@@ -91,9 +135,12 @@ def shingle_groups(docs: DataFrame, shingle: int = SHINGLE, similarity: int = SI
     and shingles are those of the fingerprints; texts without words are alike. Other columns are ignored.
     """
     texts = docs.where("doc_id is not null").select("doc_id", "text")
-    schema = "doc_id long, fp long, set_id binary, n int, head array<long>"
+    schema = "doc_id long, row long, fp long, set_id binary, n int, head array<long>, sketch binary"
     heads = written(texts.mapInArrow(lambda it: _heads(it, shingle, similarity), schema), "shingle_heads")
-    reps = written(heads.groupBy("set_id").agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("fp", "n", "head"))), "shingle_reps")
+    # The least document of each set stands for it; the hashes, most of the bytes, stay where they are.
+    firsts = written(heads.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.min_by("row", "doc_id").alias("first"), F.count("*").alias("copies")), "shingle_firsts")
+    later = written(heads.select("set_id", "row").join(firsts.where("copies > 1"), "set_id").where("row <> first").select("row"), "shingle_copies")
+    reps = heads.join(F.broadcast(later) if later.count() <= BROADCAST_ROWS else later, "row", "left_anti").select(F.col("doc_id").alias("rep"), "fp", "n", "head", "sketch")
     keys = reps.select("rep", "n", F.explode("head").alias("key"))
     sizes = keys.groupBy("key").agg(F.count("*").alias("many"), F.min("rep").alias("least")).where("many > 1")
     keys = written(keys.join(sizes, "key"), "shingle_keys")
@@ -104,7 +151,7 @@ def shingle_groups(docs: DataFrame, shingle: int = SHINGLE, similarity: int = SI
     rest = keys.select(F.col("rep").alias("a"), F.col("n").alias("m")).distinct()
     stars = keys.where((F.col("many") > crowd) & (F.col("rep") != F.col("least"))).groupBy(F.col("least").alias("a"), F.col("rep").alias("b"), "n").agg(F.count("*").alias("c")).join(rest, "a")
     stars = stars.where(_can_be(F.col("c"), F.col("n"), F.col("m"), similarity)).select("a", "b")
-    links = _verified(same.unionByName(near).unionByName(stars), texts, shingle, similarity)
+    links = _verified(same.unionByName(near).unionByName(stars), reps, texts, shingle, similarity)
     found = components(links).toDF("rep", "component")
     parts = written(keys.join(found, "rep", "left").withColumn("component", F.coalesce("component", "rep")), "shingle_parts")
     met = (
@@ -115,7 +162,7 @@ def shingle_groups(docs: DataFrame, shingle: int = SHINGLE, similarity: int = SI
         .where(_can_be(F.col("c"), F.col("n"), F.col("m"), similarity))
         .select("a", "b")
     )
-    links = links.unionByName(_verified(met, texts, shingle, similarity))
+    links = links.unionByName(_verified(met, reps, texts, shingle, similarity))
     found = components(links).toDF("rep", "component")
-    named = reps.select("set_id", "rep").join(found, "rep", "left").select("set_id", F.coalesce("component", "rep").alias("component_id"))
+    named = firsts.select("set_id", "rep").join(found, "rep", "left").select("set_id", F.coalesce("component", "rep").alias("component_id"))
     return heads.select("doc_id", "set_id").join(named, "set_id").select("doc_id", "component_id")

@@ -1,9 +1,12 @@
 import random
 
 import corpus_pipeline
+import numpy as np
 import pytest
 
-from runlens.llm.shingle_join import shingle_groups
+from runlens.llm import shingle_join
+from runlens.llm.shingle_join import shingle_groups, sketch, sketches_apart
+from runlens.llm.storage import written
 
 
 def shingles(text):
@@ -69,3 +72,27 @@ def test_planted_near_copies_leave_the_pipeline(spark):
     kept = {x.doc_id for x in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()}
     assert kept == {2 * k for k in range(20)}
     assert corpus_pipeline.drop_near_duplicates(spark, docs.limit(0), "").count() == 0
+
+
+def test_sketches_bound_what_only_one_set_has():
+    """Never more bits than members that only one set has, whatever the sizes; far fewer sets are read than pairs meet."""
+    rng = np.random.default_rng(5)
+    for size, other, shared in [(0, 0, 0), (0, 3, 0), (5, 4, 4), (460, 460, 306), (460, 380, 373), (3000, 700, 650)]:
+        members = np.unique(rng.integers(-(1 << 63), 1 << 63, size + other - shared))
+        x, y = members[:size], members[size - shared :]
+        apart = sketches_apart(sketch(x), sketch(y))
+        assert apart == sketches_apart(sketch(y), sketch(x)) <= size + other - 2 * shared and sketches_apart(sketch(x), sketch(x)) == 0
+        if (size, shared) == (460, 306):  # a similarity of one half: their sets need not be compared
+            assert apart * 180 > 20 * (size + other)
+
+
+def test_far_pairs_with_common_hashes_are_given_up_by_their_sketches(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    common = [f"c{i}" for i in range(150)]
+    docs = [(k, " ".join([*common, *(f"w{x}" for x in rng.integers(0, 10**9, 60))])) for k in range(8)]
+    docs += [(100, docs[0][1] + " x"), (100, docs[0][1] + " x")]
+    left = []
+    monkeypatch.setattr(shingle_join, "written", lambda df, name: (left.append(df.count()) if name == "set_pairs_left" else None, written(df, name))[1])
+    found = shingle_join.shingle_groups(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, found)) == [(k, k) for k in range(8)] + [(100, 0), (100, 0)]
+    assert sum(left) <= 2
