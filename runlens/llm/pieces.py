@@ -1,9 +1,10 @@
 """SentencePiece encoding and decoding: the segmentation of highest total score, by a batched Viterbi search in numpy.
 
 Spaces become U+2581 and one stands before the text. No piece has U+2581 behind another character, so the text falls
-apart in front of every run of U+2581, and the parts are encoded alone. Different parts of equal length advance
-together: at each place the substrings that end there are looked up by hash among the sorted hashes of all pieces, and
-the best start is kept as a backpointer.
+apart in front of every run of U+2581, and the parts are encoded alone. Many different parts advance together, the
+longest first, so that those that have ended drop out behind: at each place the substrings that end there are looked up by hash among the sorted hashes of all pieces, and
+the best start is kept as a backpointer. A task keeps the ids of the parts that it has met, up to a bound, since most
+parts of a text have stood in the texts before it.
 
 The scores are those of the model file. In a file of merges (BPE) they are minus the merge ranks and no
 log-probabilities: the ids are then a Viterbi reading of that vocabulary, which decodes to the same text, and not the
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .storage import extended
-from .textbuf import Rolling, chunks, mixed, ranges
+from .textbuf import Rolling, chunks, mixed, powers_of, ranges
 
 SPACE = 0x2581
 #: Stands for U+2581 in a text, which no piece may match, so that texts come back as they were.
@@ -31,6 +32,11 @@ _BASE = 0xA0761D6478BD642F
 _CHUNK = 1 << 19
 _IDS = 1 << 18
 _ROWS = 4096
+#: Characters of parts, with what fills up the shorter ones, that advance together.
+_CELLS = 1 << 18
+#: A task keeps the ids of at most so many parts, of at most _KEPT_LENGTH characters.
+_KEPT = 1 << 19
+_KEPT_LENGTH = 64
 _FILTER_BITS = 22
 
 
@@ -79,35 +85,40 @@ def load_vocabulary(path: str) -> Vocabulary:
     return Vocabulary(plain, [model.id_to_piece(i) for i in plain], [model.get_score(i) for i in plain], [i for i in every if model.is_byte(i)])
 
 
-def _best(vocabulary: Vocabulary, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, ids per part) of parts of one length, a row each; an unknown character c is -c - 1."""
-    n, length = parts.shape
-    rolling = Rolling(parts.ravel(), _BASE)
-    first = np.arange(n) * length
-    score = np.full((length + 1, n), -np.inf)
+def _best(vocabulary: Vocabulary, parts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, ids per part) of parts, a column each, the longest first; an unknown character c is -c - 1."""
+    longest, n = parts.shape
+    up, down = powers_of(_BASE, longest + 1)
+    sums = np.zeros((longest + 1, n), np.uint64)
+    np.cumsum((parts.astype(np.uint64) + np.uint64(1)) * up[:longest, None], axis=0, out=sums[1:])
+    score = np.full((longest + 1, n), -np.inf)
     score[0] = 0
-    back = np.ones((length + 1, n), np.int8)
-    chosen = np.full((length + 1, n), -1, np.int32)
-    for end in range(1, length + 1):
-        best, size, piece = score[end], back[end], chosen[end]
+    back = np.ones((longest + 1, n), np.int8)
+    chosen = np.full((longest + 1, n), -1, np.int32)
+    shift = np.uint64(64 - _FILTER_BITS)
+    for end in range(1, longest + 1):
+        m = int(np.searchsorted(-lengths, -end, "right"))  # parts that reach here
+        best, size, piece, sum_here = score[end, :m], back[end, :m], chosen[end, :m], sums[end, :m]
         for width in range(min(end, vocabulary.longest), 0, -1):  # of equal totals the longest last piece stays
-            h = _hash(rolling.of(first + end - width, first + end), width)
-            rows = np.flatnonzero(vocabulary.present[(h >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)])
-            at = np.searchsorted(vocabulary.keys, h[rows])
+            h = _hash((sum_here - sums[end - width, :m]) * down[end - width], width)
+            rows = np.flatnonzero(vocabulary.present[(h >> shift).astype(np.int64)])
+            some = h[rows]
+            at = np.searchsorted(vocabulary.keys, some)
             at[at == len(vocabulary.keys)] = 0
-            found = vocabulary.keys[at] == h[rows]
+            found = vocabulary.keys[at] == some
             rows, at = rows[found], at[found]
+            if width == 1:
+                single = np.zeros(m, bool)
+                single[rows] = True
             total = score[end - width, rows] + vocabulary.key_scores[at]
             better = total > best[rows]
             rows, at = rows[better], at[better]
             best[rows], size[rows], piece[rows] = total[better], width, vocabulary.key_ids[at]
-            if width == 1:
-                single = np.zeros(n, bool)
-                single[np.flatnonzero(vocabulary.present[(h >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)])[found]] = True
-                total = score[end - 1] + vocabulary.unknown
+            if width == 1 and not single.all():
+                total = score[end - 1, :m] + vocabulary.unknown
                 rows = np.flatnonzero(~single & (total > best))
-                best[rows], size[rows], piece[rows] = total[rows], 1, -parts[rows, end - 1].astype(np.int64) - 1
-    counts, at, steps = np.zeros(n, np.int64), np.full(n, length), []
+                best[rows], size[rows], piece[rows] = total[rows], 1, -parts[end - 1, rows].astype(np.int64) - 1
+    counts, at, steps = np.zeros(n, np.int64), lengths.copy(), []
     live = np.arange(n)
     while len(live):
         steps.append((live, chosen[at[live], live]))
@@ -140,7 +151,36 @@ def _as_bytes(vocabulary: Vocabulary, ids: np.ndarray, counts: np.ndarray) -> tu
     return out, whole[last] - whole[last - counts]
 
 
-def encode_buffer(vocabulary: Vocabulary, data: np.ndarray, offsets: np.ndarray, begins: bool = True) -> tuple[np.ndarray, np.ndarray]:
+class Met:
+    """The ids of parts met before, by the parts' hashes; when there are too many, those of the last texts alone stay."""
+
+    def __init__(self, most: int = _KEPT):
+        self.most = most
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.at, self.counts, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(whether each key is there, its place)."""
+        if not len(self.keys):
+            return np.zeros(len(keys), bool), np.zeros(len(keys), np.int64)
+        place = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return self.keys[place] == keys, place
+
+    def add(self, keys: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> None:
+        """keys in ascending order, none of which is there; the ids of one stand behind those of the other."""
+        if len(self.keys) + len(keys) > self.most:
+            self.clear()
+        if len(keys) > self.most:
+            return
+        where = np.searchsorted(self.keys, keys)
+        at = len(self.ids) + np.cumsum(counts) - counts
+        self.keys, self.at, self.counts = (np.insert(old, where, new) for old, new in ((self.keys, keys), (self.at, at), (self.counts, counts)))
+        self.ids = np.concatenate([self.ids, ids])
+
+
+def encode_buffer(vocabulary: Vocabulary, data: np.ndarray, offsets: np.ndarray, begins: bool = True, met: Met | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(ids, ids per text) of a buffer of UTF-8 texts; without `begins` they are slices that begin inside a text."""
     head = (data & 0xC0) != 0x80
     at = np.concatenate([[0], np.cumsum(head)])[offsets]
@@ -162,20 +202,31 @@ def encode_buffer(vocabulary: Vocabulary, data: np.ndarray, offsets: np.ndarray,
     starts = np.flatnonzero(cut)
     ends = np.append(starts[1:], len(chars))
     keys = mixed(Rolling(chars, _BASE).of(starts, ends) + (ends - starts).astype(np.uint64))
-    _, once, which = np.unique(keys, return_index=True, return_inverse=True)
+    keys, once, which = np.unique(keys, return_index=True, return_inverse=True)
     lengths = (ends - starts)[once]
     found, group_at, group_counts = [], np.zeros(len(once), np.int64), np.zeros(len(once), np.int64)
     total = 0
-    for length in np.unique(lengths):
-        rows = np.flatnonzero(lengths == length)
-        step = max(1, _ROWS * 32 // max(32, int(length)))
-        for k in range(0, len(rows), step):
-            part = rows[k : k + step]
-            ids, counts = _as_bytes(vocabulary, *_best(vocabulary, chars[starts[once[part]][:, None] + np.arange(length)]))
-            group_at[part], group_counts[part] = total + np.cumsum(counts) - counts, counts
-            total += len(ids)
-            found.append(ids)
-    ids = np.concatenate(found)[ranges(group_at[which], group_counts[which])]
+    old = np.zeros(len(once), bool)
+    if met is not None:
+        old, place = met.find(keys)
+        group_at[old], group_counts[old] = met.at[place[old]], met.counts[place[old]]
+        found.append(met.ids)
+        total = len(met.ids)
+    todo = np.flatnonzero(~old)
+    todo = todo[np.argsort(-lengths[todo], kind="stable")]
+    while len(todo):
+        longest = int(lengths[todo[0]])
+        part, todo = todo[: max(1, _CELLS // longest)], todo[max(1, _CELLS // longest) :]
+        inside = np.minimum(starts[once[part]] + np.arange(longest)[:, None], len(chars) - 1)  # past a part's end: not read
+        ids, counts = _as_bytes(vocabulary, *_best(vocabulary, chars[inside], lengths[part]))
+        group_at[part], group_counts[part] = total + np.cumsum(counts) - counts, counts
+        total += len(ids)
+        found.append(ids)
+    pool = np.concatenate(found)
+    if met is not None:
+        new = np.flatnonzero(~old & (lengths <= _KEPT_LENGTH))
+        met.add(keys[new], group_counts[new], pool[ranges(group_at[new], group_counts[new])])
+    ids = pool[ranges(group_at[which], group_counts[which])]
     per = np.concatenate([[0], np.cumsum(group_counts[which])])[np.searchsorted(starts, begin)]
     return ids, np.diff(per)
 
@@ -221,12 +272,12 @@ def _spelled(vocabulary: Vocabulary, ids: np.ndarray) -> bytes:
     return b"".join(parts).removeprefix(b" ")
 
 
-def _id_column(vocabulary: Vocabulary, text: pa.Array, first: int, last: int, data: np.ndarray, offsets: np.ndarray) -> pa.ListArray:
+def _id_column(vocabulary: Vocabulary, text: pa.Array, first: int, last: int, data: np.ndarray, offsets: np.ndarray, met: Met) -> pa.ListArray:
     if last - first == 1:
         ids, counts = encode_text(vocabulary, data), None
         counts = np.array([len(ids)])
     else:
-        ids, counts = encode_buffer(vocabulary, data, offsets)
+        ids, counts = encode_buffer(vocabulary, data, offsets, met=met)
     ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(ids), mask=text.slice(first, last - first).is_null() if text.null_count else None)
 
@@ -253,12 +304,13 @@ def _decoded(vocabulary: Vocabulary, column: pa.ListArray) -> pa.Array:
 
 
 def _encode(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, with_text: bool = False) -> Iterator[pa.RecordBatch]:
+    met = Met()
     for batch in batches:
         text = batch.column(batch.schema.get_field_index("text"))
         rest = [i for i, name in enumerate(batch.schema.names) if name != "text"]
         names = [*(batch.schema.names[i] for i in rest), "ids", *["decoded"] * with_text]
         for first, last, data, offsets in chunks(text, _CHUNK):
-            column = _id_column(vocabulary, text, first, last, data, offsets)
+            column = _id_column(vocabulary, text, first, last, data, offsets, met)
             part = batch.slice(first, last - first)
             more = [column, _decoded(vocabulary, column)] if with_text else [column]
             yield pa.RecordBatch.from_arrays([*(part.column(i) for i in rest), *more], names=names)

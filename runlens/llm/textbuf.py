@@ -68,7 +68,7 @@ _KEPT_POWERS = 5 << 17
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _powers_of(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers_of(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i < n."""
     if base in _powers and len(_powers[base][0]) >= n:
         up, down = _powers[base]
@@ -85,14 +85,14 @@ def _powers_of(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    return _powers_of(base, n)[0]
+    return powers_of(base, n)[0]
 
 
 class Rolling:
     """Rabin-Karp hashes (modulo 2**64) of any ranges of one sequence."""
 
     def __init__(self, values: np.ndarray, base: int):
-        up, self.down = _powers_of(base, len(values) + 1)
+        up, self.down = powers_of(base, len(values) + 1)
         self.sums = np.zeros(len(values) + 1, np.uint64)
         terms = self.sums[1:]  # worked on in place: texts are long
         terms[:] = values

@@ -9,7 +9,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from runlens.llm import registry
-from runlens.llm.pieces import SPACE, Vocabulary, decode, decode_buffer, encode, encode_and_decode, encode_buffer, encode_text, load_vocabulary
+from runlens.llm import pieces
+from runlens.llm.pieces import SPACE, Met, Vocabulary, decode, decode_buffer, encode, encode_and_decode, encode_buffer, encode_text, load_vocabulary
 from runlens.llm.textbuf import buffer_of
 
 PATH = "/opt/tokenizers/piece_bpe_32k.model"
@@ -124,3 +125,20 @@ def test_the_query_against_brute_force(spark, vocabulary):
     want = spark.createDataFrame([(i, brute(vocabulary, t or "")) for i, t in short.items()], "doc_id long, ids array<int>").select("doc_id", F.size("ids").alias("n"), F.xxhash64("ids").alias("h"))
     for x in want.collect():
         assert (got[x.doc_id].n_ids, got[x.doc_id].ids_hash) == (x.n, x.h)
+
+
+@pytest.mark.parametrize("most", [3, 12, 1 << 19])
+def test_parts_met_before_are_not_searched_again(vocabulary, monkeypatch, most):
+    """The same ids with parts kept, whatever the bound; without pressure a part is searched once in a task."""
+    searched, search = [], pieces._best
+    monkeypatch.setattr(pieces, "_best", lambda v, parts, lengths: (searched.append(len(lengths)), search(v, parts, lengths))[1])
+    met, batches = Met(most), [TEXTS, TEXTS[::-1], ["Hello world. again", "q" * 200, *TEXTS]]
+    for texts in batches:
+        ids, counts = encode_buffer(vocabulary, *buffer_of(pa.array(texts)), met=met)
+        before = len(searched)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == ids_of(vocabulary, texts)
+        assert len(met.keys) <= most and (np.diff(met.keys) > 0).all()
+        del searched[before:]
+        if texts is batches[1] and most == 1 << 19:
+            assert sum(searched) == once + 1  # the part of 200 characters is too long to be kept
+        once = sum(searched) if texts is TEXTS else 0
