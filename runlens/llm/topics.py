@@ -25,6 +25,8 @@ BUCKET_BITS = 8
 ROUNDS = 30
 #: Vectors are summed as whole multiples of 1 / SCALE, so that sums are equal in every order.
 SCALE = 1 << 20
+#: Directions that a row of their table holds.
+BLOCK = 8
 EMPTY = "empty"
 #: What a text without a nearest cluster (no word long enough) is about.
 PLAIN = "plain"
@@ -75,7 +77,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _matrix(batch: pa.RecordBatch) -> np.ndarray:
-    return np.frombuffer(b"".join(batch.column(2).to_pylist()), np.int32).reshape(-1, 1 << BUCKET_BITS)
+    return np.frombuffer(b"".join(batch.column(batch.num_columns - 1).to_pylist()), np.int32).reshape(-1, 1 << BUCKET_BITS)
 
 
 def totals(table: DataFrame, sums: Callable[[pa.RecordBatch], Iterable[tuple[str | None, np.ndarray]]], width: int = (1 << BUCKET_BITS) + 1) -> dict:
@@ -95,33 +97,36 @@ def totals(table: DataFrame, sums: Callable[[pa.RecordBatch], Iterable[tuple[str
     return out
 
 
-def _by_group(keys: np.ndarray, x: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """(group, its sum of rows in units of 1 / SCALE, with its size behind)."""
-    whole = np.rint(x * SCALE).astype(np.int64)
-    for k in np.unique(keys).tolist():
-        rows = whole[keys == k]
-        yield k, np.append(rows.sum(axis=0), len(rows))
+def _by_group(keys: np.ndarray, whole: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(group, its sum of rows of whole numbers, with its size behind); doubles hold such sums of a batch exactly."""
+    there, which = np.unique(keys, return_inverse=True)
+    of = (which == np.arange(len(there))[:, None]).astype(np.float64)
+    for k, row, n in zip(there.tolist(), of @ whole, of.sum(axis=1), strict=True):
+        yield k, np.append(row, n).astype(np.int64)
 
 
 def _weighed(counts: np.ndarray, rarity: np.ndarray) -> np.ndarray:
     return _unit(np.log1p(np.arange(counts.max(initial=0) + 1))[counts] * rarity)
 
 
-def _centered(batch: pa.RecordBatch, rarity: np.ndarray, means: dict) -> np.ndarray:
-    x = _weighed(_matrix(batch), rarity)
+def _centered(batches: Iterator[pa.RecordBatch], rarity: np.ndarray, means: dict) -> Iterator[pa.RecordBatch]:
+    """The texts' directions off their language's mean, in units of 1 / SCALE, BLOCK texts a row."""
     known = {v: i for i, v in enumerate(means)}
-    table = np.vstack([*means.values(), np.zeros((1, x.shape[1]))])
-    return _unit(x - table[[known.get(v, -1) for v in batch.column(0).to_pylist()]])
+    table = np.vstack([*means.values(), np.zeros((1, 1 << BUCKET_BITS))])
+    for batch in batches:
+        x = _unit(_weighed(_matrix(batch), rarity) - table[[known.get(v, -1) for v in batch.column(0).to_pylist()]])
+        columns = batch.column(1).to_numpy(), np.rint(x * SCALE).astype(np.int32)
+        yield pa.record_batch([pa.array([c[k : k + BLOCK].tobytes() for k in range(0, len(x), BLOCK)], pa.binary()) for c in columns], names=["chances", "directions"])
 
 
-def _far_text(table: DataFrame, rarity: np.ndarray, means: dict, centers: np.ndarray) -> np.ndarray | None:
+def _far_text(table: DataFrame, centers: np.ndarray) -> np.ndarray | None:
     """One of all texts, drawn in proportion to its distance from the nearest center; None if no text is apart from them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = _centered(batch, rarity, means)
+            x = _matrix(batch) / SCALE
             gap = np.maximum(1 - (x @ centers.T).max(axis=1), 0) if len(centers) else np.ones(len(x))
-            draw = mixed(batch.column(1).to_numpy().view(np.uint64) + np.uint64(len(centers)))
+            draw = mixed(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint64) + np.uint64(len(centers)))
             late = -np.log(((draw >> np.uint64(12)).astype(np.float64) + 0.5) / float(1 << 52)) / np.where(gap > 1e-9, gap, np.nan)
             if not np.isnan(late).all():
                 k = int(np.nanargmin(late))
@@ -135,8 +140,9 @@ def _far_text(table: DataFrame, rarity: np.ndarray, means: dict, centers: np.nda
 def learn_topics(docs: DataFrame, topics: int = TOPICS) -> Topics | None:
     """Topics of all documents (doc_id, text, lang); None if none of them has a content word.
 
-    Spherical k-means: the texts' counts are written once, and every round is one pass that sums them by cluster. First
-    centers lie apart; clusters are numbered from the largest. The same documents give the same topics in any order.
+    Spherical k-means: the texts' counts are written once, then their directions, and every round is one pass that sums
+    these by cluster. First centers lie apart; clusters are numbered from the largest. The same documents give the same
+    topics in any order.
     """
     rows = docs.where("text is not null and doc_id is not null").select("text", "lang", F.xxhash64(F.lit("topics"), "doc_id").alias("chance"))
     table = written(rows.mapInArrow(_counted, "lang string, chance long, counts binary"), "topic_counts")
@@ -149,17 +155,18 @@ def learn_topics(docs: DataFrame, topics: int = TOPICS) -> Topics | None:
         langs = batch.column(0).dictionary_encode()
         names = [*langs.dictionary.to_pylist(), None]
         keys = langs.indices.fill_null(len(names) - 1).to_numpy(zero_copy_only=False)
-        return ((names[k], row) for k, row in _by_group(keys, _weighed(_matrix(batch), rarity)))
+        return ((names[k], row) for k, row in _by_group(keys, np.rint(_weighed(_matrix(batch), rarity) * SCALE)))
 
     sums = totals(table, by_lang)
     means = {v: sums[v][:-1] / SCALE / sums[v][-1] for v in sorted(v for v in sums if v is not None)}
+    table = written(table.mapInArrow(lambda it: _centered(it, rarity, means), "chances binary, directions binary"), "topic_directions")
     centers = np.zeros((0, 1 << BUCKET_BITS))
-    while len(centers) < topics and (x := _far_text(table, rarity, means, centers)) is not None:
+    while len(centers) < topics and (x := _far_text(table, centers)) is not None:
         centers = np.vstack([centers, x])
     for last in range(ROUNDS, -1, -1):
 
         def by_center(batch, centers=centers):
-            x = _centered(batch, rarity, means)
+            x = _matrix(batch).astype(np.float64)
             return ((str(k), row) for k, row in _by_group((x @ centers.T).argmax(axis=1), x))
 
         sums = totals(table, by_center)

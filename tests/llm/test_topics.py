@@ -2,6 +2,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from runlens.llm import topics
 from runlens.llm.textbuf import buffer_of
 from runlens.llm.topics import learn_topics, word_counts
 
@@ -18,3 +19,16 @@ def test_topics_come_from_all_documents(spark):
     again = learn_topics(docs.repartition(7, F.rand(3)), 3)
     assert (again.centers == model.centers).all()
     assert learn_topics(docs.limit(0)) is None and learn_topics(docs.withColumn("text", F.lit("a b"))) is None
+
+
+def test_rounds_read_directions_that_are_written_once(spark, monkeypatch):
+    """Of the counts, only two passes are made; all rounds read the directions, which are whole numbers of length SCALE."""
+    seen, sums = [], topics.totals
+    monkeypatch.setattr(topics, "totals", lambda table, f, **kw: (seen.append(table), sums(table, f, **kw))[1])
+    lengths = []
+    old = topics._far_text
+    monkeypatch.setattr(topics, "_far_text", lambda table, centers: (lengths.append(table.collect()), old(table, centers))[1])
+    learn_topics(spark.createDataFrame([(i, f"{'alpha' if i % 2 else 'omega'}words text{i}s", "en") for i in range(21)], "doc_id long, text string, lang string"), 2)
+    assert [t.columns[-1] for t in seen] == ["counts"] * 2 + ["directions"] * (len(seen) - 2) and len(seen) > 2
+    found = np.vstack([np.frombuffer(bytes(r.directions), np.int32).reshape(-1, 256) for r in lengths[0]])
+    assert len(found) == 21 and np.allclose(np.linalg.norm(found / topics.SCALE, axis=1), 1, atol=1e-4)
