@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import extended, scratch, written
-from .textbuf import chunks, mixed, word_hashes, words_of
+from .textbuf import buffer_of, chunks, mixed, word_hashes, words_of
 
 TOPICS = 6
 #: Shorter words (in bytes) carry little content.
@@ -27,6 +27,10 @@ ROUNDS = 30
 SCALE = 1 << 20
 #: Directions that a row of their table holds.
 BLOCK = 8
+#: Bytes of counts or directions that a pass turns into numbers at once.
+PART_BYTES = 1 << 19
+#: Partitions that the tasks' sums are dealt to: they are few, and each task writes a file for every partition.
+SUM_PARTITIONS = 8
 EMPTY = "empty"
 #: What a text without a nearest cluster (no word long enough) is about.
 PLAIN = "plain"
@@ -77,22 +81,30 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _matrix(batch: pa.RecordBatch) -> np.ndarray:
-    return np.frombuffer(b"".join(batch.column(batch.num_columns - 1).to_pylist()), np.int32).reshape(-1, 1 << BUCKET_BITS)
+    return buffer_of(batch.column(batch.num_columns - 1))[0].view(np.int32).reshape(-1, 1 << BUCKET_BITS)
+
+
+def _parts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = max(1, PART_BYTES * batch.num_rows // max(batch.nbytes, 1))
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
 
 
 def totals(table: DataFrame, sums: Callable[[pa.RecordBatch], Iterable[tuple[str | None, np.ndarray]]], width: int = (1 << BUCKET_BITS) + 1) -> dict:
-    """key: total of the whole numbers that `sums` gives for a batch; a task gives one vector for each key."""
+    """key: total of the whole numbers that `sums` gives for a few rows; a task gives one vector for each key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict = {}
-        for batch in batches:
-            for key, row in sums(batch):
+        for part in _parts(batches):
+            for key, row in sums(part):
                 found[key] = found.get(key, 0) + row
         for key, row in found.items():
             yield pa.record_batch([pa.array([key] * len(row), pa.string()), pa.array(np.arange(len(row)), pa.int32()), pa.array(row, pa.int64())], names=["key", "at", "total"])
 
     out: dict = {}
-    for key, at, total in table.mapInArrow(run, "key string, at int, total long").groupBy("key", "at").agg(F.sum("total")).collect():
+    found = table.mapInArrow(run, "key string, at int, total long").repartition(SUM_PARTITIONS, "key", "at")
+    for key, at, total in found.groupBy("key", "at").agg(F.sum("total")).collect():
         out.setdefault(key, np.zeros(width))[at] = total
     return out
 
@@ -113,9 +125,9 @@ def _centered(batches: Iterator[pa.RecordBatch], rarity: np.ndarray, means: dict
     """The texts' directions off their language's mean, in units of 1 / SCALE, BLOCK texts a row."""
     known = {v: i for i, v in enumerate(means)}
     table = np.vstack([*means.values(), np.zeros((1, 1 << BUCKET_BITS))])
-    for batch in batches:
-        x = _unit(_weighed(_matrix(batch), rarity) - table[[known.get(v, -1) for v in batch.column(0).to_pylist()]])
-        columns = batch.column(1).to_numpy(), np.rint(x * SCALE).astype(np.int32)
+    for part in _parts(batches):
+        x = _unit(_weighed(_matrix(part), rarity) - table[[known.get(v, -1) for v in part.column(0).to_pylist()]])
+        columns = part.column(1).to_numpy(), np.rint(x * SCALE).astype(np.int32)
         yield pa.record_batch([pa.array([c[k : k + BLOCK].tobytes() for k in range(0, len(x), BLOCK)], pa.binary()) for c in columns], names=["chances", "directions"])
 
 
@@ -123,14 +135,17 @@ def _far_text(table: DataFrame, centers: np.ndarray) -> np.ndarray | None:
     """One of all texts, drawn in proportion to its distance from the nearest center; None if no text is apart from them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = _matrix(batch) / SCALE
+        best = None
+        for part in _parts(batches):
+            x = _matrix(part) / SCALE
             gap = np.maximum(1 - (x @ centers.T).max(axis=1), 0) if len(centers) else np.ones(len(x))
-            draw = mixed(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint64) + np.uint64(len(centers)))
+            draw = mixed(buffer_of(part.column(0))[0].view(np.uint64) + np.uint64(len(centers)))
             late = -np.log(((draw >> np.uint64(12)).astype(np.float64) + 0.5) / float(1 << 52)) / np.where(gap > 1e-9, gap, np.nan)
             if not np.isnan(late).all():
                 k = int(np.nanargmin(late))
-                yield pa.record_batch([pa.array([late[k]]), pa.array([x[k].tolist()], pa.list_(pa.float64()))], names=["late", "x"])
+                best = min(best or (np.inf, []), (late[k], x[k].tolist()))
+        if best:
+            yield pa.record_batch([pa.array([best[0]]), pa.array([best[1]], pa.list_(pa.float64()))], names=["late", "x"])
 
     first = table.mapInArrow(run, "late double, x array<double>").orderBy("late", "x").limit(1).collect()
     return np.array(first[0].x) if first else None

@@ -3,6 +3,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from runlens.llm import topics
+from runlens.llm.storage import narrow_batches
 from runlens.llm.textbuf import buffer_of
 from runlens.llm.topics import learn_topics, word_counts
 
@@ -32,3 +33,22 @@ def test_rounds_read_directions_that_are_written_once(spark, monkeypatch):
     assert [t.columns[-1] for t in seen] == ["counts"] * 2 + ["directions"] * (len(seen) - 2) and len(seen) > 2
     found = np.vstack([np.frombuffer(bytes(r.directions), np.int32).reshape(-1, 256) for r in lengths[0]])
     assert len(found) == 21 and np.allclose(np.linalg.norm(found / topics.SCALE, axis=1), 1, atol=1e-4)
+
+
+def test_a_pass_holds_few_rows_and_deals_its_sums_to_few_partitions(spark, monkeypatch):
+    """A worker turned 2,000 rows of 8 KB into numbers at once, and every task of a pass wrote a file for each of the session's shuffle partitions."""
+    plans, frame = [], type(spark.range(0))
+    collect = frame.collect
+    monkeypatch.setattr(frame, "collect", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), collect(df))[1])
+    wide = spark.range(0, 900, 1, 2).select(F.repeat(F.lit("x"), 8192).alias("directions"))
+    sizes = topics.totals(wide, lambda part: [(str(part.num_rows), np.full(257, part.num_rows))])
+    assert max(map(int, sizes)) <= topics.PART_BYTES // 8192 and sum(v[0] for v in sizes.values()) == 900
+    dealt = [line for line in plans[-1].splitlines() if "Exchange" in line]
+    assert len(dealt) == 1 and f", {topics.SUM_PARTITIONS})" in dealt[0]
+
+
+def test_batches_are_bounded_by_bytes(spark):
+    narrow_batches(spark)
+    rows = spark.range(0, 40, 1, 1).select(F.repeat(F.lit("x"), 1 << 20).alias("text"))
+    sizes = [r.n for r in rows.mapInArrow(lambda it: (b.select([]).append_column("n", __import__("pyarrow").array([b.num_rows] * b.num_rows)) for b in it), "n long").collect()]
+    assert len(sizes) == 40 and max(sizes) <= 5
