@@ -30,6 +30,12 @@ LONGER = ((256, 2),)
 #: Segments that make more than CROWD pairs for each line that holds or probes them are not joined, so that the pairs
 #: that meet are at most CROWD times the keys, however large a group of near copies grows (see edit_links).
 CROWD = 4
+#: Lines of a block of those that share two crowded segments; pairs of blocks are rows, pairs of their lines are not.
+BLOCK_LINES = 32
+#: Pairs of two blocks' lines that are verified before those that links have joined by then are left out.
+_STEP = 64
+#: Counts of characters, by their code modulo so many, that tell most lines apart.
+_KINDS = 64
 #: Up to so many line hashes (8 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 NEWLINE = 10
@@ -216,15 +222,56 @@ def within(left: list[np.ndarray], right: list[np.ndarray], edits: int) -> np.nd
     return result
 
 
+def _are_close(left: list[np.ndarray], right: list[np.ndarray], thresholds: Thresholds) -> np.ndarray:
+    edits = allowed(np.array([min(len(x), len(y)) for x, y in zip(left, right, strict=True)], np.int64), thresholds)
+    keep = np.zeros(len(left), bool)
+    for k in np.unique(edits[edits > 0]).tolist():
+        rows = np.flatnonzero(edits == k)
+        keep[rows] = within([left[i] for i in rows], [right[i] for i in rows], k)
+    return keep
+
+
 def _verified(batches: Iterator[pa.RecordBatch], thresholds: Thresholds) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         left, right = ([np.frombuffer(t.as_py().encode("utf-32-le"), np.uint32) for t in batch.column(c)] for c in (2, 3))
-        edits = allowed(np.array([min(len(x), len(y)) for x, y in zip(left, right, strict=True)], np.int64), thresholds)
-        keep = np.zeros(len(batch), bool)
-        for k in np.unique(edits[edits > 0]).tolist():
-            rows = np.flatnonzero(edits == k)
-            keep[rows] = within([left[i] for i in rows], [right[i] for i in rows], k)
-        yield batch.select([0, 1]).filter(pa.array(keep))
+        yield batch.select([0, 1]).filter(pa.array(_are_close(left, right, thresholds)))
+
+
+def _block_links(left: list[dict], right: list[dict], thresholds: Thresholds) -> Iterator[tuple[int, int]]:
+    """Links between lines (h1, component, line) of two blocks, enough to join all groups that close lines connect."""
+    texts = [[np.frombuffer(x["line"].encode("utf-32-le"), np.uint32) for x in side] for side in (left, right)]
+    sizes = [np.array([len(t) for t in side], np.int64) for side in texts]
+    kinds = [np.array([np.bincount(t % _KINDS, minlength=_KINDS) for t in side], np.int64) for side in texts]
+    edits = allowed(np.minimum.outer(*sizes), thresholds)
+    # An edit changes the counts of characters by two in all at most.
+    near = (np.abs(np.subtract.outer(*sizes)) <= edits) & (np.abs(kinds[0][:, None] - kinds[1][None]).sum(axis=2) <= 2 * edits)
+    above: dict[int, int] = {}
+
+    def group(x: int) -> int:
+        while x in above:
+            x = above[x]
+        return x
+
+    i, j = np.nonzero(near)
+    while len(i):
+        apart = [group(left[a]["component"]) != group(right[b]["component"]) for a, b in zip(i.tolist(), j.tolist(), strict=True)]
+        i, j = i[apart], j[apart]
+        now, later = slice(_STEP), slice(_STEP, None)
+        close = _are_close([texts[0][a] for a in i[now]], [texts[1][b] for b in j[now]], thresholds)
+        for a, b in zip(i[now][close].tolist(), j[now][close].tolist(), strict=True):
+            x, y = group(left[a]["component"]), group(right[b]["component"])
+            if x != y:
+                above[max(x, y)] = min(x, y)
+                yield left[a]["h1"], right[b]["h1"]
+        i, j = i[later], j[later]
+
+
+def _blocks_verified(batches: Iterator[pa.RecordBatch], thresholds: Thresholds) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k in range(batch.num_rows):
+            links = list(_block_links(batch.column(0)[k].as_py(), batch.column(1)[k].as_py(), thresholds))
+            if links:
+                yield pa.record_batch([pa.array([x[c] for x in links], pa.int64()) for c in range(2)], names=["a", "b"])
 
 
 def _pair_keys(batches: Iterator[pa.RecordBatch], thresholds: Thresholds) -> Iterator[pa.RecordBatch]:
@@ -314,13 +361,39 @@ def _close(pairs: DataFrame, picked: DataFrame, thresholds: Thresholds) -> DataF
     return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(lambda it: _verified(it, thresholds), "a long, b long")
 
 
+def _apart_links(met: DataFrame, groups: DataFrame, picked: DataFrame, thresholds: Thresholds) -> DataFrame:
+    """Links between lines in different groups (node, component) that share a key (h1, probe, key), enough to join those groups.
+
+    A key's lines are dealt into blocks of about BLOCK_LINES, those of one group together; every two blocks of a key that
+    are not of one and the same group are compared in one row. All lines that meet are compared, but their pairs are
+    never rows.
+    """
+    grouped = met.join(groups.toDF("h1", "component"), "h1", "left").withColumn("component", F.coalesce("component", "h1"))
+    grouped = written(grouped, "crowd_groups")
+    several = grouped.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("least"), F.max("component").alias("most")).where("least < most")
+    several = written(several.select("key", F.ceil(F.col("n") / BLOCK_LINES).alias("n")), "keys_of_several")
+    dealt = written(grouped.join(several, "key").withColumn("part", F.pmod(F.xxhash64("component"), F.col("n"))).drop("n"), "crowd_parts")
+    parts = written(dealt.groupBy("key", "probe", "part").agg(F.ceil(F.count("*") / BLOCK_LINES).alias("n")), "part_sizes")
+    block = F.xxhash64("key", "probe", "part", F.pmod(F.xxhash64("h1", F.lit("block")), F.col("n"))).alias("block")
+    placed = written(dealt.join(parts, ["key", "probe", "part"]).select("key", "probe", block, "h1", "component"), "crowd_places")
+    ends = written(placed.groupBy("key", "probe", "block").agg(F.min("component").alias("least"), F.max("component").alias("most")), "block_groups")
+    x, y = ends.where("not probe").alias("x"), ends.where("probe").alias("y")
+    pairs = x.join(y, F.col("x.key") == F.col("y.key")).where("least(x.least, y.least) < greatest(x.most, y.most)")
+    pairs = written(pairs.select(F.col("x.block").alias("x"), F.col("y.block").alias("y")), "block_pairs")
+    lines = placed.join(picked, "h1").groupBy("block").agg(F.collect_list(F.struct("h1", "component", "line")).alias("lines"))
+    lines = written(lines, "line_blocks")
+    left, right = lines.toDF("x", "left"), lines.toDF("y", "right")
+    return pairs.join(left, "x").join(right, "y").select("left", "right").mapInArrow(lambda it: _blocks_verified(it, thresholds), "a long, b long").distinct()
+
+
 @tidy
 def edit_links(rows: DataFrame, texts: DataFrame, thresholds: Thresholds, crowd: int = CROWD) -> DataFrame:
     """a, b: hashes of distinct lines within the allowed edits, enough of them to connect all such lines.
 
     rows: h1 with own and probes, one row per distinct line; texts: h1 and line, in any number of copies. Lines of
     crowded segments that are one edit apart are linked by halving (see _crowd_links). Those long enough for more edits
-    meet again by two segments; where two are crowded as well, every pair that is still in different groups is verified.
+    meet again by two segments; where two are crowded as well, lines that are still in different groups are compared by
+    blocks (see _apart_links).
     """
     index = rows.select("h1", F.explode("own").alias("key"))
     probes = rows.select(F.col("h1").alias("p"), F.explode("probes").alias("key"))
@@ -345,12 +418,7 @@ def edit_links(rows: DataFrame, texts: DataFrame, thresholds: Thresholds, crowd:
     if crowded.isEmpty():
         return links
     met = written(split.join(crowded, "key", "left_semi"), "crowd_keys")
-    grouped = met.join(components(links).toDF("h1", "component"), "h1", "left").withColumn("component", F.coalesce("component", "h1"))
-    grouped = written(grouped, "crowd_groups")
-    x, y = grouped.where("not probe").alias("x"), grouped.where("probe").alias("y")
-    apart = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")))
-    apart = written(apart.select(F.least("x.h1", "y.h1").alias("a"), F.greatest("x.h1", "y.h1").alias("b")).distinct(), "groups_apart")
-    return links.unionByName(_close(apart, picked, thresholds))
+    return links.unionByName(_apart_links(met, components(links), picked, thresholds))
 
 
 @tidy

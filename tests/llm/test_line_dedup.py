@@ -7,6 +7,7 @@ from hypothesis import strategies as st
 
 from pyspark.sql import functions as F
 
+from runlens.llm import line_dedup as lines_module
 from runlens.llm.line_dedup import line_dedup, within
 
 
@@ -123,3 +124,24 @@ def test_clashing_names_and_very_long_lines(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("_doc", "_found", "doc", "found", "h1", "a", "component")})
     got = {x.doc_id: x for x in line_dedup(docs).collect()}
     assert (got[1].n_removed, got[2].n_removed, got[3].n_removed) == (0, 2, 1) and got[1].found == 1
+
+
+def test_lines_that_share_two_crowded_segments_are_compared_by_blocks(spark, monkeypatch):
+    """70 lines of one frame, all three or more edits apart but for some, made a row for each pair in different groups."""
+    r = random.Random(9)
+    frame = "".join(r.choice("abcdefgh") for _ in range(80))
+    mark = lambda: "".join(r.choice("mnopqrst") for _ in range(6))
+    texts = [frame[:45] + mark() + frame[45:] for _ in range(64)]
+    texts += [x[:47] + "zz" + x[49:] for x in texts[:6]]
+    rows = [(i, x) for i, x in enumerate(texts)]
+    made, write = {}, lines_module.written
+
+    def counted(df, name):
+        out = write(df, name)
+        if name in ("block_pairs", "groups_apart"):
+            made[name] = out.count()
+        return out
+
+    monkeypatch.setattr(lines_module, "written", counted)
+    assert run(spark, rows, min_chars=8, crowd=1, longer=((30, 2),)) == brute(rows, 8, ((30, 2),))
+    assert 0 < made["block_pairs"] < 1000 and "groups_apart" not in made
