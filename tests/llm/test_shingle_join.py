@@ -3,6 +3,7 @@ import random
 import corpus_pipeline
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from runlens.llm import shingle_join
 from runlens.llm.shingle_join import shingle_groups, sketch, sketches_apart
@@ -96,3 +97,29 @@ def test_far_pairs_with_common_hashes_are_given_up_by_their_sketches(spark, monk
     found = shingle_join.shingle_groups(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     assert sorted(map(tuple, found)) == [(k, k) for k in range(8)] + [(100, 0), (100, 0)]
     assert sum(left) <= 2
+
+
+@pytest.mark.parametrize("spare", [0, 24])
+def test_common_passages_make_few_pairs(spark, monkeypatch, spare):
+    """Texts that share a long passage meet by what few of them have; the groups are those of all pairs."""
+    r = random.Random(4)
+    words = [f"w{i}" for i in range(5000)]
+    passage = [r.choice(words) for _ in range(120)]
+    rows = [(k, " ".join([*passage, *(r.choice(words) for _ in range(60))])) for k in range(60)]
+    rows += [(100 + k, "x " + rows[k][1]) for k in range(0, 60, 7)]
+    rows += [(200 + k, " ".join(passage[: 100 + k])) for k in range(0, 20, 4)]
+    rare, pairs = shingle_join._rare_keys, []
+
+    def met(rows):
+        return rows.alias("x").join(rows.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep"))).count()
+
+    def counted(keys, *args):
+        parts = rare(keys, *args)
+        pairs.extend([met(keys), met(parts)])
+        return parts
+
+    monkeypatch.setattr(shingle_join, "SPARE", spare)
+    monkeypatch.setattr(shingle_join, "_rare_keys", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {x.doc_id: x.component_id for x in shingle_groups(docs).collect()} == brute(rows)
+    assert pairs[1] < pairs[0] / 10
