@@ -31,7 +31,7 @@ COMMON = 8
 #: Hashes that are kept behind each prefix, to follow up those that go to the end; beyond them the text is read again.
 SPARE = 24
 #: The order is changed so often at most; hashes that are common in the last order are joined all the same.
-ORDERS = 8
+ORDERS = 3
 #: Up to so many ids (8 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 

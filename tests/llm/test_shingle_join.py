@@ -119,6 +119,7 @@ def test_common_passages_make_few_pairs(spark, monkeypatch, spare):
         return parts
 
     monkeypatch.setattr(shingle_join, "SPARE", spare)
+    monkeypatch.setattr(shingle_join, "ORDERS", 8)
     monkeypatch.setattr(shingle_join, "_rare_keys", counted)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert {x.doc_id: x.component_id for x in shingle_groups(docs).collect()} == brute(rows)
